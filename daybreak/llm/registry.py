@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.llm import token_output
+from daybreak.llm import inner_product, packing, token_output, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": token_output.op1_token_output}
+    return {
+        "op1_token_output": token_output.op1_token_output,
+        "op3_packing": packing.op3_packing,
+        "op4_warc": warc.op4_warc,
+        "op5_exact_topk": inner_product.op5_exact_topk,
+        "op6_toxicity": toxicity.op6_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.OP4_SQL, "op5_exact_topk": inner_product.OP5_SQL}
