@@ -2,7 +2,7 @@
 
 A text's features are the distinct runs of 3 to 7 characters of its lower-cased form, with line ends as
 spaces and a space at either end, hashed into 2^20 places. Training takes a bounded sample of labelled rows (`sample_rows` and `sample_bytes`,
-in the order of a hash of the id, half of it for each label where there are enough), scales every
+in the order of a hash of the id, at most two fifths of it toxic), scales every
 feature by the log ratio of its smoothed counts in both labels, drops features in fewer than
 `least_rows` rows or of a smaller ratio than `least_ratio`, and fits a logistic regression with an L2 penalty on the scaled features. The
 intercept is then moved to the share of toxic rows among all labelled training rows. Every whole text
@@ -111,14 +111,14 @@ def _minimise(value_and_slope, x: np.ndarray, steps: int = 60, memory: int = 8)
 def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, least_rows: int = 5, least_ratio: float = 1.0, smoothing: float = 1.0, penalty: float = 1.0) -> Model:
     """rows: each text's distinct features. share: of toxic rows among all labelled rows."""
     size = 1 << BITS
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    toxic = labels[row] == 1
-    in_toxic, in_clean = np.bincount(flat[toxic], minlength=size).astype(float), np.bincount(flat[~toxic], minlength=size).astype(float)
+    in_toxic, in_clean = np.zeros(size), np.zeros(size)
+    for found, label in zip(rows, labels):
+        (in_toxic if label else in_clean)[found] += 1
     n_toxic, n_clean = float((labels == 1).sum()), float((labels == 0).sum())
     ratio = np.log((in_toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((in_clean + smoothing) / (n_clean + 2 * smoothing))
     ratio[(in_toxic + in_clean < least_rows) | (np.abs(ratio) < least_ratio)] = 0
-    keep = ratio[flat] != 0
-    flat, row = flat[keep], row[keep]
+    rows = [found[ratio[found] != 0] for found in rows]
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, column = np.unique(flat, return_inverse=True)
     scale = ratio[used]
     values = scale[column]
@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 48 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_bytes: int = 48 << 20) -> Model:
     """The model from labelled rows whose id isn't held out."""
     ship(docs.sparkSession)
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_by
     if not n_toxic or not n_clean:
         return flat
     order = F.xxhash64("doc_id")
-    chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows // 2).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows // 2))
+    chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows * 2 // 5).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows * 3 // 5))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("bytes"), order.alias("turn")).orderBy("turn", "doc_id").toPandas()
     sizes = sizes[sizes.bytes.cumsum() <= sample_bytes]

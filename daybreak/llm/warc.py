@@ -244,7 +244,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names)
 
     bundles = spark.read.parquet(f"{path}/index").select("bundle").distinct()
-    return bundles.mapInArrow(unpack, RECORDS)
+    tasks = min(max(bundles.count(), 1), 50_000)  # a set number, which adaptive execution doesn't merge into one
+    return bundles.repartition(tasks, "bundle").mapInArrow(unpack, RECORDS)
 
 
 def read_record(index: DataFrame, record_id: int) -> Record | None:
