@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybreak.llm.common import binary_rows, ship, table
+from daybreak.llm.common import binary_rows, ship, stored, table
 
 BITS = 20
 SIZES = (3, 4, 5, 6, 7)
@@ -108,16 +108,15 @@ def _minimise(value_and_slope, x: np.ndarray, steps: int = 60, memory: int = 8)
     return x
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, least_rows: int = 5, least_ratio: float = 1.0, smoothing: float = 1.0, penalty: float = 1.0) -> Model:
-    """rows: each text's distinct features. share: of toxic rows among all labelled rows."""
-    size = 1 << BITS
-    in_toxic, in_clean = np.zeros(size), np.zeros(size)
-    for found, label in zip(rows, labels):
-        (in_toxic if label else in_clean)[found] += 1
-    n_toxic, n_clean = float((labels == 1).sum()), float((labels == 0).sum())
+def log_count_ratio(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: float, n_clean: float, least_rows: int = 5, least_ratio: float = 1.0, smoothing: float = 1.0) -> np.ndarray:
+    """The naive Bayes scale of every feature from the rows of either label that hold it; 0 drops the feature."""
     ratio = np.log((in_toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((in_clean + smoothing) / (n_clean + 2 * smoothing))
-    ratio[(in_toxic + in_clean < least_rows) | (np.abs(ratio) < least_ratio)] = 0
-    rows = [found[ratio[found] != 0] for found in rows]
+    return np.where((in_toxic + in_clean < least_rows) | (np.abs(ratio) < least_ratio), 0, ratio).astype(np.float32)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, share: float, penalty: float = 1.0) -> Model:
+    """rows: each text's distinct features of a ratio other than 0. share: of toxic rows among all labelled rows."""
+    n_toxic, n_clean = float((labels == 1).sum()), float((labels == 0).sum())
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, column = np.unique(flat, return_inverse=True)
     scale = ratio[used]
@@ -131,7 +130,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, least_rows: in
         return float(np.logaddexp(0, -margin).sum() + penalty / 2 * x[:-1].dot(x[:-1])), slope
 
     best = _minimise(value_and_slope, np.zeros(len(used) + 1))
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(len(ratio), np.float32)
     weights[used] = best[:-1] * scale
     prior = np.log(share / (1 - share)) - np.log(n_toxic / n_clean)
     return Model(weights, float(best[-1] + prior))
@@ -141,7 +140,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_bytes: int = 48 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 64 << 20) -> Model:
     """The model from labelled rows whose id isn't held out."""
     ship(docs.sparkSession)
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -158,21 +157,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_by
     sizes = sizes[sizes.bytes.cumsum() <= sample_bytes]
     if sizes.toxic.nunique() < 2:
         return flat
-    known = {int(i): int(t) for i, t in zip(sizes.doc_id, sizes.toxic)}
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
+    wanted = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sizes.doc_id, sizes.toxic)], "doc_id long, toxic int")
+    sample = stored(texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for label, found in zip(batch.column(0).to_pylist(), features(batch.column(1))):
+                totals[label, found] += 1
+        used = np.flatnonzero(totals.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[1, used]), pa.array(totals[0, used])], ["feature", "toxic", "clean"])
+
+    sums = sample.mapInArrow(count, "feature int, toxic int, clean int").groupBy("feature").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("clean").cast("int").alias("clean"))
+    counted = sums.where("toxic + clean > 1").toArrow()
+    in_toxic, in_clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for into, column in ((in_toxic, 1), (in_clean, 2)):
+        into[counted.column(0).to_numpy()] = counted.column(column).to_numpy()
+    ratio = log_count_ratio(in_toxic, in_clean, float((sizes.toxic == 1).sum()), float((sizes.toxic == 0).sum()))
+    sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(features(batch.column(1)))
+            found = [f[sent.value[f] != 0] for f in features(batch.column(1))]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(np.concatenate(found), np.array([len(f) for f in found]))], ["doc_id", "found"])
-
-    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(describe, "doc_id long, found binary").toArrow()
-    ids = rows.column(0).to_pylist()
-    turn = np.argsort(ids)
-    found = rows.column(1).combine_chunks()
-    data = [np.frombuffer(found[int(i)].as_buffer(), np.int32) for i in turn]
-    return fit(data, np.array([known[ids[i]] for i in turn]), n_toxic / (n_toxic + n_clean))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(np.concatenate(found), np.array([len(f) for f in found]))], ["toxic", "found"])
+
+    rows = sample.mapInArrow(describe, "toxic int, found binary").toArrow()
+    data = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(1).combine_chunks()]
+    return fit(data, rows.column(0).to_numpy(), ratio, n_toxic / (n_toxic + n_clean))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
