@@ -50,13 +50,18 @@ def folded(minima: np.ndarray, rows: int) -> np.ndarray:
 
 
 class Postings:
-    """Gathers postings and emits them as (bucket, blob) rows, without repeats inside a flush."""
+    """Gathers postings and emits them as (bucket, blob) rows, without repeats inside a flush.
+
+    wide keeps all 64 bits of a key. Otherwise the 32 bits below the bucket's stand for it, which
+    makes about one in four thousand postings meet a stranger at any size, as a bucket's postings
+    are bounded; their links are refuted by the confirmation.
+    """
 
     NAMES = ["bucket", "blob"]
     SCHEMA = "bucket int, blob binary"
 
-    def __init__(self, bucket_bits: int):
-        self.bits, self.keys, self.ids, self.held = bucket_bits, [], [], 0
+    def __init__(self, bucket_bits: int, wide: bool = True):
+        self.bits, self.wide, self.keys, self.ids, self.held = bucket_bits, wide, [], [], 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if keys.size:
@@ -78,7 +83,8 @@ class Postings:
             found, at = np.unique(bucket, return_index=True)
             for b, i, j in zip(found, at, np.append(at[1:], len(keys))):
                 buckets.append(int(b))
-                blobs.append(keys[i:j].tobytes() + ids[i:j].tobytes())
+                part = keys[i:j] if self.wide else (keys[i:j] << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
+                blobs.append(ids[i:j].tobytes() + part.tobytes())
         self.keys, self.ids, self.held = [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], self.NAMES)
 
@@ -91,14 +97,17 @@ def bucket_bits(postings: int, each: int = 1 << 20) -> int:
 STAR, REST, RUN = 0, 1, 2
 
 
-def runs(table: pa.Table) -> pa.Table:
+def runs(table: pa.Table, wide: bool = True) -> pa.Table:
     """One bucket's (kind, x, y): star pairs, other pairs of short runs, and (key, member) rows of long runs."""
     keys, ids = [], []
     for blob in table.column("blob"):
-        data = np.frombuffer(blob.as_buffer(), np.uint64)
-        keys.append(data[: len(data) // 2])
-        ids.append(data[len(data) // 2 :].view(np.int64))
+        data = blob.as_buffer()
+        n = len(data) // (16 if wide else 12)
+        ids.append(np.frombuffer(data, np.int64, n))
+        keys.append(np.frombuffer(data, np.uint64 if wide else np.uint32, n, 8 * n).astype(np.uint64))
     keys, ids = np.concatenate(keys), np.concatenate(ids)
+    if not wide:
+        keys |= np.uint64(table.column("bucket")[0].as_py() << 32)
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
@@ -134,8 +143,43 @@ def runs(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.append(kp[fresh], kind[~pair]), pa.int8()), "x": pa.array(np.append(xp[fresh], x[~pair])), "y": pa.array(np.append(yp[fresh], y[~pair]))})
 
 
-def found_runs(postings: DataFrame, label: str) -> DataFrame:
-    return stored(postings.groupBy("bucket").applyInArrow(runs, "kind byte, x long, y long"), label)
+def found_runs(postings: DataFrame, label: str, wide: bool = True) -> DataFrame:
+    def of(table: pa.Table) -> pa.Table:
+        return runs(table, wide)
+
+    return stored(postings.groupBy("bucket").applyInArrow(of, "kind byte, x long, y long"), label)
+
+
+def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps of (a, b, text of a, text of b) rows the pairs whose full sets have 100 * intersection >= percent * union."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def learn(names: list[int], column: pa.Array) -> None:
+            new = {name: at for at, name in enumerate(names) if name not in held}
+            if new:
+                order = list(new)
+                for row, end, hashes, counts in set_slices(column.take(pa.array(list(new.values())))):
+                    held.update(zip(order[row:end], np.split(hashes, np.cumsum(counts)[:-1])))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                if len(held) > 4096:
+                    held.clear()
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                learn(a, part.column(2))
+                learn(b, part.column(3))
+                keep = []
+                for x, y in zip(a, b):
+                    one, two = held[x], held[y]
+                    union = len(np.union1d(one, two))
+                    keep.append(100 * (len(one) + len(two) - union) >= percent * union)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
+
+    return kept
 
 
 def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -150,6 +194,7 @@ def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine:
 
     edges = stored(confirm(pairs(STAR)), "edges")
     roots = connected_components(edges)
+    deeper = False
     rest, members = pairs(REST), found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
     while True:
         root = lambda name: F.coalesce(F.col(f"{name}_root"), F.col(name))
@@ -157,7 +202,7 @@ def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine:
         open_rest = rest.join(named("a"), "a", "left").join(named("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
         runs_now = stored(members.join(named("id"), "id", "left").select("key", "id", root("id").alias("root")), "long-runs")
         size = runs_now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("roots"))
-        open_runs = stored(size.where("roots > 1").select("key", (F.col("n") * F.col("n") - F.col("within") <= 4 * SHORT * F.col("n")).alias("few")), "open-runs")
+        open_runs = stored(size.where("roots > 1").select("key", (F.lit(deeper) | (F.col("n") * F.col("n") - F.col("within") <= 4 * SHORT * F.col("n"))).alias("few")), "open-runs")
         left = runs_now.join(open_runs.where("few").select("key"), "key")
         across = left.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(left.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b")
         more = stored(confirm(open_rest.unionByName(across).distinct()), "edges")

@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.llm import inner_product, packing, token_output, toxicity, warc
+from daybreak.llm import decontaminate, inner_product, line_dedup, near_dedup, packing, token_output, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": token_output.op1_token_output,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_packing": packing.op3_packing,
         "op4_warc": warc.op4_warc,
         "op5_exact_topk": inner_product.op5_exact_topk,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op5_exact_topk": inner_product.OP5_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op5_exact_topk": inner_product.OP5_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op10_near_dedup": near_dedup.OP10_SQL}
