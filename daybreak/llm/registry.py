@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.llm import decontaminate, inner_product, line_dedup, near_dedup, packing, repeats, token_output, toxicity, warc
+from daybreak.llm import chat, decontaminate, inner_product, line_dedup, near_dedup, packing, repeats, token_output, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_exact_topk": inner_product.op5_exact_topk,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_chat_format": chat.op7_chat_format,
         "op8_suffix_dedup": repeats.op8_suffix_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
