@@ -1,8 +1,8 @@
 """Packing: lexical retrieval packing of whole corpora into windows of a fixed number of tokens.
 
 Every document is tokenised whole and ends with `end_id`. Documents are dealt into shards of bounded
-token count by their signature term (the term of highest tf-idf, ties to the smaller id) and id, so
-that a shard holds lexically near documents and a hot term fills several shards. Each shard builds a
+token count in the order of a MinHash of their token ids and of their id, so that a shard holds
+lexically near documents and a hot signature fills several shards. Each shard builds a
 BM25 inverted index over its documents, with document frequencies and the average length taken over
 all documents. A seed document opens a window; its unused neighbours, by descending BM25 score, fill
 it; the piece that doesn't fit is cut and its rest stays in the index. A document's full windows need
@@ -25,21 +25,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybreak.llm import tokens
-from daybreak.llm.common import binary_rows, ship, stored, table
+from daybreak.llm.common import binary_rows, mix64, ship, stored, table
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids as little-endian unsigned 32-bit integers."""
+    """(signature, doc_id, ids): the ids as little-endian unsigned 32-bit integers, and a MinHash of their set.
+
+    Documents share a signature with a chance equal to the Jaccard similarity of their ids.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.encoder(tokenizer)
+        place = mix64(np.arange(max(len(codec.ends), end_id + 1), dtype=np.uint64)).astype(np.int64)
+        place[end_id] = np.iinfo(np.int64).max  # every document has it
         for batch in batches:
             for row, end, ids, counts in codec.column(batch.column(1), end_id):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), binary_rows(ids, counts)], ["doc_id", "ids"])
+                signature = np.minimum.reduceat(place[ids], np.cumsum(counts) - counts)
+                yield pa.RecordBatch.from_arrays([pa.array(signature), batch.column(0).slice(row, end - row), binary_rows(ids, counts)], ["signature", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "signature long, doc_id long, ids binary")
 
 
 def document_frequencies(tokenized: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
@@ -160,14 +166,6 @@ def pack(
     weight = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     idf, average = spark.sparkContext.broadcast(weight), n_ids / max(n_docs, 1)  # one number per vocabulary entry
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signature = []
-            for x in batch.column(1):
-                term, count = np.unique(np.frombuffer(x.as_buffer(), "<u4"), return_counts=True)
-                signature.append(term[np.argmax(idf.value[term] * np.log1p(count))])
-            yield pa.RecordBatch.from_arrays([pa.array(signature, pa.int32()), *batch.columns], ["signature", "doc_id", "ids"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
@@ -196,8 +194,7 @@ def pack(
         if docs:
             yield flush()
 
-    signed = encoded.mapInArrow(sign, "signature int, doc_id long, ids binary")
-    return signed.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
+    return encoded.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

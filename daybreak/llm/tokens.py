@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -40,40 +40,45 @@ class Encoder:
         """Encodes letter-only words in runs; a run whose words can't be told apart is encoded word by word."""
         for i in range(0, len(words), 512):
             run = words[i : i + 512]
-            ids = np.asarray(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(run) and cuts[-1] == len(ids):  # a word of letters makes one pre-token at least, so each made one
-                for word, part in zip(run, np.split(ids, cuts[:-1])):
-                    self.cache[word] = part.tobytes()
+                flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.cache.update(zip(run, (flat[a:b] for a, b in zip(at, at[1:]))))
             else:
                 for word in run:
                     self.cache[word] = self._alone(word)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each distinct piece, as little-endian unsigned 32-bit integers."""
+        """Ids of each distinct piece, as little-endian unsigned 32-bit integers.
+
+        The cache holds pieces in lower case without a closing full stop or comma, from which the
+        ids of the others follow.
+        """
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
-        cache, plan, new = self.cache, {}, {}
+        cache, new, plan = self.cache, {}, []
         found = list(map(cache.get, pieces))
         for at, known in enumerate(found):
             if known is not None:
                 continue
-            stem, tail = piece, tail = pieces[at], ""
+            stem = piece = pieces[at]
+            tail = ""
             if piece[-1] in ".,":
                 stem, tail = piece[:-1], piece[-1]
-            if stem.isascii():
-                stem = stem.lower()
-            if (stem if stem.isascii() else stem.lower()).isalpha():
+            lower = stem.lower()
+            if lower.isalpha():
+                if stem.isascii():
+                    stem = lower
                 if stem not in cache:
                     new[stem] = None
-                if tail and tail not in cache:
-                    cache[tail] = self._alone(tail)
-                plan[at] = stem, tail
+                plan.append((at, stem, tail))
             else:
                 found[at] = cache[piece] = self._alone(piece)
         self._learn(list(new))
-        for at, (stem, tail) in plan.items():
-            found[at] = cache[pieces[at]] = cache[stem] + cache[tail] if tail else cache[stem]
+        tails = {"": b"", ".": self._alone("."), ",": self._alone(",")}
+        for at, stem, tail in plan:
+            found[at] = cache[stem] + tails[tail]
         return found
 
     def column(self, texts: pa.Array, end_id: int | None, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
