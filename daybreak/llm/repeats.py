@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from daybreak.llm.common import mix64, powers, ship, table, text_slices
 
-GRAM = 12
+GRAM = 10
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -119,8 +119,9 @@ class Pieces:
     def blob(self) -> bytes:
         names, index = np.unique(self.owner, return_inverse=True)
         head = np.array([len(names), len(self.owner)], np.int64).tobytes()
-        body = names.tobytes() + self.at.tobytes() + index.astype(np.uint32).tobytes() + self.size.astype(np.uint32).tobytes() + self.data.tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(head + body)
+        steps = np.diff(self.at, prepend=0)  # segments follow their documents
+        body = names.tobytes() + steps.tobytes() + index.astype(np.uint32).tobytes() + self.size.astype(np.uint32).tobytes() + self.data.tobytes()
+        return zstandard.ZstdCompressor(level=3).compress(head + body)
 
     @staticmethod
     def parse(blobs: list[pa.Buffer]) -> Pieces:
@@ -132,15 +133,31 @@ class Pieces:
             names = np.frombuffer(blob, np.int64, k, 16)
             at = 16 + 8 * k
             parts[0].append(names[np.frombuffer(blob, np.uint32, n, at + 8 * n)])
-            parts[1].append(np.frombuffer(blob, np.int64, n, at))
+            parts[1].append(np.cumsum(np.frombuffer(blob, np.int64, n, at)))
             parts[2].append(np.frombuffer(blob, np.uint32, n, at + 12 * n).astype(np.int64))
             parts[3].append(np.frombuffer(blob, np.uint8, -1, at + 16 * n))
         return Pieces(*(np.concatenate(p) for p in parts))
 
 
-def distinct(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+class Seen:
+    """The owners of segments that a task has shipped: a table of fixed size, in which newer ones replace older ones."""
+
+    def __init__(self, bits: int = 20):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.names, self.owners = np.zeros(1 << bits, np.uint64), np.full(1 << bits, NO_ID)
+
+    def smaller(self, names: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Whether a segment of that name has been shipped for a smaller owner; remembers the others."""
+        slot = (names & self.mask).astype(np.int64)
+        known = self.names[slot] == names
+        out = known & (self.owners[slot] < owners)
+        new = ~out
+        self.names[slot[new]], self.owners[slot[new]] = names[new], owners[new]
+        return out
+
+
+def distinct(pieces: Pieces, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of each segment, the segment of smallest owner and place of each class)."""
-    names = pieces.names()
     order = np.lexsort((pieces.at, pieces.owner, names))
     fresh = np.append(True, names[order][1:] != names[order][:-1])
     classes = np.empty(len(order), np.int64)
@@ -219,7 +236,7 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def bucket_repeats(pieces: Pieces, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(group, depth, owner, place) of every occurrence of each maximal repeat group of a bucket, by group."""
-    classes, heads = distinct(pieces)
+    classes, heads = distinct(pieces, pieces.names())
     firsts = pieces.take(heads)
     members = np.argsort(classes, kind="stable")
     copies = np.bincount(classes, minlength=len(heads))
@@ -287,6 +304,7 @@ def repeated_spans(texts: DataFrame, length: int, buckets: int, parts: int) -> D
         return found.tolist(), blobs
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             owners = batch.column(0).to_numpy()
             for row, _, data, offsets in text_slices(batch.column(1), 3 << 20):
@@ -296,13 +314,16 @@ def repeated_spans(texts: DataFrame, length: int, buckets: int, parts: int) -> D
                         continue
                     size = stop - begin
                     pieces = Pieces(owners[row + rows], begin - offsets[rows] + shift, size, data[ranges(begin, size)])
-                    classes, heads = distinct(pieces)
+                    named = pieces.names()
+                    classes, heads = distinct(pieces, named)
                     smallest = pieces.owner[heads][classes]
                     later = pieces.owner > smallest
+                    later |= seen.smaller(named[heads], pieces.owner[heads])[classes]
                     part, blobs = packed(pieces.owner[later], pieces.at[later], pieces.at[later] + pieces.size[later])
                     if part:
                         yield pa.RecordBatch.from_arrays([pa.array(np.resize(gram[:1] % np.uint64(buckets), len(part)).astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(part, pa.int32())], names)
-                    # the smallest document's segments stand for the others of the flush, whose spans are settled
+                    # the smallest document's segments stand for the others of the flush, whose spans are settled; so are
+                    # those of segments that the task has shipped before for a smaller one
                     keep = np.flatnonzero(~later)
                     bucket = (gram[keep] % np.uint64(buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
@@ -345,9 +366,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = 8 <
     spans = repeated_spans(texts, length, buckets, parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            part = mix64(batch.column(0).to_numpy().view(np.uint64).copy()) % np.uint64(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], ["part", "doc", "text"])
+            part = (mix64(batch.column(0).to_numpy().view(np.uint64).copy()) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            found, at = np.unique(part[order], return_index=True)
+            for p, i, j in zip(found, at, np.append(at[1:], len(order))):
+                rows = pa.record_batch(batch.take(pa.array(order[i:j])).columns, ["doc", "text"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as writer:
+                    writer.write_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([codec.compress(sink.getvalue())], pa.binary())], ["part", "blob"])
 
     def cut(rows: pa.Table, given: pa.Table) -> pa.Table:
         codec = zstandard.ZstdDecompressor()
@@ -355,7 +384,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = 8 <
         doc, begin, size = np.concatenate(parsed, axis=1) if parsed else np.empty((3, 0), np.int64)
         doc, begin, end = merged(doc, begin, begin + size)
         out: tuple[list, ...] = ([], [], [], [], [])
-        for name, text in zip(rows.column("doc").to_pylist(), rows.column("text")):
+        held = (pa.ipc.open_stream(codec.decompress(x.as_buffer())).read_all() for x in rows.column("blob"))
+        for name, text in ((n, t) for t_ in held for n, t in zip(t_.column("doc").to_pylist(), t_.column("text"))):
             raw = text.as_buffer() or b""
             a, b = np.searchsorted(doc, [name, name], side="left")[0], np.searchsorted(doc, name, side="right")
             starts, stops = np.minimum(begin[a:b], len(raw)), np.minimum(end[a:b], len(raw))
@@ -365,7 +395,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = 8 <
         types = [pa.int64()] * 4 + [pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    placed = texts.mapInArrow(place, "part int, doc long, text string")
+    placed = texts.mapInArrow(place, "part int, blob binary")
     return placed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
