@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from daybreak.plans import digest, ledger
+
+_MODULES = (digest, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
