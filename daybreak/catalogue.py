@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.plans import digest, ledger
+from daybreak.plans import content, digest, ledger, motion
 
-_MODULES = (digest, ledger)
+_MODULES = (digest, ledger, content, motion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,7 @@ def unwrapped(url: Column, redirect_host: str, parameter: str) -> Column:
 
 def search_query(hints: Column, domain: Column) -> Column:
     """The hints as one query, limited to the domain unless a hint has a site: of its own."""
-    trimmed = F.filter(F.transform(hints, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(hints, lambda x: F.trim(x)), lambda x: x != "")
     joined = F.array_join(trimmed, " ")
     own = F.exists(trimmed, lambda x: x.startswith("site:"))
     return F.when(own, joined).otherwise(F.trim(F.concat(F.lit("site:"), domain, F.lit(" "), joined)))
