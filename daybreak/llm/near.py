@@ -1,10 +1,16 @@
 """MinHash signatures, their postings, and links that are found without pairing off a group.
 
 Postings (a 64-bit key and a row id) travel as packed arrays, one blob for each bucket of keys and
-flush, and each bucket sorts its postings into runs of equal keys. A run yields a star (every member
-with its smallest) and, when it is short, its remaining pairs; a long run is kept as a run. Stars are
-confirmed first and united; only pairs and runs that still join different components are looked at
-again, so a group of n near copies costs about n confirmations.
+flush, and each bucket sorts its postings into runs of equal keys. A short run yields a star
+(every member with its smallest) and its remaining pairs; a long run is kept as a run, whose hub is its
+most central member: the one with the most company over all long runs. Stars are confirmed first and
+united; only pairs that still join different components are confirmed after that.
+
+A long run's members that its star leaves outside are settled by what they have beyond the hub's set.
+Two sets x and y that share nothing outside a set c have at most min(|x & c|, |y & c|) in common. So a
+link in the run either passes that bound, which only outsiders that almost reach the hub can, or shares a
+shingle that the hub lacks. Members are posted under those shingles, and the runs of these postings go
+the same way. So a group of n near copies costs about n confirmations, and no link is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybreak.llm.common import mix64, odd_multipliers, stored
+from daybreak.llm.common import binary_rows, mix64, odd_multipliers, stored
 from daybreak.llm.graph import connected_components
 
-#: A run of at most this many members gives all its pairs; a longer one gives them only across components.
+#: A run of at most this many members gives all its pairs; a longer one is settled around its hub.
 SHORT = 32
 FLUSH = 1 << 20
 
@@ -125,7 +131,7 @@ def runs(table: pa.Table, wide: bool = True) -> pa.Table:
         x.append(a)
         y.append(b)
 
-    star = place > 0
+    star = (place > 0) & (size <= SHORT)
     put(STAR, hub[star], ids[star])
     short = size <= SHORT
     for d in range(1, SHORT - 1):
@@ -182,39 +188,108 @@ def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray
     return kept
 
 
-def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+RESIDUALS = "hub long, id long, size long, hub_size long, overlap long, rest binary"
+DEPTH = 5
+
+
+def residuals(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (hub, id, hub's text, text) rows: the sizes of both sets, their overlap, and what the hub lacks of the id's set."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                hubs = part.column(0).to_pylist()
+                first = {hub: k for k, hub in reversed(list(enumerate(hubs)))}
+                sets: dict[int, np.ndarray] = {}
+                for row, end, hashes, counts in set_slices(part.column(2).take(pa.array(list(first.values())))):
+                    sets.update(zip(list(first)[row:end], np.split(hashes, np.cumsum(counts)[:-1])))
+                for row, end, hashes, counts in set_slices(part.column(3)):
+                    own = np.split(hashes, np.cumsum(counts)[:-1])
+                    rest = [np.setdiff1d(x, sets[h], assume_unique=True) for x, h in zip(own, hubs[row:end])]
+                    left = np.array([len(r) for r in rest])
+                    columns = [part.column(0).slice(row, end - row), part.column(1).slice(row, end - row), pa.array(counts), pa.array([len(sets[h]) for h in hubs[row:end]], pa.int64()), pa.array(counts - left), binary_rows(np.concatenate(rest), left)]
+                    yield pa.RecordBatch.from_arrays(columns, ["hub", "id", "size", "hub_size", "overlap", "rest"])
+
+    return parts
+
+
+def residual_runs(rests: DataFrame) -> DataFrame:
+    """Runs of members of a group that share a shingle which their hub lacks."""
+    total = rests.agg(F.sum(F.octet_length("rest") / 8)).first()[0] or 0
+    bits = bucket_bits(int(total))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Postings(bits)
+        for batch in batches:
+            for hub, name, rest in zip(*(c.to_pylist() if k < 2 else c for k, c in enumerate(batch.columns))):
+                keys = np.frombuffer(rest.as_buffer(), np.uint64)
+                if len(keys):
+                    place = mix64(np.array([hub], np.int64).view(np.uint64))
+                    yield from out.add(mix64(keys * np.uint64(0x9E3779B97F4A7C15) + place)[:, None], np.full(len(keys), name))
+        yield out.flush()
+
+    return found_runs(rests.select("hub", "id", "rest").mapInArrow(post, Postings.SCHEMA), "residual-runs")
+
+
+def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) over all confirmed links of the candidates in `found`.
 
-    confirm keeps the true links of (a, b) rows. refine gives, for (key, id) rows of long runs that
-    still join many components, the runs of a finer key, among which every true link of them is.
+    confirm keeps the true links of (a, b) rows; residual gives the RESIDUALS of (a, b) rows, a the hub.
     """
+    edges: DataFrame | None = None
+    roots: DataFrame | None = None
 
-    def pairs(kind: int) -> DataFrame:
-        return found.where(F.col("kind") == kind).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-    edges = stored(confirm(pairs(STAR)), "edges")
-    roots = connected_components(edges)
-    deeper = False
-    rest, members = pairs(REST), found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
-    while True:
-        root = lambda name: F.coalesce(F.col(f"{name}_root"), F.col(name))
+    def across(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components so far."""
+        if roots is None:
+            return pairs
         named = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-        open_rest = rest.join(named("a"), "a", "left").join(named("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
-        runs_now = stored(members.join(named("id"), "id", "left").select("key", "id", root("id").alias("root")), "long-runs")
-        size = runs_now.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("roots"))
-        open_runs = stored(size.where("roots > 1").select("key", (F.lit(deeper) | (F.col("n") * F.col("n") - F.col("within") <= 4 * SHORT * F.col("n"))).alias("few")), "open-runs")
-        left = runs_now.join(open_runs.where("few").select("key"), "key")
-        across = left.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(left.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b")
-        more = stored(confirm(open_rest.unionByName(across).distinct()), "edges")
-        many = runs_now.join(open_runs.where("not few").select("key"), "key").select("key", "id")
-        deeper = not many.isEmpty()
-        if more.isEmpty() and not deeper:
-            return roots
-        edges = edges.unionByName(more)
-        if not deeper:
-            return connected_components(edges)
-        finer = refine(many)
-        edges = stored(edges.unionByName(confirm(finer.where(F.col("kind") == STAR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())), "edges")
-        roots = connected_components(edges)
-        rest = finer.where(F.col("kind") == REST).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        members = finer.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
+        ends = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        return ends.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal edges, roots
+        todo = stored(across(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "to-confirm")
+        if todo.isEmpty():
+            return
+        new = stored(confirm(todo), "edges")
+        if not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            roots = connected_components(edges)
+
+    for depth in range(DEPTH):
+        pair = lambda kind: found.where(F.col("kind") == kind).select(F.col("x").alias("a"), F.col("y").alias("b"))  # noqa: B023, E731
+        members = found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
+        long = not members.isEmpty()
+        groups = None
+        if long:
+            company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+            central = company.join(company.groupBy("id").agg(F.sum("n").alias("central")), "id")
+            hubs = central.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
+            groups = stored(members.join(hubs, "key").where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "groups")
+            learn(pair(STAR).unionByName(groups))
+        else:
+            learn(pair(STAR))
+        learn(pair(REST))
+        if not long:
+            break
+        outside = across(groups)
+        open_hubs = outside.select("a").distinct()
+        rests = stored(residual(groups.join(open_hubs, "a", "left_semi")), "residuals")
+        if rests.isEmpty():
+            break
+        # pairs that share nothing beyond the hub: an outsider's overlap bounds them, so only sizes decide
+        out = rests.join(outside.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
+        least = rests.groupBy("hub").agg(F.min("size").alias("least"))
+        reach = (100 + percent) * F.col("overlap") - percent * F.col("size")
+        near_hub = out.join(least, "hub").where(reach >= percent * F.col("least")).select("hub", F.col("id").alias("a"), reach.alias("reach"))
+        learn(near_hub.join(rests.select("hub", F.col("id").alias("b"), "size", "overlap"), "hub").where((F.col("a") != F.col("b")) & (F.col("reach") >= percent * F.col("size")) & ((100 + percent) * F.col("overlap") >= percent * F.col("size"))).select("a", "b"))
+        found = residual_runs(rests)
+        if depth == DEPTH - 1:  # five shared shingles that no hub has: what is left is paired off across components
+            members = found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
+            both = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
+            learn(pair(STAR).unionByName(pair(REST)).unionByName(both))
+    if roots is None:
+        return found.sparkSession.createDataFrame([], "id long, root long")
+    return roots
