@@ -31,9 +31,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group, that of the smallest id; of rows that share it, the one of the smallest text."""
+    """One document of every near-duplicate group, that of the smallest id; exact repeats of a row count once."""
     found = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    kept = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
