@@ -35,13 +35,17 @@ def normalized(value: Column) -> Column:
 
 def by_keyword(text: Column, whole_words: bool = False) -> Column:
     """The first category, in the keywords' order, one of whose keywords the lower-cased text contains."""
-    low = F.lower(text)
 
-    def any_of(words: tuple[str, ...]) -> Column:
-        escaped = "|".join(w.replace(".", r"\.") for w in words)
-        return low.rlike(rf"\b(?:{escaped})\b" if whole_words else f"(?:{escaped})")
+    def any_of(low: Column, words: tuple[str, ...]) -> Column:
+        if whole_words:
+            return low.rlike("|".join(rf"\b{w.replace('.', chr(92) + '.')}\b" for w in words))
+        least = [w for w in words if not any(o != w and o in w for o in words)]  # a word that holds another adds nothing
+        return reduce(lambda acc, w: acc | low.contains(w), least[1:], low.contains(least[0]))
 
-    return reduce(lambda acc, item: acc.when(any_of(item[1]), item[0]), KEYWORDS.items(), F).otherwise(None)
+    def cases(low: Column) -> Column:
+        return reduce(lambda acc, item: acc.when(any_of(low, item[1]), item[0]), KEYWORDS.items(), F).otherwise(None)
+
+    return F.transform(F.array(F.lower(text)), cases)[0]  # lower-cased once
 
 
 def classify(text: Column, explicit: Column | None = None, hint: Column | None = None, scheduled: Column | None = None, scopes: Column | None = None, whole_words: bool = False) -> Column:
