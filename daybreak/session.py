@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -44,8 +45,9 @@ def ship(spark: SparkSession) -> None:
         return
     covered = any(p and Path(p).resolve() == ROOT for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
     if not covered:
-        with tempfile.TemporaryDirectory() as folder:
-            staged = Path(folder, "staged")
-            shutil.copytree(ROOT / "daybreak", staged / "daybreak", ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(str(Path(folder, "daybreak_pkg")), "zip", staged))
+        folder = tempfile.mkdtemp(prefix="daybreak-package-")  # the file server reads it as long as the session lives
+        atexit.register(shutil.rmtree, folder, True)
+        staged = Path(folder, "staged")
+        shutil.copytree(ROOT / "daybreak", staged / "daybreak", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(Path(folder, "daybreak_pkg")), "zip", staged))
     sc._daybreak_shipped = True
