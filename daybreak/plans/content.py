@@ -167,7 +167,7 @@ def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of conversations left-joined to their responses; all responses count, blank ones give no line."""
     c = table(spark, sf_dir, "conversations")
     index = c.select("conv_id").distinct()
-    responses = c.where("conv_id % 4 <> 0").withColumn("message", F.when(F.col("turn") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
+    responses = c.where("lower(role) <> 'user'").withColumn("message", F.when(F.col("turn") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
     body = sources.conversation_items(responses.select("conv_id", "turn", "role", F.col("message").alias("text"))).select("conv_id", "body")
     counts = responses.groupBy("conv_id").agg(F.count("*").alias("response_count"))
     out = index.join(body, "conv_id", "left").join(counts, "conv_id", "left")
@@ -183,7 +183,7 @@ def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_rows(spark, sf_dir)
     posts = e.select(F.col("event_id").cast("string").alias("id"), F.when(F.col("k") % 9 != 0, F.col("event_type")).otherwise(F.lit("  ")).alias("text"), F.col("user_id").alias("author_id"), F.array(F.lit("ftp://x"), F.concat(F.lit("https://t.example/"), F.col("k").cast("string"))).alias("urls"))
-    users = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "[# ]", "_").alias("username"))
+    users = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "[# ]", "_").alias("username"))
     return sources.post_items(posts, users, "bookmarks")
 
 
@@ -262,11 +262,11 @@ def json_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest's account of each conversation, else the user's email."""
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    manifest = c.where("conv_id % 3 = 0").select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("acct"), "conv_id")).alias("account"))
-    user = c.where("conv_id % 5 <> 0").select("conv_id", F.concat(F.lit("u"), "conv_id", F.lit("@example.com")).alias("email"))
-    return c.join(manifest, "conv_id", "left").join(user, "conv_id", "left").select("conv_id", F.coalesce("account", "email").alias("account"))
+    """The account of each conversation's manifest, else its user's email: a system turn stands for the one, a user turn for the other."""
+    c = table(spark, sf_dir, "conversations")
+    manifest = c.where("lower(role) = 'system'").groupBy("conv_id").agg(F.min(F.concat(F.lit("acct"), "conv_id")).alias("account"))
+    user = c.where("lower(role) = 'user'").groupBy("conv_id").agg(F.min(F.concat(F.lit("u"), "conv_id", F.lit("@example.com"))).alias("email"))
+    return c.select("conv_id").distinct().join(manifest, "conv_id", "left").join(user, "conv_id", "left").select("conv_id", F.coalesce("account", "email").alias("account"))
 
 
 QUERIES = {
@@ -343,7 +343,7 @@ SELECT 'calendar:' || o_orderkey AS id, o_orderpriority AS title, {ISO_SQL.forma
 WITH f AS (SELECT conv_id, arg_min(text, (turn, role)) AS text, max(turn) AS last FROM conversations GROUP BY conv_id)
 SELECT 'session:' || conv_id AS id, left({_FLAT.format("split_part(text, chr(10), 1)")}, 80) AS title, last FROM f""",
     "history_import": """
-WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS t FROM conversations WHERE conv_id % 4 <> 0),
+WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS t FROM conversations WHERE lower(role) <> 'user'),
 b AS (SELECT conv_id, string_agg(lower(role) || ': ' || trim(t), chr(10) || chr(10) ORDER BY turn) AS body FROM r WHERE trim(t) <> '' GROUP BY conv_id),
 n AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id)
 SELECT c.conv_id, sha256(b.body) AS digest, coalesce(n.n, 0) AS response_count FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b USING (conv_id) LEFT JOIN n USING (conv_id)""",
@@ -352,7 +352,7 @@ SELECT c.conv_id, sha256(b.body) AS digest, coalesce(n.n, 0) AS response_count F
     + EVENTS_SQL
     + """ SELECT event_id::VARCHAR AS id, CASE WHEN k % 9 <> 0 THEN event_type ELSE 'Untitled post' END AS title,
   'https://x.com/' || coalesce(regexp_replace(c_name, '[# ]', '_', 'g'), 'i/web') || '/status/' || event_id AS url, 'https://t.example/' || k AS target_url, true AS saved, false AS liked
-FROM ev LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id""",
+FROM ev LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_custkey = user_id""",
     "snapshot_posts": "WITH "
     + EVENTS_SQL
     + """, o AS (SELECT * FROM ev WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY event_type, user_id, k ORDER BY event_id) = 1)
@@ -374,5 +374,5 @@ SELECT address, {_SHORT.format('t', 40)} AS title FROM f QUALIFY row_number() OV
     "json_kernels": """
 WITH e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 3 = 0 THEN 'note ' || event_id END AS note FROM events)
 SELECT event_id, k, note AS review_note, CASE WHEN k > 50 THEN '{"last_error":"late"}' ELSE '{}' END AS details FROM e""",
-    "account_lookup": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 6 = 0 THEN 'acct' || conv_id WHEN conv_id % 5 <> 0 THEN 'u' || conv_id || '@example.com' END AS account FROM conversations",
+    "account_lookup": "SELECT conv_id, CASE WHEN bool_or(lower(role) = 'system') THEN 'acct' || conv_id WHEN bool_or(lower(role) = 'user') THEN 'u' || conv_id || '@example.com' END AS account FROM conversations GROUP BY conv_id",
 }

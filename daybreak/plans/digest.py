@@ -89,8 +89,8 @@ def item_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_first_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = document_items(spark, sf_dir)
-    candidates = items.where("doc_id % 10 = 0").select(F.concat(F.lit("cand:"), "doc_id").alias("candidate_id"), F.array(*(F.concat(F.lit("doc:"), (F.col("doc_id") + d).cast("string")) for d in (1, 2, 3))).alias("item_ids"))
-    return first_item(candidates, items.where("doc_id % 4 = 2"))
+    candidates = items.select(F.concat(F.lit("cand:"), "doc_id").alias("candidate_id"), F.array(*(F.concat(F.lit("doc:"), (F.col("doc_id") + d).cast("string")) for d in (1, 2, 3))).alias("item_ids"))
+    return first_item(candidates, items.where("kind = 'document'"))
 
 
 def compact_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +120,8 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN kind = 'docume
     "item_predicates": "WITH " + ITEMS_SQL + " SELECT source, count_if(unresolved)::BIGINT AS open_loops, count_if(saved)::BIGINT AS intents, count_if(future)::BIGINT AS future, count_if(kind = 'feed_item')::BIGINT AS feeds, count_if(unresolved OR saved OR future)::BIGINT AS any_flag FROM items GROUP BY source",
     "candidate_first_item": "WITH "
     + ITEMS_SQL
-    + """, c AS (SELECT 'cand:' || doc_id AS candidate_id, doc_id, unnest([1, 2, 3]) AS d FROM items WHERE doc_id % 10 = 0),
-m AS (SELECT c.candidate_id, arg_min(i.id, c.d) AS item_id FROM c JOIN items i ON i.doc_id = c.doc_id + c.d AND i.doc_id % 4 = 2 GROUP BY 1)
+    + """, c AS (SELECT 'cand:' || doc_id AS candidate_id, doc_id, unnest([1, 2, 3]) AS d FROM items),
+m AS (SELECT c.candidate_id, arg_min(i.id, c.d) AS item_id FROM c JOIN items i ON i.doc_id = c.doc_id + c.d AND i.kind = 'document' GROUP BY 1)
 SELECT DISTINCT c.candidate_id, coalesce(m.item_id, c.candidate_id) AS item_id FROM c LEFT JOIN m USING (candidate_id)""",
     "compact_projection": "WITH "
     + ITEMS_SQL

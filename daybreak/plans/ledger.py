@@ -13,16 +13,20 @@ from daybreak.operators.dedupe import first_wins, heaviest_wins, last_value_firs
 from daybreak.session import table
 
 
+#: What the first batch holds; the second one holds all documents.
+FIRST_BATCH = "lang <> 'en'"
+
+
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ledger rows: the text's hash as identity, the title and place as what may change."""
     items = document_items(spark, sf_dir)
-    return items.select("source", F.sha2("body", 256).alias("identity"), fingerprint(F.col("title"), F.col("tier")).alias("fingerprint"), F.col("doc_id").alias("pos"), "id")
+    return items.select("source", F.sha2("body", 256).alias("identity"), fingerprint(F.col("title"), F.col("tier")).alias("fingerprint"), F.col("doc_id").alias("pos"), "id", "lang")
 
 
 BATCH_SQL = (
     "WITH "
     + ITEMS_SQL
-    + """, b AS (SELECT 'all' AS source, sha256(body) AS identity, sha256('=' || title || chr(31) || '=' || tier) AS fingerprint, doc_id AS pos, id FROM items)"""
+    + """, b AS (SELECT 'all' AS source, sha256(body) AS identity, sha256('=' || title || chr(31) || '=' || tier) AS fingerprint, doc_id AS pos, id, lang FROM items)"""
 )
 
 
@@ -35,20 +39,20 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_wins(_merged(_batch(spark, sf_dir)).where("pos % 2 = 0"), ["source", "identity"], "pos").select("id", "identity", "fingerprint")
+    return first_wins(_merged(_batch(spark, sf_dir)).where(FIRST_BATCH), ["source", "identity"], "pos").select("id", "identity", "fingerprint")
 
 
 def ledger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the second batch (all documents) adds to the ledger of the first (even ids)."""
+    """What the second batch (all documents) adds to the ledger of the first (those in other languages than English)."""
     batch = _merged(_batch(spark, sf_dir))
-    ledger = first_wins(batch.where("pos % 2 = 0"), ["source", "identity"], "pos").withColumn("seq", F.col("pos"))
+    ledger = first_wins(batch.where(FIRST_BATCH), ["source", "identity"], "pos").withColumn("seq", F.col("pos"))
     return ledger_diff(batch, ledger_state(ledger)).select("id", "identity", "fingerprint")
 
 
 def ledger_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose identity isn't among the even ones."""
+    """Documents whose identity isn't among those of the first batch."""
     batch = _merged(_batch(spark, sf_dir))
-    return batch.join(batch.where("pos % 2 = 0").select("identity").distinct(), "identity", "left_anti").select("id", "identity")
+    return batch.join(batch.where(FIRST_BATCH).select("identity").distinct(), "identity", "left_anti").select("id", "identity")
 
 
 def identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,14 +181,14 @@ def audit_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, line = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
-    polls = line.where("l_suppkey % 10 <> 3").groupBy("l_suppkey").agg(F.max(seconds("l_shipdate")).alias("polled_at"))
+    polls = line.where("l_discount >= 0.1 and l_quantity >= 49").groupBy("l_suppkey").agg(F.max(seconds("l_shipdate")).alias("polled_at"))
     return s.join(polls, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", "polled_at")
 
 
 POLLS_SQL = """
 WITH p AS (
   SELECT s_suppkey, s_name, polled_at FROM supplier LEFT JOIN (
-    SELECT l_suppkey, max(epoch_us(l_shipdate) // 1000000) AS polled_at FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY 1
+    SELECT l_suppkey, max(epoch_us(l_shipdate) // 1000000) AS polled_at FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 49 GROUP BY 1
   ) ON s_suppkey = l_suppkey
 )"""
 NOW = 1004832000  # 2001-11-04
@@ -209,8 +213,8 @@ def registry_state_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor rows of two polls: a null cursor keeps the old one, the other columns are overwritten."""
     e = event_rows(spark, sf_dir)
-    old = e.where("event_id % 2 = 0 and user_id % 3 <> 0").groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.max("sec").alias("polled_at"))
-    new = e.where("event_id % 2 = 1 and user_id % 5 <> 0").groupBy("user_id").agg(F.max(F.when(F.col("k") > 90, F.col("event_id"))).alias("cursor"), F.max("sec").alias("polled_at"))
+    old = e.where("sec < 1704240000 and event_type <> 'view'").groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.max("sec").alias("polled_at"))
+    new = e.where("sec >= 1706572800 and event_type <> 'click'").groupBy("user_id").agg(F.max(F.when(F.col("k") > 90, F.col("event_id"))).alias("cursor"), F.max("sec").alias("polled_at"))
     return state.upsert(old, new, "user_id", ("cursor",))
 
 
@@ -253,8 +257,8 @@ def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping lists of sources: each id at its first place with its last value."""
     s = table(spark, sf_dir, "supplier")
-    one = s.where("s_suppkey % 3 <> 0").select("s_suppkey", F.col("s_name").alias("title"), F.col("s_suppkey").alias("pos"))
-    two = s.where("s_suppkey % 2 = 0").select("s_suppkey", F.concat("s_name", F.lit(" v2")).alias("title"), (F.col("s_suppkey") + 1000000).alias("pos"))
+    one = s.where("s_acctbal >= 2000").select("s_suppkey", F.col("s_name").alias("title"), F.col("s_suppkey").alias("pos"))
+    two = s.where("s_nationkey < 13").select("s_suppkey", F.concat("s_name", F.lit(" v2")).alias("title"), (F.col("s_suppkey") + 1000000).alias("pos"))
     return last_value_first_place(one.unionByName(two), "s_suppkey", "pos")
 
 
@@ -280,12 +284,12 @@ WITH pg AS (
 )"""
 ORACLES = {
     "fingerprints": BATCH_SQL + " SELECT id, identity, fingerprint FROM b",
-    "ledger_initial": BATCH_SQL + " SELECT id, identity, fingerprint FROM b WHERE pos % 2 = 0 QUALIFY row_number() OVER (PARTITION BY identity ORDER BY pos) = 1",
+    "ledger_initial": BATCH_SQL + " SELECT id, identity, fingerprint FROM b WHERE lang <> 'en' QUALIFY row_number() OVER (PARTITION BY identity ORDER BY pos) = 1",
     "ledger_changes": BATCH_SQL
-    + """, l AS (SELECT identity, fingerprint FROM b WHERE pos % 2 = 0 QUALIFY row_number() OVER (PARTITION BY identity ORDER BY pos) = 1),
+    + """, l AS (SELECT identity, fingerprint FROM b WHERE lang <> 'en' QUALIFY row_number() OVER (PARTITION BY identity ORDER BY pos) = 1),
 f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY identity ORDER BY pos) = 1)
 SELECT id, identity, fingerprint FROM f ANTI JOIN l USING (identity, fingerprint)""",
-    "ledger_antijoin": BATCH_SQL + " SELECT id, identity FROM b WHERE identity NOT IN (SELECT identity FROM b WHERE pos % 2 = 0)",
+    "ledger_antijoin": BATCH_SQL + " SELECT id, identity FROM b WHERE identity NOT IN (SELECT identity FROM b WHERE lang <> 'en')",
     "identity_dedupe": PAGES_SQL + r" SELECT id, regexp_replace(url, '[?#].*$', '') AS identity FROM pg QUALIFY row_number() OVER (PARTITION BY identity ORDER BY page_id) = 1",
     "heaviest_dedupe": PAGES_SQL
     + r""", w AS (SELECT page_id, CASE WHEN page_id % 10 <> 0 THEN regexp_replace(url, '^([a-z]+://[^/?#]+).*$', '\1') END AS address, length(title) + length(body) AS weight FROM pg)
@@ -335,8 +339,8 @@ o AS (SELECT s_suppkey, n, CASE WHEN n > 0 THEN 'items' WHEN s_suppkey % 4 = 0 T
 SELECT s_suppkey, outcome, (CASE outcome WHEN 'items' THEN n WHEN 'success' THEN 0 ELSE s_suppkey END)::BIGINT AS n_ids, outcome = 'error' AS has_error FROM o WHERE outcome IS NOT NULL""",
     "connector_upsert": "WITH "
     + EVENTS_SQL
-    + """, o AS (SELECT user_id, max(event_id) AS cursor, max(sec) AS polled_at FROM ev WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1),
-n AS (SELECT user_id, max(CASE WHEN k > 90 THEN event_id END) AS cursor, max(sec) AS polled_at FROM ev WHERE event_id % 2 = 1 AND user_id % 5 <> 0 GROUP BY 1)
+    + """, o AS (SELECT user_id, max(event_id) AS cursor, max(sec) AS polled_at FROM ev WHERE sec < 1704240000 AND event_type <> 'view' GROUP BY 1),
+n AS (SELECT user_id, max(CASE WHEN k > 90 THEN event_id END) AS cursor, max(sec) AS polled_at FROM ev WHERE sec >= 1706572800 AND event_type <> 'click' GROUP BY 1)
 SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN coalesce(n.cursor, o.cursor) ELSE o.cursor END AS cursor,
   CASE WHEN n.user_id IS NOT NULL THEN n.polled_at ELSE o.polled_at END AS polled_at FROM o FULL JOIN n ON o.user_id = n.user_id""",
     "approval_machine": APPROVALS_SQL + " SELECT o_orderkey, coalesce(two, one) AS state, second IS NOT NULL AND two IS NULL AS second_rejected FROM t",
@@ -350,6 +354,7 @@ SELECT o_orderkey, CASE WHEN b = 'active' AND c = 0 THEN 'dismissed' WHEN b = 'a
     + """ SELECT 'cursor' AS part, event_type AS name, max(event_id)::VARCHAR AS value FROM ev WHERE sec <= 1705276800 GROUP BY event_type
 UNION ALL SELECT 'action', coalesce(two, one), count(*)::VARCHAR FROM t GROUP BY 2""",
     "registry_load": """
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' v2' ELSE s_name END AS title, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey ELSE s_suppkey + 1000000 END AS pos
-FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0""",
+SELECT s_suppkey, CASE WHEN s_nationkey < 13 THEN s_name || ' v2' ELSE s_name END AS title, CASE WHEN s_acctbal >= 2000 THEN s_suppkey ELSE s_suppkey + 1000000 END AS pos
+FROM supplier WHERE s_acctbal >= 2000 OR s_nationkey < 13
+""",
 }
