@@ -232,6 +232,21 @@ def residual_runs(rests: DataFrame) -> DataFrame:
     return found_runs(rests.select("hub", "id", "rest").mapInArrow(post, Postings.SCHEMA), "residual-runs")
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """(key, hub): the most central member of each long run, or one hub for all runs whose members share their best hub.
+
+    Any set may stand in a run's middle, so runs that lie inside the group of a more central hub take
+    that hub, even where it isn't among them: a large group then has one hub instead of one a run.
+    """
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    central = company.groupBy("id").agg(F.sum("n").alias("central"))
+    own = members.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("col2"))).alias("top"))
+    own = own.select("key", (-F.col("top.col2")).alias("own"), F.col("top.central").alias("weight"))
+    best = members.join(own, "key").groupBy("id").agg(F.max(F.struct("weight", (-F.col("own")).alias("col2"))).alias("best")).select("id", (-F.col("best.col2")).alias("best"))
+    shared = members.join(best, "id").groupBy("key").agg(F.min("best").alias("low"), F.max("best").alias("high"))
+    return own.join(shared, "key").select("key", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("own")).alias("hub"))
+
+
 def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) over all confirmed links of the candidates in `found`.
 
@@ -264,9 +279,7 @@ def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], residual
         long = not members.isEmpty()
         groups = None
         if long:
-            company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-            central = company.join(company.groupBy("id").agg(F.sum("n").alias("central")), "id")
-            hubs = central.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
+            hubs = _hubs(members)
             groups = stored(members.join(hubs, "key").where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "groups")
             learn(pair(STAR).unionByName(groups))
         else:
