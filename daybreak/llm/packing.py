@@ -1,8 +1,9 @@
 """Packing: lexical retrieval packing of whole corpora into windows of a fixed number of tokens.
 
 Every document is tokenised whole and ends with `end_id`. Documents are dealt into shards of bounded
-token count in the order of a MinHash of their token ids and of their id, so that a shard holds
-lexically near documents and a hot signature fills several shards. Each shard builds a
+token count in the order of three MinHash values of their token ids, weighted towards rare ids, and of
+their id, so that a shard holds lexically near documents and a hot signature fills several shards. A
+seed's neighbours are looked up in its own shard only. Each shard builds a
 BM25 inverted index over its documents, with document frequencies and the average length taken over
 all documents. A seed document opens a window; its unused neighbours, by descending BM25 score, fill
 it; the piece that doesn't fit is cut and its rest stays in the index. A document's full windows need
@@ -25,24 +26,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybreak.llm import tokens
-from daybreak.llm.common import binary_rows, mix64, ship, stored, table
+from daybreak.llm.common import binary_rows, mix64, odd_multipliers, ship, stored, table
 
+#: MinHash values in a signature, of 21 bits each at most.
+VALUES = 3
+#: Tokens of a partition on average: near signatures gather long documents, which must fit an executor a few times over.
+PARTITION = 1 << 21
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def orders(vocabulary: int, end_id: int) -> np.ndarray:
+    """(VALUES, vocabulary): the rank of each id in weighted MinHash orders, which a later id leads the more often.
+
+    Byte-pair ids are numbered by merge, so late ids are rare in most texts. Every document has `end_id`: it comes last.
+    """
+    ids = np.arange(vocabulary, dtype=np.uint64)
+    out = np.empty((VALUES, vocabulary), np.int64)
+    for k, factor in enumerate(odd_multipliers(VALUES, 3)):
+        chance = ((mix64((ids + np.uint64(1)) * factor) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
+        key = -np.log(chance) / (ids + np.uint64(1)).astype(float)
+        key[end_id] = np.inf
+        out[k, np.argsort(key, kind="stable")] = np.arange(vocabulary)
+    return out
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(signature, doc_id, ids): the ids as little-endian unsigned 32-bit integers, and a MinHash of their set.
+    """(signature, doc_id, ids): the ids as little-endian unsigned 32-bit integers, and the MinHash values of their set in one number.
 
-    Documents share a signature with a chance equal to the Jaccard similarity of their ids.
+    Documents share the first value with a chance equal to the weighted Jaccard similarity of their ids.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.encoder(tokenizer)
-        place = mix64(np.arange(max(len(codec.ends), end_id + 1), dtype=np.uint64)).astype(np.int64)
-        place[end_id] = np.iinfo(np.int64).max  # every document has it
+        ranks = orders(max(len(codec.ends), end_id + 1), end_id)
+        bits = min(21, int(ranks.shape[1]).bit_length())
         for batch in batches:
             for row, end, ids, counts in codec.column(batch.column(1), end_id):
-                signature = np.minimum.reduceat(place[ids], np.cumsum(counts) - counts)
+                signature, begin = np.zeros(len(counts), np.int64), np.cumsum(counts) - counts
+                for rank in ranks:
+                    signature = signature << bits | np.minimum(np.minimum.reduceat(rank[ids], begin), (1 << bits) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(signature), batch.column(0).slice(row, end - row), binary_rows(ids, counts)], ["signature", "doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "signature long, doc_id long, ids binary")
@@ -55,6 +77,7 @@ def document_frequencies(tokenized: DataFrame, vocabulary: int) -> tuple[np.ndar
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         found, docs, ids = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             rows = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)]
@@ -167,6 +190,7 @@ def pack(
     idf, average = spark.sparkContext.broadcast(weight), n_ids / max(n_docs, 1)  # one number per vocabulary entry
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         names: list[int | None] = []
@@ -194,7 +218,7 @@ def pack(
         if docs:
             yield flush()
 
-    return encoded.repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
+    return encoded.repartitionByRange(n_ids // PARTITION + 1, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

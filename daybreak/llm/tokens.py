@@ -7,6 +7,7 @@ bounded cache keeps them for the worker's next batches.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -120,6 +121,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Gives back what the worker's encoders hold, for steps of the same worker that only read ids."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -74,6 +74,17 @@ def test_packing_places_every_token_once(spark, docs, shard):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_deals_near_documents_into_one_shard(spark):
+    rng = np.random.default_rng(5)
+    common = "the of and to in is that for it as was with be by on not he his but at".split()
+    texts = [" ".join([*common, *("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(12))]) for _ in range(300)]
+    docs = spark.createDataFrame([(i, texts[i % 300]) for i in range(600)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") >= 300, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
+    tokenized = packing.tokenize(docs, tokens.default_path(), 1).toPandas().sort_values(["signature", "doc_id"])
+    shard = {d: at // 20 for at, d in enumerate(tokenized.doc_id)}
+    assert np.mean([shard[i] == shard[i + 300] for i in range(300)]) > 0.7
+
+
 def test_packing_prefers_lexical_neighbours():
     shard = packing.Shard([np.array(x, np.uint32) for x in ([1, 2, 3], [7, 8, 9], [2, 3, 4], [9, 9, 7])], np.ones(10, np.float32), 3.0, 8, 1.2, 0.75)
     assert shard.neighbours(0).tolist() == [2] and shard.neighbours(1).tolist() == [3]
