@@ -11,9 +11,9 @@ stay exact.
 Queries go out in blocks of bounded size; each block is one pass over the stored vectors, whose
 partitions return their own top k, and a final top k per query merges these.
 
-Cases: a null vector, one with a null or non-finite component, or one with a component of 2^21 or more
-(whose scores need not fit a long) takes no part, nor does a null id; rows that repeat an id count
-once, with the smallest vector; vectors of fewer components are as if ended by zeros; fewer
+Cases: a null vector or one with a null or non-finite component takes no part, nor does a null id; pairs
+whose sums could leave a long are scored in Python's integers, and a component or a score of the result
+that doesn't fit a long is an error; rows that repeat an id count once, with the smallest vector; vectors of fewer components are as if ended by zeros; fewer
 candidates than k give as many rows; an empty table gives none. Ties go to the smaller id.
 """
 
@@ -23,27 +23,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybreak.llm.common import scratch, ship, stored, table
 
 FOUND = "query_id long, vec_id long, score long"
 HEAD, CHUNK = 4096, 1024
+#: Scores below any long count as this one until it is known whether the result needs them.
+LOWEST = 1 - (1 << 63)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component, with x as a double."""
     x = F.col(vector_col)
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float(1 << 21))))
+    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(x.isNotNull() & F.col(id_col).isNotNull() & whole)
-    ints = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
+    too_large = F.raise_error(F.lit(f"a vector's component times {scale} doesn't fit a long")).cast("long")
+
+    def whole_number(c: Column) -> Column:
+        scaled = F.lit(float(scale)) * c.cast("double")
+        return F.when(F.abs(scaled) >= F.lit(float(1 << 63)), too_large).otherwise(F.floor(scaled).cast("long"))
+
+    ints = F.transform(x, whole_number)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def norm_sorted(ints: DataFrame) -> DataFrame:
     """The vectors in partitions by descending length, stored."""
-    length2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
+    length2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     rows = ints.withColumn("length2", length2)
     return stored(rows.repartitionByRange(F.desc("length2")).sortWithinPartitions(F.desc("length2"), "vec_id"), "vectors")
 
@@ -114,7 +122,7 @@ class Searcher:
         q = active[q]
         other = self.ids[q] != ids[x]
         q, x = q[other], x[other]
-        score = np.einsum("ij,ij->i", self.queries[q], vectors[x])
+        score = self._scores(q, vectors, x, self.lengths[q] * lengths[x])
         keep = score >= self.threshold[q]
         q, x, score = q[keep], x[keep], score[keep]
         order = np.lexsort((ids[x], -score, q))
@@ -126,7 +134,19 @@ class Searcher:
             best = sorted([*self.best[at], *zip((-score[a:b]).tolist(), ids[x[a:b]].tolist())])[: self.k]
             self.best[at] = best
             if len(best) == self.k:
-                self.threshold[at] = max(self.threshold[at], -best[-1][0])
+                self.threshold[at] = max(self.threshold[at], np.nextafter(float(-best[-1][0]), -np.inf))  # a double may be above the integer
+
+    def _scores(self, q: np.ndarray, vectors: np.ndarray, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs, whose absolute values are `bound` at most."""
+        score = np.einsum("ij,ij->i", self.queries[q], vectors[x])
+        wide = np.flatnonzero(bound >= 1 << 62)
+        for at in range(0, len(wide), CHUNK):
+            part = wide[at : at + CHUNK]
+            exact = (self.queries[q[part]].astype(object) * vectors[x[part]].astype(object)).sum(axis=1)
+            if max(exact) >= 1 << 63:
+                raise OverflowError("a score doesn't fit a long")
+            score[part] = [max(s, LOWEST) for s in exact]
+        return score
 
     def found(self) -> pa.RecordBatch:
         rows = [(int(i), vec, -score) for i, best in zip(self.ids, self.best) for score, vec in best]
@@ -173,7 +193,8 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 10, query_block: i
         sent.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = spark.read.parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    too_small = F.raise_error(F.lit("a score doesn't fit a long")).cast("long")
+    return best.select("query_id", "rank", "vec_id", F.when(F.col("score") <= LOWEST, too_small).otherwise(F.col("score")).alias("score"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,24 @@ def test_top_products_equal_brute_force(spark):
     assert inner_product.top_inner_products(inner_product.integer_vectors(frame.limit(0)), F.lit(True)).count() == 0
 
 
+def test_top_products_of_large_vectors(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-1, 5)]) for i in range(200)]
+    vectors += [(200, [float(1 << 21), 1.0, 0.0, 0.0]), (201, [-float(1 << 27), 0.0, 3.0, 0.0]), (202, [float(1 << 21), 1.0, 0.0, 0.001])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    near = inner_product.top_inner_products(inner_product.integer_vectors(frame), F.col("vec_id").isin(0, 100, 200), k=5)
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, near.collect())) == sorted(want)
+    for embedding in ([1e30] * 4, [float(1 << 40), 0.0, 0.0, 0.0], [-float(1 << 40), 0.0, 0.0, 0.0]):
+        over = spark.createDataFrame([(0, [float(1 << 40), 0.0, 0.0, 0.0]), (1, embedding)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="fit a long"):
+            inner_product.top_inner_products(inner_product.integer_vectors(over), F.col("vec_id") == 0).collect()
+
+
 def test_toxicity_learns_and_leaves_held_out_rows_alone(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
