@@ -125,6 +125,20 @@ def test_top_products_equal_brute_force(spark):
     assert inner_product.top_inner_products(inner_product.integer_vectors(frame.limit(0)), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("union", [5, 20, 60, 500])
+def test_bands_miss_few_links(union):
+    rng = np.random.default_rng(7)
+    both, n = union * 4 // 5, 4000
+    hashes = rng.integers(0, 1 << 64, (n, union), dtype=np.uint64)
+    other = np.concatenate([hashes[:, :both], hashes[:, (both + union) // 2 :]], axis=1)
+    keys = []
+    for sets in (hashes[:, : (both + union) // 2], other):
+        parts = [sets[i : i + 2000] for i in range(0, n, 2000)]
+        signatures = np.concatenate([line_dedup.one_permutation(p.ravel(), np.full(len(p), p.shape[1])) for p in parts])
+        keys.append(line_dedup.band_keys(signatures, 20, 6))
+    assert (keys[0] != keys[1]).all(axis=1).mean() < 0.007
+
+
 def test_top_products_of_large_vectors(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-1, 5)]) for i in range(200)]
