@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,15 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybreak.session import ship, table  # noqa: F401
+from daybreak.session import ship as ship_package, table  # noqa: F401
 
 _counter = itertools.count()
 
 
+#: Bytes of a batch that goes to a Python worker, so that long texts don't make large ones.
+BATCH_BYTES = 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable on the executors and bounds the batches that go to them by bytes."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one only where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir; a temporary one only where it is unset on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_daybreak_root", None)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="daybreak-")
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext._daybreak_root = root = f"file://{root}"
@@ -34,43 +47,46 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{next(_counter)}-{uuid.uuid4().hex[:12]}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back, which cuts its lineage."""
-    return spark_read(df.sparkSession, write(df, label))
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)  # what a writer or reader holds is bounded
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._daybreak_path = path
+    return out
 
 
-def write(df: DataFrame, label: str) -> str:
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return path
+def remove(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that no later plan reads."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(df._daybreak_path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spark_read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def fresh(prefix: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(name for k in itertools.count() if (name := f"{prefix}_{k}").lower() not in taken)
 
 
-BITSET_BITS = 26
+def filter_bits(count: int) -> int:
+    """Bits of a filter over so many ids, as a power of two: 16 for each, 2^28 (32 MB) at most, where it lets more others through."""
+    return min(28, max(16, int(16 * count).bit_length()))
 
 
-def bitset(ids: DataFrame) -> np.ndarray:
-    """A filter over 64-bit ids: 2^BITSET_BITS bits at any number of ids."""
-    place = F.col("id").bitwiseAND(F.lit((1 << BITSET_BITS) - 1).cast("long"))
+def bitset(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2^bits bits over the 64-bit column id."""
+    place = F.col("id").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     bit = F.expr("shiftleft(1L, cast(place & 63L AS INT))")
     words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITSET_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return out
 
 
 def in_bitset(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    place = ids.view(np.uint64) & np.uint64((1 << BITSET_BITS) - 1)
+    place = ids.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -115,11 +131,11 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(seed * 1_000_003 + 1, seed * 1_000_003 + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-_POWER = np.uint64(0x9E3779B97F4A7C55)
+POWER = np.uint64(0x9E3779B97F4A7C55)
 
 
 def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _POWER, dtype=np.uint64)
+    out = np.full(max(n, 1), POWER, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
@@ -172,6 +188,23 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
     return mix64(mixed[keep]), n_shingles
 
 
+def sorted_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row in ascending order, one row after the other, and their number; sorts in place."""
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        hashes[a:b].sort()
+    keep = np.ones(len(hashes), bool)
+    keep[1:] = hashes[1:] != hashes[:-1]
+    keep[(ends - counts)[counts > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return hashes[keep], upto[ends] - upto[ends - counts]
+
+
+def row_views(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(counts).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def table_of(chars: bytes, complement: bool = False) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars)] = True

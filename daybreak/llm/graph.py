@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybreak.llm.common import stored
+from daybreak.llm.common import remove, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,24 +16,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     table between rounds is written to the shared folder, so a lost executor costs one step.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "links")
-    roots = None
+    roots = stored(links.select(F.col("hi").alias("id"), F.col("lo").alias("root")).limit(0), "roots")
     while not links.isEmpty():
-        parent = stored(links.groupBy("hi").agg(F.min("lo").alias("root")), "parents")
+        parent = stored(links.groupBy("hi").agg(F.min("lo").alias("root"), F.lit(True).alias("moved")), "parents")
         while True:
             above = parent.select(F.col("hi").alias("root"), F.col("root").alias("next"))
             jumped = stored(parent.join(above, "root", "left").select("hi", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "jumps")
-            parent = jumped.select("hi", "root")
+            remove(parent)
+            parent = jumped
             if jumped.where("moved").isEmpty():
                 break
-        if roots is None:
-            roots = parent.select(F.col("hi").alias("id"), "root")
-        else:
-            step = parent.select(F.col("hi").alias("root"), F.col("root").alias("next"))
-            roots = roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-            roots = stored(roots.unionByName(parent.select(F.col("hi").alias("id"), "root").join(roots.select("id"), "id", "left_anti")), "roots")
+        step = parent.select(F.col("hi").alias("root"), F.col("root").alias("next"))
+        moved = roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        risen = stored(moved.unionByName(parent.select(F.col("hi").alias("id"), "root").join(roots.select("id"), "id", "left_anti")), "roots")
         low = parent.select(F.col("hi").alias("lo"), F.col("root").alias("lo_root"))
-        ends = links.join(parent, "hi").join(low, "lo", "left").select("root", F.coalesce("lo_root", "lo").alias("other"))
-        links = stored(ends.where("root <> other").select(F.greatest("root", "other").alias("hi"), F.least("root", "other").alias("lo")).distinct(), "links")
-    if roots is None:
-        return edges.sparkSession.createDataFrame([], "id long, root long")
+        ends = links.join(parent.select("hi", "root"), "hi").join(low, "lo", "left").select("root", F.coalesce("lo_root", "lo").alias("other"))
+        left = stored(ends.where("root <> other").select(F.greatest("root", "other").alias("hi"), F.least("root", "other").alias("lo")).distinct(), "links")
+        remove(parent, roots, links)
+        roots, links = risen, left
+    remove(links)
     return roots

@@ -1,16 +1,21 @@
-"""MinHash signatures, their postings, and links that are found without pairing off a group.
-
-Postings (a 64-bit key and a row id) travel as packed arrays, one blob for each bucket of keys and
-flush, and each bucket sorts its postings into runs of equal keys. A short run yields a star
-(every member with its smallest) and its remaining pairs; a long run is kept as a run, whose hub is its
-most central member: the one with the most company over all long runs. Stars are confirmed first and
-united; only pairs that still join different components are confirmed after that.
-
-A long run's members that its star leaves outside are settled by what they have beyond the hub's set.
-Two sets x and y that share nothing outside a set c have at most min(|x & c|, |y & c|) in common. So a
-link in the run either passes that bound, which only outsiders that almost reach the hub can, or shares a
-shingle that the hub lacks. Members are posted under those shingles, and the runs of these postings go
-the same way. So a group of n near copies costs about n confirmations, and no link is lost.
+"""MinHash postings, merged into counted candidate pairs, and links that are found without pairing off a group.
+
+Postings (a 64-bit key, a row id and a sketch of the coordinates that aren't posted) travel as packed arrays, one
+blob for each bucket of keys and flush. A bucket merges its posting lists, runs of equal keys: a run of at most
+`SHORT` members gives its pairs, each with the number of lists of the bucket in which it collides, and with the
+coordinates of the sketches that agree (the skipped lists, probed). These counts are summed over the buckets. A longer
+run gives its members only; what two ids may share in long runs, at most the number of long runs that the lesser of
+them is in, is added to their count before it is held against the threshold, so no pair is lost by it.
+
+A key with many postings in one flush (`LOCAL`) doesn't reach its bucket: its members go on as those of a long run, and
+a marker tells the bucket. So what one task holds of a key is bounded by `LOCAL` for each flush.
+
+A long run is settled by stars: of the run around its most central member (that with the most company over all long
+runs), and of splits of about `SPLIT` members around the most central one of each. First one star a member and the
+stars of the short runs are confirmed and united; then what still joins different components of the short runs' other
+pairs, the other runs' stars and the splits' stars. A group of n near copies costs about n confirmations, then. Two ids that
+meet in long runs only and that no hub links are not compared with one another; ids that share what their hubs lack meet
+in short runs, where every pair counts.
 """
 
 from __future__ import annotations
@@ -19,22 +24,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybreak.llm.common import binary_rows, mix64, odd_multipliers, stored
+from daybreak.llm.common import mix64, odd_multipliers, remove, row_views, stored
 from daybreak.llm.graph import connected_components
 
-#: A run of at most this many members gives all its pairs; a longer one is settled around its hub.
-SHORT = 32
-FLUSH = 1 << 20
+#: A run of at most this many members gives all its pairs.
+SHORT = 16
+#: Members of a split of a long run, about.
+SPLIT = 32
+#: Postings of one key in a flush beyond which they are a long run's.
+LOCAL = 128
+#: Postings of a flush: as many buckets as there may be, a row holds a few kilobytes at most where rows are kept in Parquet.
+FLUSH = 1 << 18
+MARK = np.int64(-(1 << 63))
 
 
 def minhash(hashes: np.ndarray, counts: np.ndarray, permutations: int, seed: int = 1) -> np.ndarray:
     """(rows, permutations) minima over each row's hashes; every row must have one at least."""
     starts = np.cumsum(counts) - counts
     out = np.empty((len(counts), permutations), np.uint64)
-    block = 1 << 16
+    block = 1 << 15
     factors = odd_multipliers(permutations, seed)
     row = 0
     while row < len(counts):  # blocks that stay in the processor's cache
@@ -55,24 +67,48 @@ def folded(minima: np.ndarray, rows: int) -> np.ndarray:
     return mix64((groups * factors).sum(axis=2, dtype=np.uint64) + np.arange(k // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+SKETCH_BITS = 12
+
+
+def sketches(coordinates: np.ndarray) -> np.ndarray:
+    """Up to five coordinates in a number of `SKETCH_BITS` bits each."""
+    out = np.zeros(len(coordinates), np.uint64)
+    for j in range(coordinates.shape[1]):
+        out |= (coordinates[:, j] & np.uint64((1 << SKETCH_BITS) - 1)) << np.uint64(j * SKETCH_BITS)
+    return out
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, skipped: int) -> np.ndarray:
+    """How many of `skipped` sketched coordinates agree."""
+    differ = a ^ b
+    out = np.zeros(len(a), np.int32)
+    for j in range(skipped):
+        out += (differ >> np.uint64(j * SKETCH_BITS)) & np.uint64((1 << SKETCH_BITS) - 1) == 0
+    return out
+
+
 class Postings:
-    """Gathers postings and emits them as (bucket, blob) rows, without repeats inside a flush.
+    """Gathers postings and emits them as (bucket, blob) rows.
 
-    wide keeps all 64 bits of a key. Otherwise the 32 bits below the bucket's stand for it, which
-    makes about one in four thousand postings meet a stranger at any size, as a bucket's postings
-    are bounded; their links are refuted by the confirmation.
+    Of a key, the 32 bits below the bucket's stand for it, which makes about one in four thousand postings meet a
+    stranger at any size, as a bucket's postings are bounded; their links are refuted by the confirmation. Long runs
+    go out in groups of their own, which have negative numbers.
     """
 
     NAMES = ["bucket", "blob"]
-    SCHEMA = "bucket int, blob binary"
+    SCHEMA = "bucket long, blob binary"
 
-    def __init__(self, bucket_bits: int, wide: bool = True):
-        self.bits, self.wide, self.keys, self.ids, self.held = bucket_bits, wide, [], [], 0
+    def __init__(self, bucket_bits: int, sketched: bool = False):
+        self.bits, self.sketched, self.keys, self.ids, self.sketches, self.held = bucket_bits, sketched, [], [], [], 0
+        context = TaskContext.get()
+        self.place, self.flushes = context.partitionId() if context else 0, 0
 
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if keys.size:
             self.keys.append(keys.ravel())
             self.ids.append(np.repeat(ids.astype(np.int64), keys.shape[1]))
+            if self.sketched:
+                self.sketches.append(np.repeat(sketch, keys.shape[1]))
             self.held += keys.size
             if self.held >= FLUSH:
                 yield self.flush()
@@ -81,18 +117,28 @@ class Postings:
         buckets, blobs = [], []
         if self.held:
             keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-            keys, ids = keys[fresh], ids[fresh]
-            bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-            found, at = np.unique(bucket, return_index=True)
-            for b, i, j in zip(found, at, np.append(at[1:], len(keys))):
-                buckets.append(int(b))
-                part = keys[i:j] if self.wide else (keys[i:j] << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
-                blobs.append(ids[i:j].tobytes() + part.tobytes())
-        self.keys, self.ids, self.held = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], self.NAMES)
+            sketch = np.concatenate(self.sketches) if self.sketched else np.empty(0, np.uint64)
+            ordered = np.sort(keys)
+            hot = np.unique(ordered[LOCAL:][ordered[LOCAL:] == ordered[:-LOCAL]])
+            if len(hot):
+                long = np.isin(keys, hot)
+                order = np.flatnonzero(long)
+                order = order[np.argsort(keys[order], kind="stable")]
+                buckets.append(-1 - (self.place << 20 | self.flushes))
+                blobs.append(ids[order].tobytes() + keys[order].tobytes())
+                keys, ids = np.append(keys[~long], hot), np.append(ids[~long], np.full(len(hot), MARK))
+                sketch = np.append(sketch[~long], np.zeros(len(hot), np.uint64)) if self.sketched else sketch
+            bucket = (keys >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32) if self.bits else np.zeros(len(keys), np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            bucket, ids, sketch = bucket[order], ids[order], sketch[order] if self.sketched else sketch
+            short = (keys[order] << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
+            at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            for i, j in zip(at, at[1:]):
+                buckets.append(int(bucket[i]))
+                blobs.append(ids[i:j].tobytes() + short[i:j].tobytes() + sketch[i:j].tobytes())
+        self.keys, self.ids, self.sketches, self.held = [], [], [], 0
+        self.flushes += 1
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], self.NAMES)
 
 
 def bucket_bits(postings: int, each: int = 1 << 20) -> int:
@@ -101,59 +147,143 @@ def bucket_bits(postings: int, each: int = 1 << 20) -> int:
 
 
 STAR, REST, RUN = 0, 1, 2
+FOUND = "kind byte, a long, b long, n int, skipped int"
+_NO_PAIRS = (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int32),) * 2
+
 
+def _found(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, skipped: np.ndarray) -> pa.Table:
+    return pa.table({"kind": pa.array(kind, pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32()), "skipped": pa.array(skipped, pa.int32())})
 
-def runs(table: pa.Table, wide: bool = True) -> pa.Table:
-    """One bucket's (kind, x, y): star pairs, other pairs of short runs, and (key, member) rows of long runs."""
-    keys, ids = [], []
+
+def merged_lists(table: pa.Table, bits: int, skipped: int) -> pa.Table:
+    """One bucket's FOUND rows: pairs of short runs with their collisions, and (key, member, run's size) of long runs."""
+    bucket = table.column("bucket")[0].as_py()
+    keys, ids, sketch = [], [], []
     for blob in table.column("blob"):
         data = blob.as_buffer()
-        n = len(data) // (16 if wide else 12)
+        if bucket < 0:
+            n = len(data) // 16
+            ids.append(np.frombuffer(data, np.int64, n))
+            keys.append(np.frombuffer(data, np.uint64, n, 8 * n))
+            continue
+        n = len(data) // (20 if skipped else 12)
         ids.append(np.frombuffer(data, np.int64, n))
-        keys.append(np.frombuffer(data, np.uint64 if wide else np.uint32, n, 8 * n).astype(np.uint64))
+        keys.append(np.frombuffer(data, np.uint32, n, 8 * n))
+        if skipped:
+            sketch.append(np.frombuffer(data, np.uint64, n, 12 * n))
     keys, ids = np.concatenate(keys), np.concatenate(ids)
-    if not wide:
-        keys |= np.uint64(table.column("bucket")[0].as_py() << 32)
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-    keys, ids = keys[fresh], ids[fresh]
+    if bucket < 0:
+        keys = keys.copy()
+        if bits:
+            low = keys << np.uint64(bits) >> np.uint64(32)
+            keys = (keys >> np.uint64(64 - bits) << np.uint64(32)) | low
+        else:
+            keys >>= np.uint64(32)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(first, len(keys)))
+        return _found(np.full(len(keys), RUN), keys.view(np.int64), ids, np.repeat(sizes, sizes), np.zeros(len(keys), np.int32))
+    sketch = np.concatenate(sketch) if skipped else np.zeros(len(keys), np.uint64)
+    ordered = np.sort(keys)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    known = np.zeros(1 << 20, bool)
+    known[twice & np.uint32((1 << 20) - 1)] = True  # lets few others through, which the runs below leave out
+    some = np.flatnonzero(known[keys & np.uint32((1 << 20) - 1)])
+    order = some[np.lexsort((ids[some], keys[some]))]
+    keys, ids, sketch = keys[order], ids[order], sketch[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])) if len(keys) else np.zeros(0, bool)
+    keys, ids, sketch = keys[fresh], ids[fresh], sketch[fresh]
+    if not len(keys):
+        return _found(*(np.empty(0, np.int8),), *_NO_PAIRS)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(first, len(keys)))
-    size, hub = np.repeat(sizes, sizes), np.repeat(ids[first], sizes)
+    marked = ids[first] == MARK  # the smallest of its run
+    size = np.repeat(sizes, sizes)
+    long = np.repeat(marked | (sizes > SHORT), sizes) & (ids != MARK)
+    short = ~np.repeat(marked | (sizes > SHORT), sizes) & (size > 1)
     place = np.arange(len(keys)) - np.repeat(first, sizes)
-    shared = size > 1
-    keys, ids, size, hub, place = keys[shared], ids[shared], size[shared], hub[shared], place[shared]
-    kind, x, y = [], [], []
-
-    def put(what: int, a: np.ndarray, b: np.ndarray) -> None:
-        kind.append(np.full(len(a), what, np.int8))
-        x.append(a)
-        y.append(b)
-
-    star = (place > 0) & (size <= SHORT)
-    put(STAR, hub[star], ids[star])
-    short = size <= SHORT
-    for d in range(1, SHORT - 1):
-        at = np.flatnonzero(short & (place > d))  # not with the hub
+    left, right, star = [], [], []
+    for d in range(1, SHORT):
+        at = np.flatnonzero(short & (place >= d))
         if not len(at):
             break
-        put(REST, ids[at - d], ids[at])
-    long = ~short
-    put(RUN, keys[long].view(np.int64), ids[long])
-    kind, x, y = np.concatenate(kind), np.concatenate(x), np.concatenate(y)
-    pair = kind != RUN
-    order = np.lexsort((kind[pair], y[pair], x[pair]))
-    kp, xp, yp = kind[pair][order], x[pair][order], y[pair][order]
-    fresh = np.append(True, (xp[1:] != xp[:-1]) | (yp[1:] != yp[:-1])) if len(xp) else np.zeros(0, bool)
-    return pa.table({"kind": pa.array(np.append(kp[fresh], kind[~pair]), pa.int8()), "x": pa.array(np.append(xp[fresh], x[~pair])), "y": pa.array(np.append(yp[fresh], y[~pair]))})
-
-
-def found_runs(postings: DataFrame, label: str, wide: bool = True) -> DataFrame:
+        left.append(at - d)
+        right.append(at)
+        star.append(place[at] == d)  # with the run's first
+    a, b, n, agree, kind = *_NO_PAIRS, np.empty(0, np.int8)
+    if left:
+        left, right, star = np.concatenate(left), np.concatenate(right), np.concatenate(star)
+        order = np.lexsort((~star, ids[right], ids[left]))
+        left, right, star = left[order], right[order], star[order]
+        a, b = ids[left], ids[right]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        n = np.diff(np.append(head, len(a)))
+        agree = agreeing(sketch[left[head]], sketch[right[head]], skipped)
+        kind = np.where(star[head], STAR, REST)
+        a, b = a[head], b[head]
+    runs = (np.uint64(bucket) << np.uint64(32) | keys[long]).astype(np.uint64).view(np.int64)
+    return _found(np.append(kind, np.full(len(runs), RUN)), np.append(a, runs), np.append(b, ids[long]), np.append(n, size[long]), np.append(agree, np.zeros(len(runs), np.int32)))
+
+
+def found_pairs(postings: DataFrame, label: str, bits: int, tasks: int, skipped: int = 0) -> DataFrame:
+    """The stored FOUND rows of postings in 2^bits buckets; tasks grows with the postings."""
     def of(table: pa.Table) -> pa.Table:
-        return runs(table, wide)
+        return merged_lists(table, bits, skipped)
+
+    return stored(postings.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(of, FOUND), label)
+
+
+class Candidates:
+    """Counted pairs of short runs and the stars of long ones, over a table of FOUND rows."""
+
+    def __init__(self, found: DataFrame, matches: int = 1):
+        runs = found.where(F.col("kind") == RUN).groupBy(F.col("a").alias("key"), F.col("b").alias("id")).agg(F.max("n").alias("n"))
+        weights = stored(runs.groupBy("id").agg(F.sum("n").alias("weight"), F.count("*").cast("int").alias("long_runs")), "weights")
+        heavy = runs.join(weights, "id").select("key", "id", "weight")
+        hubs = heavy.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top"), F.count("*").alias("size"))
+        hubs = hubs.select(F.col("key").alias("hub_key"), (-F.col("top.other")).alias("hub"), F.col("top.weight").alias("hub_weight"), "size")
+        salt = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / SPLIT))
+        self.members = stored(heavy.join(hubs, F.col("key") == F.col("hub_key")).select("key", "id", "weight", "hub", "hub_weight", salt.alias("salt")), "members")
+        pairs = found.where(F.col("kind") != RUN).groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"), F.max("skipped").alias("skipped"))
+        if matches > 1:
+            of = lambda name: weights.select(F.col("id").alias(name), F.col("long_runs").alias(f"{name}_long"))
+            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            most = F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
+            pairs = pairs.where(F.col("n") + F.col("skipped") + most >= matches)
+        self.pairs = stored(pairs.select("kind", "a", "b"), "pairs")
+        remove(weights)
+
+    def ids(self) -> DataFrame:
+        """Every id that a pair or a long run has."""
+        both = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        return both.unionByName(self.members.select("id")).distinct()
+
+    def first(self) -> DataFrame:
+        """The stars of short runs, and of each member of long runs that around its most central hub."""
+        best = self.members.where("id <> hub").groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("other"))).alias("top"))
+        return self.pairs.where(F.col("kind") == STAR).select("a", "b").unionByName(_ordered((-F.col("top.other")), F.col("id"), best)).distinct()
+
+    def second(self) -> DataFrame:
+        """The other pairs of short runs, all other hubs of long runs, and the hubs of their splits."""
+        splits = self.members.groupBy("key", "salt").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("key", "salt", (-F.col("top.other")).alias("near"))
+        near = self.members.join(splits, ["key", "salt"]).where("id <> near")
+        hubs = self.members.where("id <> hub")
+        return self.pairs.where(F.col("kind") == REST).select("a", "b").unionByName(_ordered(F.col("hub"), F.col("id"), hubs)).unionByName(_ordered(F.col("near"), F.col("id"), near)).distinct()
+
+    def drop(self) -> None:
+        remove(self.members, self.pairs)
+
+
+def _ordered(x: Column, y: Column, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    return stored(postings.groupBy("bucket").applyInArrow(of, "kind byte, x long, y long"), label)
+
+def shared_counts(ones: list[np.ndarray], twos: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, 256 pairs at most: all of them with one sort, by 56 bits of each hash and the pair's number."""
+    sizes = np.fromiter(map(len, ones), np.int64, len(ones)) + np.fromiter(map(len, twos), np.int64, len(twos))
+    flat = np.concatenate([x for pair in zip(ones, twos) for x in pair]) >> np.uint64(8)
+    flat |= np.repeat(np.arange(len(ones), dtype=np.uint64) << np.uint64(56), sizes)
+    flat.sort()
+    return np.bincount((flat[1:][flat[1:] == flat[:-1]] >> np.uint64(56)).astype(np.int64), minlength=len(ones))
 
 
 def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -161,148 +291,59 @@ def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        weight = 0
 
-        def learn(names: list[int], column: pa.Array) -> None:
-            new = {name: at for at, name in enumerate(names) if name not in held}
+        def learn(names: np.ndarray, column: pa.Array) -> None:
+            nonlocal weight
+            found, at = np.unique(names, return_index=True)
+            new = [k for k, name in enumerate(found.tolist()) if name not in held]
             if new:
-                order = list(new)
-                for row, end, hashes, counts in set_slices(column.take(pa.array(list(new.values())))):
-                    held.update(zip(order[row:end], np.split(hashes, np.cumsum(counts)[:-1])))
+                order = found[new].tolist()
+                for row, end, hashes, counts in set_slices(column.take(pa.array(at[new]))):
+                    held.update(zip(order[row:end], row_views(hashes, counts)))
+                    weight += len(hashes)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                if len(held) > 4096:
+                if weight > 1 << 22:
                     held.clear()
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    weight = 0
+                a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
                 learn(a, part.column(2))
                 learn(b, part.column(3))
-                keep = []
-                for x, y in zip(a, b):
-                    one, two = held[x], held[y]
-                    union = len(np.union1d(one, two))
-                    keep.append(100 * (len(one) + len(two) - union) >= percent * union)
+                ones, twos = [held[x] for x in a.tolist()], [held[x] for x in b.tolist()]
+                one, two = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ones, twos))
+                low, high = np.minimum(one, two), np.maximum(one, two)
+                maybe = np.flatnonzero(100 * low >= percent * high)  # otherwise even one inside the other isn't enough
+                keep = np.zeros(len(a), bool)
+                if len(maybe):
+                    shared = shared_counts([ones[k] for k in maybe], [twos[k] for k in maybe])
+                    keep[maybe] = 100 * shared >= percent * (one + two)[maybe] - percent * shared
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
     return kept
 
 
-RESIDUALS = "hub long, id long, size long, hub_size long, overlap long, rest binary"
-DEPTH = 5
-
-
-def residuals(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (hub, id, hub's text, text) rows: the sizes of both sets, their overlap, and what the hub lacks of the id's set."""
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hubs = part.column(0).to_pylist()
-                first = {hub: k for k, hub in reversed(list(enumerate(hubs)))}
-                sets: dict[int, np.ndarray] = {}
-                for row, end, hashes, counts in set_slices(part.column(2).take(pa.array(list(first.values())))):
-                    sets.update(zip(list(first)[row:end], np.split(hashes, np.cumsum(counts)[:-1])))
-                for row, end, hashes, counts in set_slices(part.column(3)):
-                    own = np.split(hashes, np.cumsum(counts)[:-1])
-                    rest = [np.setdiff1d(x, sets[h], assume_unique=True) for x, h in zip(own, hubs[row:end])]
-                    left = np.array([len(r) for r in rest])
-                    columns = [part.column(0).slice(row, end - row), part.column(1).slice(row, end - row), pa.array(counts), pa.array([len(sets[h]) for h in hubs[row:end]], pa.int64()), pa.array(counts - left), binary_rows(np.concatenate(rest), left)]
-                    yield pa.RecordBatch.from_arrays(columns, ["hub", "id", "size", "hub_size", "overlap", "rest"])
-
-    return parts
-
-
-def residual_runs(rests: DataFrame) -> DataFrame:
-    """Runs of members of a group that share a shingle which their hub lacks."""
-    total = rests.agg(F.sum(F.octet_length("rest") / 8)).first()[0] or 0
-    bits = bucket_bits(int(total))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Postings(bits)
-        for batch in batches:
-            for hub, name, rest in zip(*(c.to_pylist() if k < 2 else c for k, c in enumerate(batch.columns))):
-                keys = np.frombuffer(rest.as_buffer(), np.uint64)
-                if len(keys):
-                    place = mix64(np.array([hub], np.int64).view(np.uint64))
-                    yield from out.add(mix64(keys * np.uint64(0x9E3779B97F4A7C15) + place)[:, None], np.full(len(keys), name))
-        yield out.flush()
-
-    return found_runs(rests.select("hub", "id", "rest").mapInArrow(post, Postings.SCHEMA), "residual-runs")
-
-
-def _hubs(members: DataFrame) -> DataFrame:
-    """(key, hub): the most central member of each long run, or one hub for all runs whose members share their best hub.
-
-    Any set may stand in a run's middle, so runs that lie inside the group of a more central hub take
-    that hub, even where it isn't among them: a large group then has one hub instead of one a run.
-    """
-    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-    central = company.groupBy("id").agg(F.sum("n").alias("central"))
-    own = members.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("col2"))).alias("top"))
-    own = own.select("key", (-F.col("top.col2")).alias("own"), F.col("top.central").alias("weight"))
-    best = members.join(own, "key").groupBy("id").agg(F.max(F.struct("weight", (-F.col("own")).alias("col2"))).alias("best")).select("id", (-F.col("best.col2")).alias("best"))
-    shared = members.join(best, "id").groupBy("key").agg(F.min("best").alias("low"), F.max("best").alias("high"))
-    return own.join(shared, "key").select("key", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("own")).alias("hub"))
-
-
-def linked(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(id, root) over all confirmed links of the candidates in `found`.
-
-    confirm keeps the true links of (a, b) rows; residual gives the RESIDUALS of (a, b) rows, a the hub.
-    """
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        if roots is None:
-            return pairs
-        named = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-        ends = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        return ends.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-    def learn(pairs: DataFrame) -> None:
-        nonlocal edges, roots
-        todo = stored(across(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "to-confirm")
-        if todo.isEmpty():
-            return
-        new = stored(confirm(todo), "edges")
-        if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            roots = connected_components(edges)
-
-    for depth in range(DEPTH):
-        pair = lambda kind: found.where(F.col("kind") == kind).select(F.col("x").alias("a"), F.col("y").alias("b"))  # noqa: B023, E731
-        members = found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
-        long = not members.isEmpty()
-        groups = None
-        if long:
-            hubs = _hubs(members)
-            groups = stored(members.join(hubs, "key").where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "groups")
-            learn(pair(STAR).unionByName(groups))
-        else:
-            learn(pair(STAR))
-        learn(pair(REST))
-        if not long:
-            break
-        outside = across(groups)
-        open_hubs = outside.select("a").distinct()
-        rests = stored(residual(groups.join(open_hubs, "a", "left_semi")), "residuals")
-        if rests.isEmpty():
-            break
-        # pairs that share nothing beyond the hub: an outsider's overlap bounds them, so only sizes decide
-        out = rests.join(outside.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
-        least = rests.groupBy("hub").agg(F.min("size").alias("least"))
-        reach = (100 + percent) * F.col("overlap") - percent * F.col("size")
-        near_hub = out.join(least, "hub").where(reach >= percent * F.col("least")).select("hub", F.col("id").alias("a"), reach.alias("reach"))
-        learn(near_hub.join(rests.select("hub", F.col("id").alias("b"), "size", "overlap"), "hub").where((F.col("a") != F.col("b")) & (F.col("reach") >= percent * F.col("size")) & ((100 + percent) * F.col("overlap") >= percent * F.col("size"))).select("a", "b"))
-        found = residual_runs(rests)
-        if depth == DEPTH - 1:  # five shared shingles that no hub has: what is left is paired off across components
-            members = found.where(F.col("kind") == RUN).select(F.col("x").alias("key"), F.col("y").alias("id"))
-            both = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-            learn(pair(STAR).unionByName(pair(REST)).unionByName(both))
-    if roots is None:
-        return found.sparkSession.createDataFrame([], "id long, root long")
-    return roots
+def linked(candidates: Candidates, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) of the ids that aren't the smallest of their component of confirmed links; confirm keeps the true links of (a, b) rows."""
+
+    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
+        todo = stored(pairs, f"{label}-pairs")
+        edges = stored(confirm(todo), f"{label}-edges")
+        remove(todo)
+        return edges
+
+    edges = confirmed(candidates.first(), "first")
+    roots = connected_components(edges)
+    remove(edges)
+    of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+    ends = candidates.second().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+    edges = confirmed(ends.select("a", "b"), "second")
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = connected_components(named)
+    out = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("higher")), "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
+    alone = above.join(roots.select("id"), "id", "left_anti")
+    return stored(out.unionByName(alone), "roots")
