@@ -51,23 +51,50 @@ def orders(vocabulary: int, end_id: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(signature, doc_id, ids): the ids as little-endian unsigned 32-bit integers, and the MinHash values of their set in one number.
+    """(signature, doc_id, ids) of every document."""
+    return documents(encoded(docs, tokenizer, end_id, id_col, text_col))
 
-    Documents share the first value with a chance equal to the weighted Jaccard similarity of their ids.
+
+def documents(rows: DataFrame) -> DataFrame:
+    return rows.where("ids is not null").select("signature", "doc_id", "ids")
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(signature, doc_id, ids) of every document, and (term, n) rows of each task, in one pass.
+
+    ids are little-endian unsigned integers of 16 bits where the vocabulary allows it, of 32 otherwise. The signature holds the
+    MinHash values of their set in one number; documents share the first value with a chance equal to the weighted Jaccard
+    similarity of their ids. n counts the task's documents that hold the term; the terms -1 and -2 stand for its documents and ids.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.encoder(tokenizer)
         ranks = orders(max(len(codec.ends), end_id + 1), end_id)
-        bits = min(21, int(ranks.shape[1]).bit_length())
+        width = int(ranks.shape[1])
+        bits, narrow = min(21, width.bit_length()), id_type(width)
+        found, docs, total = np.zeros(width, np.int64), 0, 0
+        names = ["signature", "doc_id", "ids", "term", "n"]
         for batch in batches:
             for row, end, ids, counts in codec.column(batch.column(1), end_id):
                 signature, begin = np.zeros(len(counts), np.int64), np.cumsum(counts) - counts
                 for rank in ranks:
                     signature = signature << bits | np.minimum(np.minimum.reduceat(rank[ids], begin), (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(signature), batch.column(0).slice(row, end - row), binary_rows(ids, counts)], ["signature", "doc_id", "ids"])
+                held = np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(32), counts) | ids
+                held.sort()
+                once = np.append(True, held[1:] != held[:-1])
+                found += np.bincount((held[once] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=width)
+                docs, total = docs + len(counts), total + len(ids)
+                nothing = pa.nulls(len(counts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(signature), batch.column(0).slice(row, end - row), binary_rows(ids.astype(narrow), counts), nothing, nothing], names)
+        term = np.flatnonzero(found)
+        nothing = pa.nulls(len(term) + 2, pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(nothing), pa.binary()), pa.array(np.append(term, [-1, -2]), pa.int64()), pa.array(np.append(found[term], [docs, total]), pa.int64())], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "signature long, doc_id long, ids binary, term long, n long")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "signature long, doc_id long, ids binary")
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def document_frequencies(tokenized: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
@@ -75,22 +102,7 @@ def document_frequencies(tokenized: DataFrame, vocabulary: int) -> tuple[np.ndar
 
     What reaches the driver is bounded by the vocabulary.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.forget()
-        found, docs, ids = np.zeros(vocabulary, np.int64), 0, 0
-        for batch in batches:
-            rows = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)]
-            docs, ids = docs + len(rows), ids + sum(map(len, rows))
-            for at in range(0, len(rows), 64):
-                seen = np.zeros((min(64, len(rows) - at), vocabulary), bool)
-                for k, row in enumerate(rows[at : at + 64]):
-                    seen[k, row] = True
-                found += seen.sum(axis=0)
-        term = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2]), pa.int64()), pa.array(np.append(found[term], [docs, ids]), pa.int64())], ["term", "n"])
-
-    sums = tokenized.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sums = tokenized.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary + 2, np.int64)
     out[sums.term.to_numpy(np.int64)] = sums.n.to_numpy(np.int64)  # -1 and -2 are the last two places
     return out[:vocabulary], int(out[-1]), int(out[-2])
@@ -183,12 +195,14 @@ def pack(
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or tokens.default_path()
-    encoded = stored(tokenize(docs, path, end_id, id_col, text_col), "packing-ids")
+    counted = stored(encoded(docs, path, end_id, id_col, text_col), "packing-ids")
     vocabulary = max(len(tokens.encoder(path).ends), end_id + 1)
-    frequency, n_docs, n_ids = document_frequencies(encoded, vocabulary)
+    frequency, n_docs, n_ids = document_frequencies(counted, vocabulary)
     weight = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     idf, average = spark.sparkContext.broadcast(weight), n_ids / max(n_docs, 1)  # one number per vocabulary entry
 
+    narrow = id_type(vocabulary)
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         context = TaskContext.get()
@@ -202,7 +216,7 @@ def pack(
             at, start, length, number, offset = (np.array(x, np.int64) for x in zip(*rows))
             ids = np.concatenate([docs[d][s : s + n] for d, s, n in zip(at, start, length)])
             sizes = np.array([len(d) for d in docs])
-            out = [pa.array([names[d] for d in at], pa.int64()), pa.array(start), pa.array(length), binary_rows(ids, length), pa.array(sizes[at]), pa.array(number + sequence), pa.array(offset)]
+            out = [pa.array([names[d] for d in at], pa.int64()), pa.array(start), pa.array(length), binary_rows(ids.astype("<u4"), length), pa.array(sizes[at]), pa.array(number + sequence), pa.array(offset)]
             sequence += int(number.max()) + 1
             return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
@@ -210,7 +224,7 @@ def pack(
         for batch in batches:
             for name, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 names.append(name)
-                docs.append(np.frombuffer(x.as_buffer(), "<u4"))
+                docs.append(np.frombuffer(x.as_buffer(), narrow))
                 held += len(docs[-1])
                 if held >= shard_tokens:
                     yield flush()
@@ -218,7 +232,7 @@ def pack(
         if docs:
             yield flush()
 
-    return encoded.repartitionByRange(n_ids // PARTITION + 1, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
+    return documents(counted).repartitionByRange(n_ids // PARTITION + 1, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

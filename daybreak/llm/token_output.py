@@ -7,7 +7,7 @@ are on, so a reader that wants metadata, a few documents or a range of the token
 those columns, files, row groups and pages. `read_tokens` and `read_token_range` are these readers.
 
 Cases: a null text counts as empty and has only the end id; a null document id sorts first; documents
-with the same id follow one another in the order of their texts; an empty table writes an empty file
+with the same id follow one another in the order of a hash of their texts, in several files if they are many; an empty table writes an empty file
 set; other columns of the input are ignored. Texts are encoded whole, however long.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from daybreak.llm import tokens
 from daybreak.llm.common import scratch, ship, table
 
+#: Bytes of text of a file, on average.
+PARTITION_BYTES = 24 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -64,8 +66,10 @@ def write_tokens(
                 )
                 start += int(offsets[-1])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("turn"))
+    dealt = rows.repartitionByRange(size // PARTITION_BYTES + 1, "doc_id", "turn").sortWithinPartitions("doc_id", "turn", "text")
+    encoded = dealt.select("doc_id", "text").mapInArrow(encode, SCHEMA)
     delta = encoding == "delta"
     (
         encoded.write.option("parquet.block.size", row_group_bytes)
