@@ -2,7 +2,7 @@
 
 A text's features are the distinct runs of 3 to 7 characters of its lower-cased form, with line ends as
 spaces and a space at either end, hashed into 2^20 places. Training takes a bounded sample of labelled rows (`sample_rows` and `sample_bytes`,
-in the order of a hash of the id, at most two fifths of it toxic), scales every
+in the order of a hash of the id, at most two fifths of either toxic; a text that doesn't fit is left out), scales every
 feature by the log ratio of its smoothed counts in both labels, drops features in fewer than
 `least_rows` rows or of a smaller ratio than `least_ratio`, and fits a logistic regression with an L2 penalty on the scaled features. The
 intercept is then moved to the share of toxic rows among all labelled training rows. Every whole text
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from daybreak.llm.common import binary_rows, ship, stored, table
 
 BITS = 20
+#: Characters whose n-grams are hashed at a time: a longer text comes in parts.
+PART = 1 << 17
 SIZES = (3, 4, 5, 6, 7)
 _stamps: dict[int, np.ndarray] = {}
 
@@ -37,19 +39,35 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
     stamp = _stamps.setdefault(BITS, np.zeros(1 << BITS, np.int32))
     held: list[str] = []
     size = 0
-    for text in column.to_pylist():
+    for scalar in column:
+        text = scalar.as_py()
+        if text and len(text) > PART:
+            yield from _features(held, stamp)
+            held, size = [], 0
+            yield _long_features(f" {text.lower()} ")
+            continue
         held.append(f" {text.lower()} " if text else "")
         size += len(held[-1])
-        if size >= 1 << 19:
+        if size >= PART:
             yield from _features(held, stamp)
             held, size = [], 0
     yield from _features(held, stamp)
 
 
-def _features(texts: list[str], stamp: np.ndarray) -> Iterator[np.ndarray]:
+def _long_features(text: str) -> np.ndarray:
+    """The same of one long text, by parts that overlap by an n-gram."""
+    known = np.zeros(1 << BITS, bool)
+    for at in range(0, len(text), PART):
+        part = text[at : at + PART + max(SIZES) - 1]
+        for n, places in zip(SIZES, _places([part])):
+            known[places[: max(0, len(part) - n + 1)]] = True
+    return np.flatnonzero(known).astype(np.int32)
+
+
+def _places(texts: list[str]) -> list[np.ndarray]:
+    """For each size the hashed place of the n-gram that begins at each letter."""
     letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = np.where((letters >= 9) & (letters <= 13), np.uint32(32), letters)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
     rolled, places = letters.copy(), []
     for j in range(1, max(SIZES)):
         rolled = rolled[:-1] * np.uint32(0x01000193) ^ letters[j:]
@@ -60,6 +78,12 @@ def _features(texts: list[str], stamp: np.ndarray) -> Iterator[np.ndarray]:
             mixed ^= mixed >> np.uint32(13)
             mixed *= np.uint32(0xC2B2AE3D)
             places.append((mixed >> np.uint32(32 - BITS)).astype(np.int32))
+    return places
+
+
+def _features(texts: list[str], stamp: np.ndarray) -> Iterator[np.ndarray]:
+    places = _places(texts)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
     for a, b in zip(offsets[:-1], offsets[1:]):
         found = np.concatenate([p[a : max(a, b - n + 1)] for n, p in zip(SIZES, places)])
         turn = np.arange(len(found), dtype=np.int32)
@@ -154,7 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_by
     chosen = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows * 2 // 5).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows * 3 // 5))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("bytes"), order.alias("turn")).orderBy("turn", "doc_id").toPandas()
-    sizes = sizes[sizes.bytes.cumsum() <= sample_bytes]
+    kept_rows = np.zeros(len(sizes), bool)
+    for label, share in ((1, 2), (0, 3)):  # each label's rows within its fifths of the bytes; a text beyond them is left out, those after it aren't
+        left = sample_bytes * share // 5
+        for at in np.flatnonzero(sizes.toxic.to_numpy() == label):
+            if sizes.bytes.iat[at] <= left:
+                kept_rows[at], left = True, left - int(sizes.bytes.iat[at])
+    sizes = sizes[kept_rows]
     if sizes.toxic.nunique() < 2:
         return flat
     wanted = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in zip(sizes.doc_id, sizes.toxic)], "doc_id long, toxic int")
