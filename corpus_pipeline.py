@@ -6,50 +6,65 @@ the next one's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybreak.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from daybreak.llm.common import stored, table
+from daybreak.llm.common import fresh, stored, table
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the model learns from the labels of the documents at hand."""
+    """Documents whose toxicity score is below one half; the model learns from the labels of the documents at hand.
+
+    A null or empty text has the prior's score; rows that share an id are scored each for itself; a text of any length is
+    scored whole; equal texts score alike; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scored_rows(docs, model, score_col="__toxicity")
-    return scored.where("`__toxicity` < 0.5").select(*docs.columns)
+    score = fresh("toxicity", docs)
+    return toxicity.scored_rows(docs, model, score_col=score).where(F.col(score) < 0.5).select(*columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; a document of which nothing but white space is left goes."""
-    out = line_dedup.dedup_lines(docs, removed_col="__removed")
-    emptied = (F.size("__removed") > 0) & ~F.col("text").rlike(r"\S")
-    out = out.where(~F.coalesce(emptied, F.lit(False)))
+    """Documents without their repeated lines; a document of which nothing but white space is left goes.
+
+    Null and empty texts stay as they are; exact repeats of a row keep the same lines; n_chars, where there is one, follows the text.
+    """
+    removed = fresh("removed_lines", docs)
+    out = line_dedup.dedup_lines(docs, removed_col=removed)
+    cut = F.size(removed) > 0
+    out = out.where(~F.coalesce(cut & ~F.col("text").rlike(r"\S"), F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group, that of the smallest id; exact repeats of a row count once."""
-    found = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    """One document of every near-duplicate group, that of the smallest id; of rows that agree in id and text one stays.
+
+    Null and empty texts, and texts without words, are in no group and stay; rows that share an id and differ in text are documents of their own.
+    """
+    return near_dedup.first_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    hits = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item.
+
+    Null and empty texts stay; of rows that share an id those go that contain an item; an empty benchmark leaves every row.
+    """
+    key = fresh("row_key", docs)
+    hits = decontaminate.contained_rows(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias(key)).distinct()
+    return docs.withColumn(key, near_dedup.row_key("doc_id", "text")).join(hits, key, "left_anti").select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences of 2048 tokens."""
+    """The pieces of the packed sequences of 2048 tokens.
+
+    A null or empty text has its end id; rows that share an id are packed each for itself; other columns are ignored.
+    """
     return packing.pack(docs)
 
 
