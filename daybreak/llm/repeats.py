@@ -37,8 +37,24 @@ GRAM = 10
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Bytes whose arrays stay in the processor's cache: places in such a part have PART_BITS bits.
+PART_BITS = 16
+
+
 def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` bytes, by doubling; equal runs have equal hashes wherever they stand."""
+    """Hashes of all runs of `size` bytes; equal runs have equal hashes wherever they stand."""
+    n = max(0, len(data) - size + 1)
+    if n <= 1 << PART_BITS:
+        return _run_hashes(data, size)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, 1 << PART_BITS):
+        end = min(n, at + (1 << PART_BITS))
+        out[at:end] = _run_hashes(data[at : end + size - 1], size)
+    return out
+
+
+def _run_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The same of one part, by doubling."""
     n = len(data) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -64,37 +80,54 @@ def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the smallest value (the leftmost of equals) in every window of `width` values."""
-    n = len(values) - width + 1
-    best = values
-    place = np.arange(len(values), dtype=np.int64)
+    """The place of the smallest value (by all but PART_BITS of its bits; the leftmost of equals) in every window of `width` values, 2^PART_BITS of them at most."""
+    low = np.uint64((1 << PART_BITS) - 1)
+    best = values & ~low | np.arange(len(values), dtype=np.uint64)
     done = 1
     while done < width:
         step = min(done, width - done)
-        a, b = best[: len(best) - step], best[step:]
-        take = b < a
-        best = np.where(take, b, a)
-        place = np.where(take, place[step : step + len(take)], place[: len(take)])
+        best = np.minimum(best[: len(best) - step], best[step:])
         done += step
-    return place[:n]
+    return (best & low).astype(np.int64)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, end byte, minimiser hash) of the runs of windows that share a minimiser's place."""
-    grams = run_hashes(data, GRAM)
-    width = length - GRAM + 1
-    if len(grams) < width:
+    n, width = len(data) - length + 1, length - GRAM + 1
+    if n <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    place = sliding_argmin(grams, width)
+    part = (1 << PART_BITS) - width + 1
+    place, gram = [], []
+    for at in range(0, n, part):  # of every window, also those that cross documents
+        grams = run_hashes(data[at : min(n, at + part) + length - 1], GRAM)
+        own = sliding_argmin(grams, width)
+        place.append(own + at)
+        gram.append(grams[own])
+    place, gram = np.concatenate(place), np.concatenate(gram)
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    starts = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + np.repeat(offsets[:-1], sizes)
-    place = place[starts]
-    fresh = np.append(True, (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])) if len(place) else np.zeros(0, bool)
+    fresh = np.append(True, place[1:] != place[:-1])
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([sizes, np.diff(offsets) - sizes], axis=1).ravel())[:n]
+    fresh[offsets[:-1][sizes > 0]] = True
+    fresh &= inside
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(place)) - 1 if len(first) else first
-    return rows[first], starts[first], starts[last] + length, grams[place[first]]
+    rows = np.searchsorted(offsets, first, side="right") - 1
+    ends = np.append(first[1:], n)
+    stop = np.minimum(ends, (offsets[:-1] + sizes)[rows])  # one beyond the last window
+    return rows, first, stop - 1 + length, gram[first]
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of these begins and sizes, one after the other."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    at = 0
+    while at < len(size):  # parts that stay in the cache
+        start = int(ends[at] - size[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + (1 << PART_BITS), side="right")))
+        own = ends[at:to] - size[at:to] - start
+        out[start : ends[to - 1]] = data[np.arange(int(ends[to - 1]) - start) + np.repeat(begin[at:to] - own, size[at:to])]
+        at = to
+    return out
 
 
 class Pieces:
@@ -106,15 +139,26 @@ class Pieces:
 
     def names(self) -> np.ndarray:
         """A 64-bit hash of each segment's bytes."""
-        place = np.arange(len(self.data)) - np.repeat(self.begin, self.size)
-        letters = (self.data.astype(np.uint64) + np.uint64(1)) * powers(int(self.size.max(initial=1)))[place]
-        return mix64(np.add.reduceat(letters, self.begin) + self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        power = powers(int(self.size.max(initial=1)))
+        sums = np.empty(len(self.size), np.uint64)
+        ends = self.begin + self.size
+        at = 0
+        while at < len(sums):  # parts that stay in the cache
+            to = max(at + 1, int(np.searchsorted(ends, self.begin[at] + (1 << PART_BITS), side="right")))
+            begin, size = self.begin[at:to] - self.begin[at], self.size[at:to]
+            letters = self.data[self.begin[at] : ends[to - 1]] + np.uint64(1)
+            letters *= power[np.arange(len(letters)) - np.repeat(begin, size)]
+            sums[at:to] = np.add.reduceat(letters, begin)
+            at = to
+        return mix64(sums + self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def take(self, which: np.ndarray) -> Pieces:
-        size = self.size[which]
-        ends = np.cumsum(size)
-        source = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.begin[which], size)
-        return Pieces(self.owner[which], self.at[which], size, self.data[source])
+        return Pieces(self.owner[which], self.at[which], self.size[which], gathered(self.data, self.begin[which], self.size[which]))
+
+    def between(self, first: int, end: int) -> Pieces:
+        """A run of the segments, without a copy."""
+        stop = self.begin[end - 1] + self.size[end - 1] if end > first else 0
+        return Pieces(self.owner[first:end], self.at[first:end], self.size[first:end], self.data[self.begin[first] : stop] if end > first else self.data[:0])
 
     def blob(self) -> bytes:
         names, index = np.unique(self.owner, return_inverse=True)
@@ -313,7 +357,7 @@ def repeated_spans(texts: DataFrame, length: int, buckets: int, parts: int) -> D
                     if not len(rows):
                         continue
                     size = stop - begin
-                    pieces = Pieces(owners[row + rows], begin - offsets[rows] + shift, size, data[ranges(begin, size)])
+                    pieces = Pieces(owners[row + rows], begin - offsets[rows] + shift, size, gathered(data, begin, size))
                     named = pieces.names()
                     classes, heads = distinct(pieces, named)
                     smallest = pieces.owner[heads][classes]
@@ -328,7 +372,8 @@ def repeated_spans(texts: DataFrame, length: int, buckets: int, parts: int) -> D
                     bucket = (gram[keep] % np.uint64(buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
                     found, at = np.unique(bucket[order], return_index=True)
-                    blobs = [pieces.take(keep[order[i:j]]).blob() for i, j in zip(at, np.append(at[1:], len(order)))]
+                    dealt = pieces.take(keep[order])
+                    blobs = [dealt.between(i, j).blob() for i, j in zip(at, np.append(at[1:], len(order)))]
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(found), pa.int32())], names)
 
     def scan(table: pa.Table) -> pa.Table:
