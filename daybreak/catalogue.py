@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.plans import content, digest, ledger, motion
+from daybreak.plans import content, digest, intake, ledger, motion
 
-_MODULES = (digest, ledger, content, motion)
+_MODULES = (digest, ledger, content, motion, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,58 +1,161 @@
-"""One lazy plan per run: collect, drop what was seen or is suppressed, diff, score, rank; state is committed after the output."""
+"""One lazy plan per run: collect, drop what was seen or is suppressed, diff against the ledger, score, rank; state is committed after the output."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybreak.functions.text import fingerprint, identity
+from daybreak.functions.text import fingerprint, identity, key_values, subject_key
+from daybreak.functions.times import archive_label, default_occurrence, natural_key, sort_seconds
 from daybreak.operators.dedupe import ledger_diff, ledger_state
 from daybreak.operators.score import scored, top_per_section
-from daybreak.profiles import PRESETS, PROFILES
-from daybreak.store import Store
+from daybreak.operators.state import after_cursor, health
+from daybreak.profiles import PRESETS, profile
+from daybreak.sources.exports import jsonl
+from daybreak.store import Store, write_snapshot
 
 ITEM = "id string, source string, kind string, title string, body string, url string, tier string, saved boolean, unresolved boolean, future boolean, pos long"
+#: Columns that a connector may give besides: the record's id at its provider and when it changed.
+OPTIONAL = "raw_id string, changed_at string"
+LEDGER = f"{ITEM}, {OPTIONAL}, identity string, fingerprint string, retrieved_at string"
 Supplier = Callable[[], DataFrame]
 
 
-def collect(preset: str, suppliers: dict[str, Supplier], spark) -> DataFrame:
+def collect(preset: str, suppliers: dict[str, Supplier], spark: SparkSession) -> DataFrame:
     """The preset's connectors in its order; connectors without a supplier are left out, an unknown preset is empty."""
     frames = [suppliers[name]().withColumn("preset_pos", F.lit(k)) for k, name in enumerate(PRESETS.get(preset, ())) if name in suppliers]
-    empty = spark.createDataFrame([], f"{ITEM}, preset_pos int")
-    return reduce(DataFrame.unionByName, frames, empty)
-
-
-def plan(profile_id: str, suppliers: dict[str, Supplier], store: Store, now: str, ledger: DataFrame | None = None) -> DataFrame:
-    """(section, place, id, score, title, url, reasons) of a run; a profile suppresses its own family's subjects."""
-    profile = PROFILES[profile_id]
-    items = collect(profile.preset, suppliers, store.spark)
-    history = store.read("suppression_history")
-    live = (F.col("trigger_family") == profile.family) & (F.col("dismissal_status") == "active") & ~F.coalesce("superseded_by_higher_authority", F.lit(False))
-    active = history.where(live & (F.col("cooldown_expires_at").isNull() | (F.try_to_timestamp("cooldown_expires_at") >= F.try_to_timestamp(F.lit(now))))).select(F.col("subject").alias("id")).distinct()
-    fresh = items.join(active, "id", "left_anti").withColumns({"identity": identity(F.col("url"), F.lit(None).cast("string"), F.col("id")), "fingerprint": fingerprint(F.col("id"), F.col("title"), F.col("body"), F.col("url"))})
-    if ledger is not None:
-        fresh = ledger_diff(fresh, ledger_state(ledger))
-    return top_per_section(scored(fresh)).select("section", "place", "id", "score", "title", "url", F.array_join("reasons", ", ").alias("reasons"))
-
-
-def run(profile_id: str, suppliers: dict[str, Supplier], store: Store, now: str, deliver: Callable[[list], None], cooldown_minutes: int | None = None) -> str:
-    """Delivers a run and then commits its run, delivery and suppression rows together; returns the run's status."""
-    profile = PROFILES[profile_id]
-    base = {"event_type": profile.event, "profile_id": profile.id, "occurred_at": now, "output_mode": profile.mode, "created_at": now}
+    empty = spark.createDataFrame([], f"{ITEM}, {OPTIONAL}, preset_pos int")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty)
+
+
+def unseen(items: DataFrame, store: Store, event: str, now: str) -> DataFrame:
+    """Items beyond their source's cursor whose (source, id) isn't suppressed for the event type."""
+    cursors = store.read("connector_cursors").select(F.col("connector_id").alias("source"), "cursor", sort_seconds(F.col("last_success_at")).alias("last_success"))
+    newer = after_cursor(items.withColumn("changed", F.col("changed_at")).withColumn("changed_at", sort_seconds(F.col("changed_at"))), cursors)
+    newer = newer.withColumn("changed_at", F.col("changed")).drop("changed", "cursor", "last_success")
+    live = (F.col("trigger_family") == event) & (F.col("dismissal_status") == "active") & ~F.coalesce("superseded_by_higher_authority", F.lit(False))
+    history = store.read("suppression_history").where(live & (F.col("cooldown_expires_at").isNull() | (F.try_to_timestamp("cooldown_expires_at") >= F.try_to_timestamp(F.lit(now)))))
+    return newer.withColumn("subject", subject_key(F.col("source"), F.col("id"))).join(history.select("subject").distinct(), "subject", "left_anti").drop("subject")
+
+
+def named(items: DataFrame) -> DataFrame:
+    return items.withColumns({"identity": identity(F.col("url"), F.lit(None).cast("string"), F.col("id")), "fingerprint": fingerprint(F.col("id"), F.col("title"), F.col("body"), F.col("url"), F.col("changed_at"))})
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of all earlier runs; what can't be parsed is skipped. An absent folder is empty."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], LEDGER)
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    return lines.select(F.from_json("value", LEDGER).alias("v")).select("v.*").where("id is not null and fingerprint is not null")
+
+
+def changes(items: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The first of each (source, identity) that differs from the ledger's last line of it."""
+    state = ledger_state(ledger.withColumn("seq", F.struct("retrieved_at", "id")))
+    return ledger_diff(items.withColumn("order", F.struct("preset_pos", "pos")).drop("pos").withColumnRenamed("order", "pos"), state).withColumn("pos", F.col("pos.pos"))
+
+
+class Plan(NamedTuple):
+    items: DataFrame
+    rows: DataFrame
+
+
+def planned(name: str, suppliers: dict[str, Supplier], store: Store, now: str, ledger_folder: str | None = None) -> Plan:
+    """The items a run may deliver, and its (section, place, id, source, score, title, url, reasons)."""
+    chosen = profile(name)
+    fresh = named(unseen(collect(chosen.preset, suppliers, store.spark), store, chosen.event, now))
+    if ledger_folder is not None:
+        fresh = changes(fresh, read_ledger(store.spark, ledger_folder))
+    return Plan(fresh, top_per_section(scored(fresh)).select("section", "place", "id", "source", "score", "title", "url", F.array_join("reasons", ", ").alias("reasons")))
+
+
+def plan(profile_id: str, suppliers: dict[str, Supplier], store: Store, now: str, ledger_folder: str | None = None) -> DataFrame:
+    """The rows of a run."""
+    return planned(profile_id, suppliers, store, now, ledger_folder).rows
+
+
+def cursors_after(items: DataFrame, store: Store, now: str, errors: dict[str, str] | None = None) -> DataFrame:
+    """Cursor rows after a run: each source's largest raw id in natural order; a source with an error keeps what it had."""
+    best = items.where("raw_id is not null").groupBy(F.col("source").alias("connector_id")).agg(F.max_by("raw_id", natural_key(F.col("raw_id"))).alias("cursor"))
+    seen = best.select("connector_id", "cursor", F.lit(True).alias("succeeded"), F.lit(None).cast("string").alias("error"))
+    failed = store.spark.createDataFrame([(k, None, False, v) for k, v in (errors or {}).items()], "connector_id string, cursor string, succeeded boolean, error string")
+    old = store.read("connector_cursors")
+    larger = seen.join(old.select("connector_id", F.col("cursor").alias("before")), "connector_id", "left")
+    kept = F.when(F.col("before").isNotNull() & (natural_key(F.col("before")) > natural_key(F.col("cursor"))), F.col("before")).otherwise(F.col("cursor"))
+    return health(old, larger.withColumn("cursor", kept).drop("before").unionByName(failed), now)
+
+
+def approvals(items: DataFrame, kind: str = "shopping.replenishment") -> DataFrame:
+    """(action_kind, subject) of the first note: what to buy, where, and its link, as JSON."""
+    values = key_values(F.coalesce("body", F.lit("")))
+    field = lambda key: F.try_element_at(values, F.lit(key))
+    subject = F.struct(F.coalesce(field("buy"), F.col("title"), F.col("id")).alias("buy"), field("preferred store").alias("preferred_store"), field("link").alias("link"))
+    return items.orderBy("preset_pos", "pos").limit(1).select(F.lit(kind).alias("action_kind"), F.to_json(subject, {"ignoreNullFields": "false"}).alias("subject"))
+
+
+def run(
+    name: str,
+    suppliers: dict[str, Supplier],
+    store: Store,
+    now: str | None = None,
+    deliver: Callable[[list], None] = lambda rows: None,
+    cooldown_minutes: int | None = None,
+    *,
+    ledger_folder: str | None = None,
+    archive_folder: str | None = None,
+    label: str | None = None,
+    errors: dict[str, str] | None = None,
+    told: Callable[[str], None] = lambda reason: None,
+) -> str:
+    """Delivers the run of a profile or command and then commits its state together; returns the run's status.
+
+    started, then completed, failed (nothing was delivered) or delivery_state_error (delivered, but the state wasn't written);
+    `told` gets the reason of a failure. Delivered rows rest for the cooldown under their event type, cursors move on, and what is new goes to
+    the ledger and, as a snapshot, to the archive.
+    """
+    chosen, now = profile(name), default_occurrence(now)
+    base = {"event_type": chosen.event, "profile_id": chosen.id, "occurred_at": now, "output_mode": chosen.mode, "created_at": now}
     try:
-        rows = [r.asDict() for r in plan(profile_id, suppliers, store, now).orderBy("section", "place").collect()]  # three rows a section
+        made = planned(name, suppliers, store, now, ledger_folder)
+        rows = [r.asDict() for r in made.rows.orderBy("section", "place").collect()]  # three rows a section
         deliver(rows)
-    except Exception:
+    except Exception as failure:
+        told(f"{type(failure).__name__}: {failure}")
         store.commit({"trigger_runs": store.record("trigger_runs", [base | {"status": "failed"}])})
         return "failed"
-    minutes = profile.cooldown_minutes if cooldown_minutes is None else cooldown_minutes
-    expiry = store.spark.range(1).select(F.date_format(F.try_to_timestamp(F.lit(now)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
-    suppressed = [{"subject": r["id"], "trigger_family": profile.family, "reason": "delivered", "cooldown_expires_at": expiry, "dismissal_status": "active", "superseded_by_higher_authority": False} for r in rows]
-    tables = {"trigger_runs": store.record("trigger_runs", [base | {"status": "completed"}]), "deliveries": store.record("deliveries", [{"destination": profile.mode, "delivered_at": now, "status": "delivered"}])}
-    if suppressed:
-        tables["suppression_history"] = store.record("suppression_history", suppressed)
-    store.commit(tables)
+    try:
+        _commit(chosen, made, rows, base, store, now, cooldown_minutes, ledger_folder, archive_folder and f"{archive_folder.rstrip('/')}/{archive_label(label, now)}", errors)
+    except Exception as failure:
+        told(f"{type(failure).__name__}: {failure}")
+        store.commit({"trigger_runs": store.record("trigger_runs", [base | {"status": "delivery_state_error"}])})
+        return "delivery_state_error"
     return "completed"
+
+
+def _commit(chosen, made: Plan, rows: list[dict], base: dict, store: Store, now: str, cooldown_minutes: int | None, ledger_folder: str | None, archive: str | None, errors: dict[str, str] | None) -> None:
+    minutes = chosen.cooldown_minutes if cooldown_minutes is None else cooldown_minutes
+    keys = F.struct(F.date_format(F.try_to_timestamp(F.lit(now)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expiry"))
+    expiry = store.spark.range(1).select(keys.alias("k")).first().k.expiry
+    tables = {"trigger_runs": store.record("trigger_runs", [base | {"status": "completed"}]), "deliveries": store.record("deliveries", [{"destination": chosen.mode, "delivered_at": now, "status": "delivered"}])}
+    if rows:
+        frame = store.spark.createDataFrame([(r["source"], r["id"]) for r in rows], "source string, id string")
+        subjects = [r.subject for r in frame.select(subject_key(F.col("source"), F.col("id")).alias("subject")).distinct().collect()]  # of delivered rows
+        tables["suppression_history"] = store.record("suppression_history", [{"subject": s, "trigger_family": chosen.event, "reason": "already_delivered_in_same_trigger_family", "cooldown_expires_at": expiry, "dismissal_status": "active", "superseded_by_higher_authority": False} for s in subjects])
+    if chosen.mode == "action_prep":
+        asked = [r.asDict() for r in approvals(made.items).collect()]  # one row
+        tables["approval_action_log"] = store.record("approval_action_log", [r | {"approval_boundary_reached": True, "user_decision": "pending", "execution_result": "not_executed", "recorded_at": now} for r in asked])
+    tables["connector_cursors"] = cursors_after(made.items, store, now, errors)
+    if archive is not None:
+        write_snapshot(made.items, archive)
+    if ledger_folder is not None:
+        lines = made.items.withColumn("retrieved_at", F.lit(now)).select("source", jsonl(F.struct(*(f.split()[0] for f in LEDGER.split(", ")))).alias("value"))
+        first = lines.withColumnRenamed("source", "of").withColumn("of", F.coalesce("of", F.lit("none")))
+        first.write.mode("append").partitionBy("of").text(ledger_folder)
+    store.commit(tables)
+

@@ -48,13 +48,18 @@ def by_keyword(text: Column, whole_words: bool = False) -> Column:
     return F.transform(F.array(F.lower(text)), cases)[0]  # lower-cased once
 
 
-def classify(text: Column, explicit: Column | None = None, hint: Column | None = None, scheduled: Column | None = None, scopes: Column | None = None, whole_words: bool = False) -> Column:
-    """Explicit category, then hint, schedule, scopes, keywords, and `it` for the rest."""
-    steps = []
-    if explicit is not None:
-        steps.append(normalized(explicit))
-    if hint is not None:
-        steps.append(normalized(hint))
+def haystack(*parts: Column) -> Column:
+    """What keywords are looked for in: source, kind, title, excerpt, body and address, those there are."""
+    return F.concat_ws(" ", *parts)
+
+
+def has_schedule(start_at: Column, end_at: Column) -> Column:
+    return (F.coalesce(start_at, F.lit("")) != "") | (F.coalesce(end_at, F.lit("")) != "")
+
+
+def classify(text: Column, explicit: Column | tuple[Column, ...] = (), hint: Column | tuple[Column, ...] = (), scheduled: Column | None = None, scopes: Column | None = None, whole_words: bool = False) -> Column:
+    """The first explicit category, then hints, schedule, scopes, keywords, and `it` for the rest."""
+    steps = [normalized(c) for given in (explicit, hint) for c in (given if isinstance(given, tuple) else (given,))]
     if scheduled is not None:
         steps.append(F.when(scheduled, "schedule"))
     if scopes is not None:

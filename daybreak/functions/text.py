@@ -75,3 +75,23 @@ def spend_cap(message: Column) -> Column:
 
 def reset_date(message: Column) -> Column:
     return F.nullif(F.regexp_extract(message, r"\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b", 1), F.lit(""))
+
+
+def clean_title(title: Column, product: str) -> Column:
+    """A title without white space around it and without the product's name at its end; blank ones are null."""
+    flat = F.regexp_replace(title, r"^\s+|\s+$", "")
+    cut = F.when(flat.endswith(f" - {product}"), F.regexp_replace(F.substring(flat, F.lit(1), F.length(flat) - len(product) - 3), r"\s+$", "")).otherwise(flat)
+    return F.nullif(cut, F.lit(""))
+
+
+def resolved_title(title: Column, fetched: Column, synthesised: Column, url: Column, excerpt: Column, body: Column) -> Column:
+    """The title ladder: the own title, a fetched one, one made of the text, the address without its scheme; without an address the excerpt, the body, a default."""
+    some = lambda c: F.nullif(truncate(c), F.lit(""))
+    bare = F.regexp_replace(url, r"^.*?//", "")
+    addressed = F.coalesce(some(fetched), some(synthesised), bare)
+    return F.coalesce(some(title), F.when(F.coalesce(url, F.lit("")) != "", addressed).otherwise(F.coalesce(some(excerpt), some(body), F.lit("Untitled item"))))
+
+
+def subject_key(source: Column, item_id: Column) -> Column:
+    """What a suppression names: the JSON list of source and id."""
+    return F.to_json(F.array(source, item_id))

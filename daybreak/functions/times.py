@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +46,18 @@ def natural_key(raw: Column) -> Column:
         value.alias("number"),
         raw.alias("raw"),
     )
+
+
+def boundary_seconds(value: str) -> Column:
+    """Seconds since 1970 of a window's end: a date is its midnight in UTC, anything else an ISO time."""
+    return sort_seconds(F.lit(f"{value}T00:00:00Z" if len(value) == 10 else value))
+
+
+def default_occurrence(now: str | None = None) -> str:
+    """The time of a run: the given one, or this second in UTC."""
+    return now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def archive_label(label: str | None, now: str) -> str:
+    """The name of a run's archive: the given one, or its day."""
+    return label or now[:10]

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daybreak.functions.times import natural_key
+from daybreak.operators.scan import ordered_scan
+
 
 def after_cursor(items: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Items newer than their source's cursor: no id, no cursor, changed since the last success, or a larger key."""
-    joined = items.join(F.broadcast(cursors), "source", "left")  # one row a source: the registry bounds them
-    keep = F.col("raw_id").isNull() | F.col("cursor").isNull() | (F.col("changed_at") > F.col("last_success")) | (F.col("raw_id") > F.col("cursor"))
-    return joined.where(F.coalesce(keep, F.lit(False)))
+    """Items newer than their source's cursor: no id, no cursor, changed since the last success, or a larger id in natural order."""
+    raw, cursor = F.col("raw_id").cast("string"), F.col("cursor").cast("string")
+    keep = raw.isNull() | cursor.isNull() | (F.col("changed_at") > F.col("last_success")) | (natural_key(raw) > natural_key(cursor))
+    return items.join(cursors, "source", "left").where(F.coalesce(keep, F.lit(False)))
 
 
 def active_suppressions(history: DataFrame, family: str, at: Column) -> DataFrame:
-    """Subjects that are suppressed for a family; the second of expiry still counts."""
+    """Subjects that are suppressed for a family, which is the event type; the second of expiry still counts. A subject is the key of a source and an id."""
     live = (F.col("family") == family) & (F.col("status") == "active") & ~F.col("superseded") & (F.col("expires_at").isNull() | (F.col("expires_at") >= at))
     return history.where(live).select("subject").distinct()
 
@@ -29,14 +34,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_where_null: tuple[
 
 
 def greedy_cooldown(rows: DataFrame, keys: list[str], at: str, event_id: str, minutes: int) -> DataFrame:
-    """Delivered rows: each is the first of its key after the cooldown of the one delivered before, whose last second still suppresses.
+    """Delivered rows: each is the first of its key after the cooldown of the one delivered before, whose last second still suppresses."""
+    place = len(keys)
+
+    def start(_: tuple) -> Callable[[tuple], bool]:
+        until: int | None = None
+
+        def step(row: tuple) -> bool:
+            nonlocal until
+            sent = until is None or row[place] > until
+            if sent:
+                until = row[place] + 60 * minutes
+            return sent
 
-    A fold over the key's ordered events; their number a key is that of its polls.
-    """
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(event_id).alias("id")))).alias("events"))
-    start = F.struct(F.lit(None).cast("long").alias("until"), F.expr("cast(array() as array<bigint>)").alias("ids"))
-    step = lambda acc, x: F.when(acc.until.isNull() | (x.at > acc.until), F.struct((x.at + 60 * minutes).alias("until"), F.concat(acc.ids, F.array(x.id)).alias("ids"))).otherwise(acc)
-    return listed.select(*keys, F.explode(F.aggregate("events", start, step).ids).alias(event_id))
+        return step
+
+    found = ordered_scan(rows.select(*keys, at, event_id), keys, [at, event_id], "delivered boolean", start)
+    return found.where("delivered").select(*keys, event_id)
 
 
 APPROVAL = {("pending", "approve"): "approved", ("pending", "reject"): "rejected", ("approved", "complete"): "executed", ("approved", "fail"): "failed"}
@@ -50,3 +64,18 @@ def transition(state: Column, command: Column, machine: dict[tuple[str, str], st
         case = (state == source) & (command == verb)
         out = F.when(case, target) if out is None else out.when(case, target)
     return out.otherwise(None)
+
+
+def health(old: DataFrame, outcomes: DataFrame, at: str) -> DataFrame:
+    """Cursor rows after a poll of (connector_id, cursor, succeeded, error) outcomes: a success sets cursor and time and clears the error,
+    a failure keeps both and sets it; of several outcomes of a connector a success wins."""
+    best = outcomes.groupBy("connector_id").agg(F.max(F.struct(F.col("succeeded").cast("int").alias("ok"), F.col("cursor").alias("new_cursor"), F.col("error").alias("told"))).alias("o")).select("connector_id", "o.*")
+    joined = old.join(best, "connector_id", "full")
+    ok, polled = F.coalesce(F.col("ok") == 1, F.lit(False)), F.col("ok").isNotNull()
+    return joined.select(
+        "connector_id",
+        F.when(ok, F.coalesce("new_cursor", "cursor")).otherwise(F.col("cursor")).alias("cursor"),
+        F.when(polled, F.lit(at)).otherwise(F.col("last_poll_at")).alias("last_poll_at"),
+        F.when(ok, F.lit(at)).otherwise(F.col("last_success_at")).alias("last_success_at"),
+        F.when(ok, None).when(polled, F.col("told")).otherwise(F.col("last_error")).alias("last_error"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybreak.functions import category, text, times, urls
@@ -44,9 +44,10 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the page of the same number, where there is one."""
-    pages = page_items(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("title").alias("page_title"))
-    return document_items(spark, sf_dir).join(pages, "doc_id", "left").select("id", F.coalesce("page_title", "title").alias("title"), F.col("page_title").isNotNull().alias("enriched"))
+    """Documents with the title and the text of the page of the same number, where there is one."""
+    pages = page_items(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("title").alias("page_title"), F.col("body").alias("page_body"))
+    joined = document_items(spark, sf_dir).join(pages, "doc_id", "left")
+    return joined.select("id", F.coalesce("page_title", "title").alias("title"), F.length(F.coalesce("page_body", "body")).alias("n"), F.col("page_title").isNotNull().alias("enriched"))
 
 
 def domain_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,11 @@ def redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_items(spark, sf_dir).select("id", category.classify(F.col("body")).alias("category"))
+    return document_items(spark, sf_dir).select("id", category.classify(_haystack()).alias("category"))
+
+
+def _haystack() -> Column:
+    return category.haystack(*map(F.col, ("source", "kind", "title", "body")))
 
 
 def category_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +83,16 @@ def category_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = document_items(spark, sf_dir)
     number = F.substring("source", 4, 5).cast("int")
     hint = F.when(number == 1, "EV").when(number == 2, "developer_tools").when(number == 3, "Photo")
-    scheduled = number == 4
-    named = items.select(category.classify(F.col("body"), hint=hint, scheduled=scheduled).alias("category"), "id")
+    start = F.when(number == 4, F.lit("2024-01-01T00:00:00Z"))
+    explicit = F.when(number == 5, "Tech")
+    named = items.select(category.classify(_haystack(), explicit=(F.lit(None).cast("string"), explicit), hint=(hint,), scheduled=category.has_schedule(start, F.lit(""))).alias("category"), "id")
     place = F.array_position(F.array(*map(F.lit, category.ORDER)), F.col("category")).cast("int")
     return named.groupBy("category").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("place", place)
 
 
 def signature_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = document_items(spark, sf_dir)
-    return items.select("id", F.array_join(cluster.signature(F.col("title")), " ").alias("tokens"))
+    return items.select("id", F.array_join(cluster.signature(F.col("title"), F.col("body")), " ").alias("tokens"))
 
 
 def text_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +106,7 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    items = document_items(spark, sf_dir).withColumn("tokens", cluster.signature(F.col("title")))
+    items = document_items(spark, sf_dir).withColumn("tokens", cluster.signature(F.col("title"), F.col("body")))
     return cluster.greedy_clusters(items, "source", "doc_id", "tokens")
 
 
@@ -167,7 +173,7 @@ def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of conversations left-joined to their responses; all responses count, blank ones give no line."""
     c = table(spark, sf_dir, "conversations")
     index = c.select("conv_id").distinct()
-    responses = c.where("lower(role) <> 'user'").withColumn("message", F.when(F.col("turn") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
+    responses = c.withColumn("message", F.when(F.col("turn") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
     body = sources.conversation_items(responses.select("conv_id", "turn", "role", F.col("message").alias("text"))).select("conv_id", "body")
     counts = responses.groupBy("conv_id").agg(F.count("*").alias("response_count"))
     out = index.join(body, "conv_id", "left").join(counts, "conv_id", "left")
@@ -183,7 +189,7 @@ def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_rows(spark, sf_dir)
     posts = e.select(F.col("event_id").cast("string").alias("id"), F.when(F.col("k") % 9 != 0, F.col("event_type")).otherwise(F.lit("  ")).alias("text"), F.col("user_id").alias("author_id"), F.array(F.lit("ftp://x"), F.concat(F.lit("https://t.example/"), F.col("k").cast("string"))).alias("urls"))
-    users = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "[# ]", "_").alias("username"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "[# ]", "_").alias("username"))
     return sources.post_items(posts, users, "bookmarks")
 
 
@@ -197,7 +203,8 @@ def snapshot_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of pages by host: their sum, last time, distinct addresses and first usable title."""
-    e = event_rows(spark, sf_dir).groupBy((F.col("event_id") % 250).alias("page_id")).agg(F.count("*").alias("visits"), F.max("sec").alias("last"))
+    pages = F.lit(max(1, table(spark, sf_dir, "pages").count()))
+    e = event_rows(spark, sf_dir).groupBy((F.col("event_id") % pages).alias("page_id")).agg(F.count("*").alias("visits"), F.max("sec").alias("last"))
     p = page_items(spark, sf_dir).join(e, "page_id")
     generic = F.length(F.coalesce("title", F.lit(""))) < 30
     return p.groupBy("source").agg(F.sum("visits").alias("visits"), F.max("last").alias("last"), F.array_join(F.sort_array(F.collect_set("url")), " ").alias("urls"), F.min_by("title", F.struct(generic, F.col("page_id"))).alias("title"))
@@ -227,8 +234,8 @@ def link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that a title shares with the next document's title of the same source."""
-    items = document_items(spark, sf_dir).withColumn("tokens", cluster.signature(F.col("title")))
+    """Tokens that a document shares with the next one of the same source."""
+    items = document_items(spark, sf_dir).withColumn("tokens", cluster.signature(F.col("title"), F.col("body")))
     nxt = F.lead("tokens").over(Window.partitionBy("source").orderBy("doc_id"))
     return items.select("id", F.coalesce(F.size(F.array_intersect("tokens", nxt)), F.lit(0)).alias("shared"))
 
@@ -279,17 +286,16 @@ _SHORT = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 1) || '…' ELSE
 _DOMAIN = r"(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) = 'example.com' OR lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) LIKE '%.example.com')"
 
 
+_HAYSTACK = "concat_ws(' ', source, kind, title, body)"
+
+
 def _keyword_sql(column: str) -> str:
     cases = " ".join(f"WHEN regexp_matches(lower({column}), '({'|'.join(w.replace('.', chr(92) + '.') for w in words)})') THEN '{name}'" for name, words in category.KEYWORDS.items())
     return f"CASE {cases} ELSE 'it' END"
 
 
-_SIG = (
-    "list_transform(list_filter(list_transform(list_zip(tk, range(1, len(tk) + 1)), lambda z: {'t': z[1], 'i': z[2]}), lambda z: list_position(tk, z.t) = z.i AND NOT regexp_matches(z.t, '^[0-9]+$') AND z.t NOT IN ("
-    + ", ".join(f"'{w}'" for w in cluster.STOPWORDS)
-    + ")), lambda z: z.t)"
-)
-SIG_SQL = "WITH " + ITEMS_SQL + f", tk AS (SELECT id, doc_id, source, regexp_extract_all(lower(title), '[a-z0-9]{{3,}}') AS tk FROM items), sg AS (SELECT id, doc_id, source, {_SIG} AS tokens FROM tk)"
+_SIG = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', title, body)), '[a-z0-9]{3,}'), lambda t: NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN (" + ", ".join(f"'{w}'" for w in cluster.STOPWORDS) + "))))"
+SIG_SQL = "WITH " + ITEMS_SQL + f", sg AS (SELECT id, doc_id, source, {_SIG} AS tokens FROM items)"
 
 ORACLES = {
     "page_titles": PAGES_SQL + " SELECT page_id, coalesce(title, url) AS title FROM pg",
@@ -298,7 +304,7 @@ ORACLES = {
     "page_slugs": r"""
 WITH s AS (SELECT page_id, url, trim(translate(list_last(string_split(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '^[a-zA-Z]+://[^/]*', ''), '/')), '-_', '  ')) AS w FROM pages)
 SELECT page_id, CASE WHEN w = '' THEN url ELSE upper(substr(w, 1, 1)) || substr(w, 2) END AS title FROM s""",
-    "page_enrich": PAGES_SQL + ", " + ITEMS_SQL + " SELECT i.id, coalesce(pg.title, i.title) AS title, pg.title IS NOT NULL AS enriched FROM items i LEFT JOIN pg ON pg.page_id = i.doc_id",
+    "page_enrich": PAGES_SQL + ", " + ITEMS_SQL + " SELECT i.id, coalesce(pg.title, i.title) AS title, length(coalesce(pg.body, i.body))::INTEGER AS n, pg.title IS NOT NULL AS enriched FROM items i LEFT JOIN pg ON pg.page_id = i.doc_id",
     "domain_ranks": rf"""
 WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS part FROM pages),
 g AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY page_id))::INTEGER AS gapped FROM p)
@@ -307,10 +313,10 @@ SELECT page_id, part, gapped, (row_number() OVER (PARTITION BY part ORDER BY pag
 SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN lower(n_name) || ' site:own.example.org' ELSE 'site:s' || s_suppkey || '.example.com ' || lower(n_name) END AS query
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "redirect_unwrap": "SELECT page_id, url FROM pages",
-    "category_classify": "WITH " + ITEMS_SQL + f" SELECT id, {_keyword_sql('body')} AS category FROM items",
+    "category_classify": "WITH " + ITEMS_SQL + f" SELECT id, {_keyword_sql(_HAYSTACK)} AS category FROM items",
     "category_groups": "WITH "
     + ITEMS_SQL
-    + f""", n AS (SELECT id, CASE source WHEN 'src1' THEN 'car' WHEN 'src2' THEN 'it' WHEN 'src3' THEN 'camera' WHEN 'src4' THEN 'schedule' ELSE {_keyword_sql('body')} END AS category FROM items)
+    + f""", n AS (SELECT id, CASE source WHEN 'src1' THEN 'car' WHEN 'src2' THEN 'it' WHEN 'src3' THEN 'camera' WHEN 'src4' THEN 'schedule' WHEN 'src5' THEN 'it' ELSE {_keyword_sql(_HAYSTACK)} END AS category FROM items)
 SELECT category, count(*) AS n, min(id) AS first_id, list_position(['ai', 'it', 'finance', 'camera', 'car', 'schedule'], category)::INTEGER AS place FROM n GROUP BY category""",
     "signature_tokens": SIG_SQL + " SELECT id, array_to_string(tokens, ' ') AS tokens FROM sg",
     "set_overlap": SIG_SQL + ", l AS (SELECT id, tokens, lead(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM sg) SELECT id, coalesce(len(list_intersect(tokens, n)), 0)::INTEGER AS shared FROM l",
@@ -343,7 +349,7 @@ SELECT 'calendar:' || o_orderkey AS id, o_orderpriority AS title, {ISO_SQL.forma
 WITH f AS (SELECT conv_id, arg_min(text, (turn, role)) AS text, max(turn) AS last FROM conversations GROUP BY conv_id)
 SELECT 'session:' || conv_id AS id, left({_FLAT.format("split_part(text, chr(10), 1)")}, 80) AS title, last FROM f""",
     "history_import": """
-WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS t FROM conversations WHERE lower(role) <> 'user'),
+WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS t FROM conversations),
 b AS (SELECT conv_id, string_agg(lower(role) || ': ' || trim(t), chr(10) || chr(10) ORDER BY turn) AS body FROM r WHERE trim(t) <> '' GROUP BY conv_id),
 n AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id)
 SELECT c.conv_id, sha256(b.body) AS digest, coalesce(n.n, 0) AS response_count FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b USING (conv_id) LEFT JOIN n USING (conv_id)""",
@@ -352,7 +358,7 @@ SELECT c.conv_id, sha256(b.body) AS digest, coalesce(n.n, 0) AS response_count F
     + EVENTS_SQL
     + """ SELECT event_id::VARCHAR AS id, CASE WHEN k % 9 <> 0 THEN event_type ELSE 'Untitled post' END AS title,
   'https://x.com/' || coalesce(regexp_replace(c_name, '[# ]', '_', 'g'), 'i/web') || '/status/' || event_id AS url, 'https://t.example/' || k AS target_url, true AS saved, false AS liked
-FROM ev LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_custkey = user_id""",
+FROM ev LEFT JOIN customer ON c_custkey = user_id""",
     "snapshot_posts": "WITH "
     + EVENTS_SQL
     + """, o AS (SELECT * FROM ev WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY event_type, user_id, k ORDER BY event_id) = 1)
@@ -360,7 +366,7 @@ SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id
     "visit_rollup": PAGES_SQL
     + ", "
     + EVENTS_SQL
-    + """, v AS (SELECT event_id % 250 AS page_id, count(*) AS visits, max(sec) AS last FROM ev GROUP BY 1)
+    + """, v AS (SELECT event_id % (SELECT greatest(1, count(*)) FROM pages) AS page_id, count(*) AS visits, max(sec) AS last FROM ev GROUP BY 1)
 SELECT source, sum(visits)::BIGINT AS visits, max(last) AS last, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls, arg_min(title, (length(coalesce(title, '')) < 30, page_id)) AS title FROM pg JOIN v USING (page_id) GROUP BY source""",
     "preset_union": "SELECT 'doc:' || doc_id AS id, 1 AS preset_pos FROM documents UNION ALL SELECT 'page:' || page_id, 2 FROM pages UNION ALL SELECT DISTINCT 'conv:' || conv_id, 3 FROM conversations",
     "registry_payload_join": "WITH r AS (SELECT 'src' || (s_suppkey % 40) AS source, min(s_suppkey) AS k FROM supplier GROUP BY 1) SELECT 'doc:' || doc_id AS id, source, k AS registry_id FROM documents JOIN r USING (source)",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybreak.functions.text import fingerprint, identity
+from daybreak.functions.text import fingerprint, identity, subject_key
 from daybreak.functions.times import cooldown_expiry, iso, natural_key, seconds
 from daybreak.operators import state
 from daybreak.operators.bindings import EVENTS_SQL, ITEMS_SQL, document_items, event_rows, page_items
@@ -68,8 +68,8 @@ def heaviest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passthrough_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a source key, then the first page of every host, with their order."""
-    docs = document_items(spark, sf_dir).where("kind = 'document'").select("id", F.lit(0).alias("part"), F.col("doc_id").alias("pos"))
+    """Documents, which have no address to be deduped by, then the first page of every host, with their order."""
+    docs = document_items(spark, sf_dir).select("id", F.lit(0).alias("part"), F.col("doc_id").alias("pos"))
     pages = first_wins(page_items(spark, sf_dir), ["source"], "page_id").select("id", F.lit(1).alias("part"), F.col("page_id").alias("pos"))
     return docs.unionByName(pages)
 
@@ -101,7 +101,7 @@ def cursor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cursor_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cursors after the whole table; they never move back."""
     e = event_rows(spark, sf_dir)
-    new = e.groupBy(F.col("event_type").alias("source")).agg(F.max_by("event_id", F.struct("event_id")).alias("seen"), F.max("sec").alias("polled_at"))
+    new = e.groupBy(F.col("event_type").alias("source")).agg(F.max_by("event_id", natural_key(F.col("event_id").cast("string"))).alias("seen"), F.max("sec").alias("polled_at"))
     return new.join(_cursors(e), "source", "left").select("source", F.greatest("seen", "cursor").alias("cursor"), "polled_at")
 
 
@@ -113,19 +113,24 @@ def natural_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("lang", F.col("top.raw").alias("largest"), F.col("low.raw").alias("smallest"), F.col("top.rank").alias("top_rank"))
 
 
+def _subject() -> Column:
+    """The key of a source and an id."""
+    return subject_key(F.concat(F.lit("s"), F.col("user_id") % 3), F.col("user_id").cast("string"))
+
+
 def _suppressions(e: DataFrame) -> DataFrame:
     """Deliveries of the first ten days as suppression rows."""
     status = F.when(F.col("k") % 11 == 0, "dismissed").when(F.col("k") % 13 == 0, "expired").otherwise("active")
     minutes = F.when(F.col("k") % 17 == 0, None).otherwise(F.col("k") * 60)
     expiry = F.when(F.col("k") % 19 != 0, cooldown_expiry(F.col("sec"), minutes))
-    return e.where("sec < 1704931200").select(F.col("event_type").alias("family"), F.col("user_id").alias("subject"), status.alias("status"), (F.col("k") % 23 == 0).alias("superseded"), expiry.alias("expires_at"))
+    return e.where("sec < 1704931200").select(F.col("event_type").alias("family"), _subject().alias("subject"), status.alias("status"), (F.col("k") % 23 == 0).alias("superseded"), expiry.alias("expires_at"))
 
 
 SUPPRESSION_SQL = (
     "WITH "
     + EVENTS_SQL
     + """, h AS (
-  SELECT event_type AS family, user_id AS subject, CASE WHEN k % 11 = 0 THEN 'dismissed' WHEN k % 13 = 0 THEN 'expired' ELSE 'active' END AS status,
+  SELECT event_type AS family, '["s' || (user_id % 3) || '","' || user_id || '"]' AS subject, CASE WHEN k % 11 = 0 THEN 'dismissed' WHEN k % 13 = 0 THEN 'expired' ELSE 'active' END AS status,
     k % 23 = 0 AS superseded, CASE WHEN k % 19 <> 0 THEN sec + 60 * CASE WHEN k % 17 = 0 THEN 1440 ELSE k * 60 END END AS expires_at
   FROM ev WHERE sec < 1704931200
 ), act AS (
@@ -141,10 +146,10 @@ def active_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppression_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks after the first ten days of users who aren't suppressed for clicks."""
+    """Clicks after the first ten days whose (source, user) isn't suppressed for clicks."""
     e = event_rows(spark, sf_dir)
-    subjects = state.active_suppressions(_suppressions(e), "click", F.lit(1704931200)).withColumnRenamed("subject", "user_id")
-    return e.where("event_type = 'click' and sec >= 1704931200").join(subjects, "user_id", "left_anti").select("event_id", "user_id")
+    subjects = state.active_suppressions(_suppressions(e), "click", F.lit(1704931200))
+    return e.where("event_type = 'click' and sec >= 1704931200").withColumn("subject", _subject()).join(subjects, "subject", "left_anti").select("event_id", "user_id")
 
 
 def cooldown_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,14 +186,15 @@ def audit_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, line = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
-    polls = line.where("l_discount >= 0.1 and l_quantity >= 49").groupBy("l_suppkey").agg(F.max(seconds("l_shipdate")).alias("polled_at"))
-    return s.join(polls, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", "polled_at")
+    polls = line.groupBy("l_suppkey").agg(F.max(seconds("l_shipdate")).alias("last"))
+    polled = F.when(F.col("s_acctbal") >= 0, F.col("last"))  # a supplier in debt stands for one that was never polled
+    return s.join(polls, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", polled.alias("polled_at"))
 
 
 POLLS_SQL = """
 WITH p AS (
-  SELECT s_suppkey, s_name, polled_at FROM supplier LEFT JOIN (
-    SELECT l_suppkey, max(epoch_us(l_shipdate) // 1000000) AS polled_at FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 49 GROUP BY 1
+  SELECT s_suppkey, s_name, CASE WHEN s_acctbal >= 0 THEN last END AS polled_at FROM supplier LEFT JOIN (
+    SELECT l_suppkey, max(epoch_us(l_shipdate) // 1000000) AS last FROM lineitem GROUP BY 1
   ) ON s_suppkey = l_suppkey
 )"""
 NOW = 1004832000  # 2001-11-04
@@ -201,11 +207,16 @@ def staleness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_state_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items give their ids, a success without any gives none, an error keeps the old ids; what wasn't observed is left out."""
+    """Items give their ids, a success without any gives none, an error keeps the old ids, what wasn't observed stays as it is.
+
+    The events of type click are the observed items, dealt over all sources.
+    """
     polls = _polls(spark, sf_dir)
-    seen = event_rows(spark, sf_dir).groupBy((F.col("user_id") % 50 + 1).alias("key")).agg(F.count("*").alias("n"))
-    outcome = F.when(F.col("n") > 0, "items").when(F.col("s_suppkey") % 4 == 0, "success").when(F.col("s_suppkey") % 4 == 1, "error")
-    rows = polls.join(seen, F.col("s_suppkey") == F.col("key"), "left").withColumn("outcome", outcome).where("outcome is not null")
+    sources = F.lit(max(1, table(spark, sf_dir, "supplier").count()))
+    clicks = F.count_if(F.col("event_type") == "click")
+    seen = event_rows(spark, sf_dir).groupBy((F.col("user_id") % sources + 1).alias("key")).agg(clicks.alias("n"))
+    outcome = F.when(F.col("n") > 0, "items").when(F.col("s_suppkey") % 4 == 0, "success").when(F.col("s_suppkey") % 4 == 1, "error").otherwise("unobserved")
+    rows = polls.join(seen, F.col("s_suppkey") == F.col("key"), "left").withColumn("outcome", outcome)
     ids = F.when(F.col("outcome") == "items", F.col("n")).when(F.col("outcome") == "success", 0).otherwise(F.col("s_suppkey"))
     return rows.select("s_suppkey", "outcome", ids.cast("long").alias("n_ids"), (F.col("outcome") == "error").alias("has_error"))
 
@@ -213,8 +224,8 @@ def registry_state_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor rows of two polls: a null cursor keeps the old one, the other columns are overwritten."""
     e = event_rows(spark, sf_dir)
-    old = e.where("sec < 1704240000 and event_type <> 'view'").groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.max("sec").alias("polled_at"))
-    new = e.where("sec >= 1706572800 and event_type <> 'click'").groupBy("user_id").agg(F.max(F.when(F.col("k") > 90, F.col("event_id"))).alias("cursor"), F.max("sec").alias("polled_at"))
+    old = e.where("sec < 1705276800").groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.max("sec").alias("polled_at"))
+    new = e.where("sec >= 1705276800").groupBy("user_id").agg(F.max(F.when(F.col("k") > 90, F.col("event_id"))).alias("cursor"), F.max("sec").alias("polled_at"))
     return state.upsert(old, new, "user_id", ("cursor",))
 
 
@@ -255,9 +266,9 @@ def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping lists of sources: each id at its first place with its last value."""
+    """A list of all sources and an included one that has some of them again: each id at its first place with its last value."""
     s = table(spark, sf_dir, "supplier")
-    one = s.where("s_acctbal >= 2000").select("s_suppkey", F.col("s_name").alias("title"), F.col("s_suppkey").alias("pos"))
+    one = s.select("s_suppkey", F.col("s_name").alias("title"), F.col("s_suppkey").alias("pos"))
     two = s.where("s_nationkey < 13").select("s_suppkey", F.concat("s_name", F.lit(" v2")).alias("title"), (F.col("s_suppkey") + 1000000).alias("pos"))
     return last_value_first_place(one.unionByName(two), "s_suppkey", "pos")
 
@@ -296,7 +307,7 @@ SELECT id, identity, fingerprint FROM f ANTI JOIN l USING (identity, fingerprint
 SELECT page_id, address, weight::BIGINT AS weight, 0 AS keyed, page_id AS first_pos FROM w WHERE address IS NULL
 UNION ALL SELECT arg_max(page_id, (weight, -page_id)), address, max(weight)::BIGINT, 1, min(page_id) FROM w WHERE address IS NOT NULL GROUP BY address""",
     "passthrough_union": PAGES_SQL
-    + """ SELECT 'doc:' || doc_id AS id, 0 AS part, doc_id AS pos FROM documents WHERE doc_id % 5 = 0
+    + """ SELECT 'doc:' || doc_id AS id, 0 AS part, doc_id AS pos FROM documents
 UNION ALL (SELECT id, 1, page_id FROM pg QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_id) = 1)""",
     "ledger_replay_window": "WITH " + EVENTS_SQL + f" SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY sec, event_id))::INTEGER AS place, event_id, {ISO_SQL.format('sec')} AS retrieved_at FROM ev WHERE sec >= 1704844800 AND sec < 1705017600",
     "replay_overwrite": "WITH " + EVENTS_SQL + " SELECT user_id, arg_max(event_id, (sec, event_id)) AS event_id, count(*) AS n FROM ev WHERE sec >= 1704844800 AND sec < 1705017600 GROUP BY user_id",
@@ -312,7 +323,9 @@ k AS (SELECT lang, raw, CASE WHEN regexp_matches(raw, '^[0-9]+$') THEN 2 WHEN re
   CASE WHEN regexp_matches(raw, '[0-9]$') THEN regexp_extract(raw, '^(.*?)[0-9]+$', 1) ELSE raw END AS prefix, coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+)$', 1) AS BIGINT), -1) AS number FROM r)
 SELECT lang, arg_max(raw, (rank, prefix, number, raw)) AS largest, arg_min(raw, (rank, prefix, number, raw)) AS smallest, max(rank)::INTEGER AS top_rank FROM k GROUP BY lang""",
     "active_subjects": SUPPRESSION_SQL + " SELECT family, subject FROM act",
-    "suppression_filter": SUPPRESSION_SQL + " SELECT event_id, user_id FROM ev WHERE event_type = 'click' AND sec >= 1704931200 AND user_id NOT IN (SELECT subject FROM act WHERE family = 'click')",
+    "suppression_filter": SUPPRESSION_SQL
+    + """ SELECT event_id, user_id FROM ev WHERE event_type = 'click' AND sec >= 1704931200
+AND '["s' || (user_id % 3) || '","' || user_id || '"]' NOT IN (SELECT subject FROM act WHERE family = 'click')""",
     "cooldown_greedy": "WITH RECURSIVE "
     + EVENTS_SQL
     + """, o AS (SELECT event_type, user_id, event_id, sec, row_number() OVER (PARTITION BY event_type, user_id ORDER BY sec, event_id) AS n FROM ev),
@@ -334,13 +347,13 @@ UNION ALL SELECT DISTINCT user_id, 'late_trigger', event_type FROM ev WHERE k >=
     + f""" SELECT s_suppkey, CASE WHEN polled_at IS NULL THEN s_name || ': never_polled' ELSE s_name || ': stale_since=' || {ISO_SQL.format('polled_at')} END AS report
 FROM p WHERE polled_at IS NULL OR polled_at < {NOW} - 172800""",
     "registry_state_transition": POLLS_SQL
-    + """, u AS (SELECT user_id % 50 + 1 AS key, count(*) AS n FROM events GROUP BY 1),
-o AS (SELECT s_suppkey, n, CASE WHEN n > 0 THEN 'items' WHEN s_suppkey % 4 = 0 THEN 'success' WHEN s_suppkey % 4 = 1 THEN 'error' END AS outcome FROM p LEFT JOIN u ON s_suppkey = key)
-SELECT s_suppkey, outcome, (CASE outcome WHEN 'items' THEN n WHEN 'success' THEN 0 ELSE s_suppkey END)::BIGINT AS n_ids, outcome = 'error' AS has_error FROM o WHERE outcome IS NOT NULL""",
+    + """, u AS (SELECT user_id % (SELECT greatest(1, count(*)) FROM supplier) + 1 AS key, count_if(event_type = 'click') AS n FROM events GROUP BY 1),
+o AS (SELECT s_suppkey, n, CASE WHEN n > 0 THEN 'items' WHEN s_suppkey % 4 = 0 THEN 'success' WHEN s_suppkey % 4 = 1 THEN 'error' ELSE 'unobserved' END AS outcome FROM p LEFT JOIN u ON s_suppkey = key)
+SELECT s_suppkey, outcome, (CASE outcome WHEN 'items' THEN n WHEN 'success' THEN 0 ELSE s_suppkey END)::BIGINT AS n_ids, outcome = 'error' AS has_error FROM o""",
     "connector_upsert": "WITH "
     + EVENTS_SQL
-    + """, o AS (SELECT user_id, max(event_id) AS cursor, max(sec) AS polled_at FROM ev WHERE sec < 1704240000 AND event_type <> 'view' GROUP BY 1),
-n AS (SELECT user_id, max(CASE WHEN k > 90 THEN event_id END) AS cursor, max(sec) AS polled_at FROM ev WHERE sec >= 1706572800 AND event_type <> 'click' GROUP BY 1)
+    + """, o AS (SELECT user_id, max(event_id) AS cursor, max(sec) AS polled_at FROM ev WHERE sec < 1705276800 GROUP BY 1),
+n AS (SELECT user_id, max(CASE WHEN k > 90 THEN event_id END) AS cursor, max(sec) AS polled_at FROM ev WHERE sec >= 1705276800 GROUP BY 1)
 SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN coalesce(n.cursor, o.cursor) ELSE o.cursor END AS cursor,
   CASE WHEN n.user_id IS NOT NULL THEN n.polled_at ELSE o.polled_at END AS polled_at FROM o FULL JOIN n ON o.user_id = n.user_id""",
     "approval_machine": APPROVALS_SQL + " SELECT o_orderkey, coalesce(two, one) AS state, second IS NOT NULL AND two IS NULL AS second_rejected FROM t",
@@ -354,7 +367,6 @@ SELECT o_orderkey, CASE WHEN b = 'active' AND c = 0 THEN 'dismissed' WHEN b = 'a
     + """ SELECT 'cursor' AS part, event_type AS name, max(event_id)::VARCHAR AS value FROM ev WHERE sec <= 1705276800 GROUP BY event_type
 UNION ALL SELECT 'action', coalesce(two, one), count(*)::VARCHAR FROM t GROUP BY 2""",
     "registry_load": """
-SELECT s_suppkey, CASE WHEN s_nationkey < 13 THEN s_name || ' v2' ELSE s_name END AS title, CASE WHEN s_acctbal >= 2000 THEN s_suppkey ELSE s_suppkey + 1000000 END AS pos
-FROM supplier WHERE s_acctbal >= 2000 OR s_nationkey < 13
+SELECT s_suppkey, CASE WHEN s_nationkey < 13 THEN s_name || ' v2' ELSE s_name END AS title, s_suppkey AS pos FROM supplier
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlparse
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -56,14 +56,16 @@ class _Links(HTMLParser):
             self.found += [v for k, v in attrs if k == "href" and v]
 
 
-def page_links(page: str | None, base: str | None) -> list[str]:
-    """Targets of a page's links against its address, each once, in order."""
+def page_links(page: str | None, base: str | None, prefix: str = "") -> list[str]:
+    """Targets of a page's links against its address whose path begins with a prefix, each once, in order."""
     parser = _Links()
     parser.feed(page or "")
     out = {}
     for link in parser.found:
         try:
-            out.setdefault(urljoin(base or "", link))
+            target = urljoin(base or "", link)
+            if urlparse(target).path.startswith(prefix):
+                out.setdefault(target)
         except ValueError:
             continue
     return list(out)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybreak.functions.text import slug_title
 from daybreak.functions.urls import on_domain, unwrapped
-from daybreak.sources.html import feed_entries_udf, search_results_udf, sitemap_udf
+from daybreak.sources.html import article_text_udf, feed_entries_udf, search_results_udf, sitemap_udf
 
 MOST_PER_SOURCE = 20
 
@@ -32,22 +34,45 @@ def sitemap_items(registry: DataFrame, payloads: DataFrame, most: int = MOST_PER
     return rows.withColumn("n", place).where(F.col("n") <= most).select("source", (F.col("pos") + 1).alias("rank"), "url", slug_title(F.col("url")).alias("title"))
 
 
-def sitemap_index(roots: DataFrame, payloads: DataFrame, most: int = MOST_PER_SOURCE, rounds: int = 5) -> DataFrame:
-    """(source, pos, url): locations below sitemap indexes in document order, sharing one budget a source; no map is read twice.
+def sitemap_prefix(maps: DataFrame, key: str, prefix: str) -> DataFrame:
+    """(key, place, url): a sitemap's locations that begin with a prefix, in document order."""
+    found = F.filter(sitemap_udf("payload").locations, lambda u: u.startswith(prefix))
+    return maps.select(key, F.posexplode(found).alias("pos", "url")).select(key, (F.col("pos") + 1).alias("place"), "url")
+
 
-    roots: (source, url); payloads: (url, payload). Rounds bound the nesting, not the rows.
+def known_source_items(registry: DataFrame, direct: DataFrame, results: DataFrame) -> DataFrame:
+    """(source, route, rank, title, url) of sources of mode known_source_search.
+
+    direct: (source, urls) of sources that were read themselves; an empty list is an answer, a missing one means search. results: (source, html).
     """
-    from functools import reduce
+    wanted = registry.where("acquisition_mode = 'known_source_search'").select("source", "domain")
+    own = wanted.join(direct.where("urls is not null"), "source")
+    searched = wanted.join(own.select("source"), "source", "left_anti")
+    rows = direct_items(own).withColumn("route", F.lit("direct"))
+    return rows.unionByName(search_items(searched, results).withColumn("route", F.lit("search")), allowMissingColumns=True).select("source", "route", "rank", "title", "url")
+
 
+def enriched(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items with the article text of their page, where there is one: (url, html) pages."""
+    bodies = pages.select("url", article_text_udf("html").alias("article"))
+    return items.join(bodies, "url", "left").withColumn("body", F.coalesce("article", "body")).drop("article")
+
+
+def sitemap_index(roots: DataFrame, payloads: DataFrame, most: int = MOST_PER_SOURCE, rounds: int | None = None) -> DataFrame:
+    """(source, pos, url): locations below sitemap indexes in document order, sharing one budget a source; no map is read twice.
+
+    roots: (source, url); payloads: (url, payload). A round reads the maps of one level, until none is left unread;
+    a caller may set a number of rounds.
+    """
     open_maps = roots.select("source", "url", F.array(F.lit(0)).alias("path"))
     visited = open_maps.select("source", "url")
     found = []
-    for _ in range(rounds):
+    while not found or (rounds is None or len(found) < rounds) and not open_maps.isEmpty():
         parsed = open_maps.join(payloads, "url").withColumn("map", sitemap_udf("payload"))
         rows = parsed.select("source", "path", "map.kind", F.posexplode("map.locations").alias("pos", "loc")).withColumn("path", F.concat("path", F.array("pos")))
         found.append(rows.where("kind = 'urlset'").select("source", "path", F.col("loc").alias("url")))
         deeper = rows.where("kind = 'sitemapindex'").groupBy("source", F.col("loc").alias("url")).agg(F.min("path").alias("path"))
-        open_maps = deeper.join(visited, ["source", "url"], "left_anti")
+        open_maps = deeper.join(visited, ["source", "url"], "left_anti").persist()
         visited = visited.unionByName(open_maps.select("source", "url"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("path"))
     return reduce(DataFrame.unionByName, found).withColumn("pos", place).where(F.col("pos") <= most).select("source", "pos", "url")

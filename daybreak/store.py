@@ -1,9 +1,11 @@
-"""State tables: versions in folders, and a pointer that flips last, so several tables change together or not at all."""
+"""State tables: rows in folders, and a numbered pointer that is written last, so several tables change together or not at all."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,22 @@ KEYS = {name: ddl.split()[0] for name, ddl in SCHEMAS.items()}
 KEEP_OLD = {"connector_cursors": ("cursor",), "source_registry_state": ("notes",)}
 
 
+class Appended(NamedTuple):
+    """New rows of a table, which a commit writes beside its old ones."""
+
+    rows: DataFrame
+
+
+#: Folders of a table beyond which a commit writes it as one.
+MOST_FOLDERS = 32
+
+
 class Store:
-    """The seven state tables below a folder that all executors reach."""
+    """The seven state tables below a folder that all executors reach.
+
+    A commit writes its folders and then one numbered pointer that names the folders of every table. The newest pointer that can
+    be read counts, so a commit that stops anywhere leaves the state before it; a pointer is made by a rename and never replaced.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,54 +49,67 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
-    def versions(self) -> dict[str, str]:
-        pointer = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(pointer):
-            return {}
-        return json.loads(self.spark.read.text(str(pointer.toString()), wholetext=True).first()[0])
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbers and names of the pointers, the newest first."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(((int(m[1]), n) for n in names if (m := re.fullmatch(r"state-(\d+)\.json", n))), reverse=True)
+
+    def versions(self) -> dict[str, list[str]]:
+        for _, name in self._pointers():
+            try:
+                return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0])
+            except (ValueError, TypeError):  # cut off: the one before it counts
+                continue
+        return {}
 
     def read(self, name: str) -> DataFrame:
-        folder = self.versions().get(name)
-        if folder is None:
+        folders = self.versions().get(name)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{f}" for f in folders))
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Replaces these tables together."""
+    def commit(self, tables: dict[str, DataFrame | Appended]) -> None:
+        """Replaces or extends these tables together."""
         versions = self.versions()
-        for name, df in tables.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{folder}")
-            versions[name] = folder
-        fresh = self._path(f"{self.root}/next-{uuid.uuid4().hex}.json")
-        out = self._fs.create(fresh)
+        for name, given in tables.items():
+            folder, old = f"{name}-{uuid.uuid4().hex}", versions.get(name, [])
+            if isinstance(given, Appended) and len(old) < MOST_FOLDERS:
+                given.rows.write.parquet(f"{self.root}/{folder}")
+                versions[name] = [*old, folder]
+            else:
+                whole = self.read(name).unionByName(given.rows) if isinstance(given, Appended) else given
+                whole.write.parquet(f"{self.root}/{folder}")
+                versions[name] = [folder]
+        number = next((n for n, _ in self._pointers()), 0) + 1
+        made = self._path(f"{self.root}/next-{uuid.uuid4().hex}.json")
+        out = self._fs.create(made)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        pointer = self._path(f"{self.root}/current.json")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
+        pointer = self._path(f"{self.root}/state-{number:012d}.json")
+        if self._fs.exists(pointer) or not self._fs.rename(made, pointer):
+            self._fs.delete(made, False)
+            raise RuntimeError("another run has committed meanwhile")
 
-    def record(self, name: str, rows: list[dict]) -> DataFrame:
-        """The table with these rows added; a row's id is a hash of its content, so a repeated record adds nothing."""
+    def record(self, name: str, rows: list[dict]) -> Appended:
+        """These rows for a commit; a row's id is a hash of its content, so a repeated record adds nothing."""
         key = KEYS[name]
         fields = [f.split()[0] for f in SCHEMAS[name].split(", ")]
         new = self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], SCHEMAS[name])
         made = F.sha2(F.to_json(F.struct(*(f for f in fields if f != key)), {"ignoreNullFields": "false"}), 256)
         new = new.withColumn(key, F.coalesce(key, made)).dropDuplicates([key])
-        old = self.read(name)
-        return old.unionByName(new.join(old.select(key), key, "left_anti"))
+        return Appended(new.join(self.read(name).select(key), key, "left_anti").select(*fields))
+
+    def updated(self, name: str, key: str, **changes: object) -> DataFrame:
+        """The table with the named columns of one row set: a run's status, a suppression's status or flag, an approval's outcome."""
+        this = F.col(KEYS[name]) == key
+        return self.read(name).withColumns({c: F.when(this, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
 
     def upserted(self, name: str, new: DataFrame) -> DataFrame:
         return upsert(self.read(name), new, KEYS[name], KEEP_OLD.get(name, ()))
 
 
-def current_states(transitions: DataFrame, key: str) -> DataFrame:
-    """The last state of each key from (key, seq, state) transitions."""
-    return transitions.groupBy(key).agg(F.max_by("state", "seq").alias("state"))
-
-
 def write_snapshot(items: DataFrame, path: str) -> None:
+    """The items of a run as JSON lines, in place of an earlier snapshot there."""
     items.write.mode("overwrite").json(path)
 
 
