@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     table between rounds is written to the shared folder, so a lost executor costs one step.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "links")
-    roots = stored(links.select(F.col("hi").alias("id"), F.col("lo").alias("root")).limit(0), "roots")
+    roots: DataFrame | None = None
     while not links.isEmpty():
         parent = stored(links.groupBy("hi").agg(F.min("lo").alias("root"), F.lit(True).alias("moved")), "parents")
         while True:
@@ -26,13 +26,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
             parent = jumped
             if jumped.where("moved").isEmpty():
                 break
-        step = parent.select(F.col("hi").alias("root"), F.col("root").alias("next"))
-        moved = roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-        risen = stored(moved.unionByName(parent.select(F.col("hi").alias("id"), "root").join(roots.select("id"), "id", "left_anti")), "roots")
+        risen = parent.select(F.col("hi").alias("id"), "root")
+        if roots is not None:
+            step = parent.select(F.col("hi").alias("root"), F.col("root").alias("next"))
+            moved = roots.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+            risen = stored(moved.unionByName(risen.join(roots.select("id"), "id", "left_anti")), "roots")
         low = parent.select(F.col("hi").alias("lo"), F.col("root").alias("lo_root"))
         ends = links.join(parent.select("hi", "root"), "hi").join(low, "lo", "left").select("root", F.coalesce("lo_root", "lo").alias("other"))
         left = stored(ends.where("root <> other").select(F.greatest("root", "other").alias("hi"), F.least("root", "other").alias("lo")).distinct(), "links")
-        remove(parent, roots, links)
+        remove(links, *([] if roots is None else [roots, parent]))
+        if roots is None:
+            risen._daybreak_path = parent._daybreak_path  # the first round's trees are its roots
         roots, links = risen, left
+    if roots is None:
+        return links.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     remove(links)
     return roots

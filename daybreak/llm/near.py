@@ -13,7 +13,9 @@ a marker tells the bucket. So what one task holds of a key is bounded by `LOCAL`
 A long run is settled by stars: of the run around its most central member (that with the most company over all long
 runs), and of splits of about `SPLIT` members around the most central one of each. First one star a member and the
 stars of the short runs are confirmed and united; then what still joins different components of the short runs' other
-pairs, the other runs' stars and the splits' stars. A group of n near copies costs about n confirmations, then. Two ids that
+pairs, the other runs' stars the splits' stars and,
+for members that their hub doesn't link, the stars around the most central member of each size that could be linked (where
+texts are parts of others). A group of n near copies costs about n confirmations, then. Two ids that
 meet in long runs only and that no hub links are not compared with one another; ids that share what their hubs lack meet
 in short runs, where every pair counts.
 """
@@ -67,12 +69,18 @@ def folded(minima: np.ndarray, rows: int) -> np.ndarray:
     return mix64((groups * factors).sum(axis=2, dtype=np.uint64) + np.arange(k // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-SKETCH_BITS = 12
+#: Up to five coordinates of so many bits, below the size class of a set.
+SKETCH_BITS, SKETCHED = 11, 5
+#: Sizes of a class are within this factor.
+SIZE_STEP = 1.06
+#: Classes on either side of its own that a set of similarity 0.8 may be in.
+SIZE_REACH = 4
 
 
-def sketches(coordinates: np.ndarray) -> np.ndarray:
-    """Up to five coordinates in a number of `SKETCH_BITS` bits each."""
-    out = np.zeros(len(coordinates), np.uint64)
+def sketches(coordinates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The coordinates and the size class of each set in a number."""
+    classes = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(SIZE_STEP), 511).astype(np.uint64)
+    out = classes << np.uint64(SKETCH_BITS * SKETCHED)
     for j in range(coordinates.shape[1]):
         out |= (coordinates[:, j] & np.uint64((1 << SKETCH_BITS) - 1)) << np.uint64(j * SKETCH_BITS)
     return out
@@ -87,6 +95,10 @@ def agreeing(a: np.ndarray, b: np.ndarray, skipped: int) -> np.ndarray:
     return out
 
 
+def size_classes(sketch: np.ndarray) -> np.ndarray:
+    return (sketch >> np.uint64(SKETCH_BITS * SKETCHED)).astype(np.int32)
+
+
 class Postings:
     """Gathers postings and emits them as (bucket, blob) rows.
 
@@ -125,7 +137,7 @@ class Postings:
                 order = np.flatnonzero(long)
                 order = order[np.argsort(keys[order], kind="stable")]
                 buckets.append(-1 - (self.place << 20 | self.flushes))
-                blobs.append(ids[order].tobytes() + keys[order].tobytes())
+                blobs.append(ids[order].tobytes() + keys[order].tobytes() + (sketch[order].tobytes() if self.sketched else b""))
                 keys, ids = np.append(keys[~long], hot), np.append(ids[~long], np.full(len(hot), MARK))
                 sketch = np.append(sketch[~long], np.zeros(len(hot), np.uint64)) if self.sketched else sketch
             bucket = (keys >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32) if self.bits else np.zeros(len(keys), np.uint16)
@@ -156,15 +168,17 @@ def _found(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, skippe
 
 
 def merged_lists(table: pa.Table, bits: int, skipped: int) -> pa.Table:
-    """One bucket's FOUND rows: pairs of short runs with their collisions, and (key, member, run's size) of long runs."""
+    """One bucket's FOUND rows: pairs of short runs with their collisions, and (key, member, run's size, size class) of long runs."""
     bucket = table.column("bucket")[0].as_py()
     keys, ids, sketch = [], [], []
     for blob in table.column("blob"):
         data = blob.as_buffer()
         if bucket < 0:
-            n = len(data) // 16
+            n = len(data) // (24 if skipped else 16)
             ids.append(np.frombuffer(data, np.int64, n))
             keys.append(np.frombuffer(data, np.uint64, n, 8 * n))
+            if skipped:
+                sketch.append(np.frombuffer(data, np.uint64, n, 16 * n))
             continue
         n = len(data) // (20 if skipped else 12)
         ids.append(np.frombuffer(data, np.int64, n))
@@ -172,6 +186,7 @@ def merged_lists(table: pa.Table, bits: int, skipped: int) -> pa.Table:
         if skipped:
             sketch.append(np.frombuffer(data, np.uint64, n, 12 * n))
     keys, ids = np.concatenate(keys), np.concatenate(ids)
+    sketch = np.concatenate(sketch) if skipped else np.zeros(len(keys), np.uint64)
     if bucket < 0:
         keys = keys.copy()
         if bits:
@@ -181,8 +196,7 @@ def merged_lists(table: pa.Table, bits: int, skipped: int) -> pa.Table:
             keys >>= np.uint64(32)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(first, len(keys)))
-        return _found(np.full(len(keys), RUN), keys.view(np.int64), ids, np.repeat(sizes, sizes), np.zeros(len(keys), np.int32))
-    sketch = np.concatenate(sketch) if skipped else np.zeros(len(keys), np.uint64)
+        return _found(np.full(len(keys), RUN), keys.view(np.int64), ids, np.repeat(sizes, sizes), size_classes(sketch))
     ordered = np.sort(keys)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     known = np.zeros(1 << 20, bool)
@@ -221,7 +235,7 @@ def merged_lists(table: pa.Table, bits: int, skipped: int) -> pa.Table:
         kind = np.where(star[head], STAR, REST)
         a, b = a[head], b[head]
     runs = (np.uint64(bucket) << np.uint64(32) | keys[long]).astype(np.uint64).view(np.int64)
-    return _found(np.append(kind, np.full(len(runs), RUN)), np.append(a, runs), np.append(b, ids[long]), np.append(n, size[long]), np.append(agree, np.zeros(len(runs), np.int32)))
+    return _found(np.append(kind, np.full(len(runs), RUN)), np.append(a, runs), np.append(b, ids[long]), np.append(n, size[long]), np.append(agree, size_classes(sketch[long])))
 
 
 def found_pairs(postings: DataFrame, label: str, bits: int, tasks: int, skipped: int = 0) -> DataFrame:
@@ -236,13 +250,13 @@ class Candidates:
     """Counted pairs of short runs and the stars of long ones, over a table of FOUND rows."""
 
     def __init__(self, found: DataFrame, matches: int = 1):
-        runs = found.where(F.col("kind") == RUN).groupBy(F.col("a").alias("key"), F.col("b").alias("id")).agg(F.max("n").alias("n"))
-        weights = stored(runs.groupBy("id").agg(F.sum("n").alias("weight"), F.count("*").cast("int").alias("long_runs")), "weights")
-        heavy = runs.join(weights, "id").select("key", "id", "weight")
+        runs = found.where(F.col("kind") == RUN).groupBy(F.col("a").alias("key"), F.col("b").alias("id")).agg(F.max("n").alias("n"), F.max("skipped").alias("size_class"))
+        weights = runs.groupBy("id").agg(F.sum("n").alias("weight"), F.count("*").cast("int").alias("long_runs"))
+        heavy = runs.join(weights, "id").select("key", "id", "weight", "size_class")
         hubs = heavy.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top"), F.count("*").alias("size"))
         hubs = hubs.select(F.col("key").alias("hub_key"), (-F.col("top.other")).alias("hub"), F.col("top.weight").alias("hub_weight"), "size")
         salt = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / SPLIT))
-        self.members = stored(heavy.join(hubs, F.col("key") == F.col("hub_key")).select("key", "id", "weight", "hub", "hub_weight", salt.alias("salt")), "members")
+        self.members = stored(heavy.join(hubs, F.col("key") == F.col("hub_key")).select("key", "id", "weight", "size_class", "hub", "hub_weight", salt.alias("salt")), "members")
         pairs = found.where(F.col("kind") != RUN).groupBy("a", "b").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"), F.max("skipped").alias("skipped"))
         if matches > 1:
             of = lambda name: weights.select(F.col("id").alias(name), F.col("long_runs").alias(f"{name}_long"))
@@ -250,7 +264,6 @@ class Candidates:
             most = F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
             pairs = pairs.where(F.col("n") + F.col("skipped") + most >= matches)
         self.pairs = stored(pairs.select("kind", "a", "b"), "pairs")
-        remove(weights)
 
     def ids(self) -> DataFrame:
         """Every id that a pair or a long run has."""
@@ -262,12 +275,19 @@ class Candidates:
         best = self.members.where("id <> hub").groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("other"))).alias("top"))
         return self.pairs.where(F.col("kind") == STAR).select("a", "b").unionByName(_ordered((-F.col("top.other")), F.col("id"), best)).distinct()
 
-    def second(self) -> DataFrame:
-        """The other pairs of short runs, all other hubs of long runs, and the hubs of their splits."""
+    def second(self, roots: DataFrame) -> DataFrame:
+        """The other pairs of short runs, all other hubs of long runs, the hubs of their splits, and for members outside their
+        hub's component the most central of its members in each size class in reach."""
+        of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+        met = self.members.groupBy("hub", "id").agg(F.max("size_class").alias("size_class"), F.max("weight").alias("weight"))  # a hub's members over all its runs
+        outside = met.join(of("id"), "id", "left").join(of("hub"), "hub", "left").where(F.coalesce("id_root", "id") != F.coalesce("hub_root", "hub"))
+        reach = F.explode(F.sequence(F.col("size_class") - SIZE_REACH, F.col("size_class") + SIZE_REACH))
+        peers = met.groupBy("hub", F.col("size_class").alias("peer_class")).agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"))
+        sized = outside.select("hub", "id", reach.alias("peer_class")).join(peers, ["hub", "peer_class"]).where("id <> peer")
         splits = self.members.groupBy("key", "salt").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("key", "salt", (-F.col("top.other")).alias("near"))
         near = self.members.join(splits, ["key", "salt"]).where("id <> near")
         hubs = self.members.where("id <> hub")
-        return self.pairs.where(F.col("kind") == REST).select("a", "b").unionByName(_ordered(F.col("hub"), F.col("id"), hubs)).unionByName(_ordered(F.col("near"), F.col("id"), near)).distinct()
+        return self.pairs.where(F.col("kind") == REST).select("a", "b").unionByName(_ordered(F.col("hub"), F.col("id"), hubs)).unionByName(_ordered(F.col("near"), F.col("id"), near)).unionByName(_ordered(F.col("peer"), F.col("id"), sized)).distinct()
 
     def drop(self) -> None:
         remove(self.members, self.pairs)
@@ -329,19 +349,13 @@ def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray
 def linked(candidates: Candidates, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, root) of the ids that aren't the smallest of their component of confirmed links; confirm keeps the true links of (a, b) rows."""
 
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        todo = stored(pairs, f"{label}-pairs")
-        edges = stored(confirm(todo), f"{label}-edges")
-        remove(todo)
-        return edges
-
-    edges = confirmed(candidates.first(), "first")
+    edges = stored(confirm(candidates.first()), "first-edges")
     roots = connected_components(edges)
     remove(edges)
     of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-    ends = candidates.second().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = candidates.second(roots).join(of("a"), "a", "left").join(of("b"), "b", "left")
     ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
-    edges = confirmed(ends.select("a", "b"), "second")
+    edges = stored(confirm(ends.select("a", "b")), "second-edges")
     named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     above = connected_components(named)
     out = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("higher")), "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
