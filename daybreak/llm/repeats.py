@@ -387,7 +387,7 @@ def repeated_spans(texts: DataFrame, length: int, buckets: int, parts: int) -> D
             part, blobs = part + more[0], blobs + more[1]
         return pa.table({"part": pa.array(part, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return texts.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(scan, "part int, blob binary")
+    return texts.mapInArrow(deal, schema).repartition(buckets // 4 + 1, "bucket").groupBy("bucket").applyInArrow(scan, "part int, blob binary")
 
 
 def _windows_of(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << 22) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], int]]:
@@ -440,7 +440,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = 8 <
         types = [pa.int64()] * 4 + [pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    placed = texts.mapInArrow(place, "part int, blob binary")
+    tasks = parts // 4 + 1
+    placed, spans = texts.mapInArrow(place, "part int, blob binary").repartition(tasks, "part"), spans.repartition(tasks, "part")
     return placed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
