@@ -51,8 +51,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: Hadoop's names of stores that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+
+
 def _opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"a bundle's path has no scheme: {uri}")
+    return pa.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it: one without a scheme is on the default file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 class BundleWriter:
@@ -197,7 +210,7 @@ def write_warc(
     """Writes the archive of (record_id, url, payload) rows below `path`; returns its record index, itself a table there."""
     spark = pages.sparkSession
     ship(spark)
-    folder = f"{path}/bundles"
+    folder = f"{qualified(spark, path)}/bundles"
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm_path)
 
@@ -244,8 +257,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names)
 
     bundles = spark.read.parquet(f"{path}/index").select("bundle").distinct()
-    tasks = min(max(bundles.count(), 1), 50_000)  # a set number, which adaptive execution doesn't merge into one
-    return bundles.repartition(tasks, "bundle").mapInArrow(unpack, RECORDS)
+    tasks = min(max(bundles.count(), 1), 50_000)
+    return bundles.coalesce(1).repartition(tasks).mapInArrow(unpack, RECORDS)  # dealt in turn from one list of names: a bundle each
 
 
 def read_record(index: DataFrame, record_id: int) -> Record | None:
