@@ -8,13 +8,13 @@ choice with the earlier place in `choices` wins, from the last turn backwards.
 
 The costs of a stretch of turns are a small matrix over the automaton's states, and matrices of
 neighbouring stretches combine with (min, +) products. So conversations are cut into blocks of bounded
-size wherever they are long: a block computes its matrices, the few that belong to conversations
-across a border are combined, and every block then traces its own turns. No conversation need fit into
+size wherever they are long: a block computes its matrices, those that belong to conversations
+across a border are combined by two ordered passes over them, one from either end, which hold a state each, and every block then traces its own turns. No conversation need fit into
 a task. Rendering is by turn: each input turn gives the text that it adds, so the fragments in order
 are the rendered conversation.
 
 Cases: roles are compared trimmed and lower-cased; a null or unknown role counts as `user` at the cost
-of another role; a null text counts as empty; turns with the same number follow one another by role
+of another role; a null text counts as empty; the markers of turns inside a text lose their bars, so no text opens or closes a turn; turns with the same number follow one another by role
 and text; a null turn number comes first and a null conversation id is a conversation; an empty
 table gives no rows; other columns are ignored.
 """
@@ -128,6 +128,10 @@ def opened(state: int) -> str:
 CLOSED = "<|im_end|>\n"
 
 
+def harmless(text: str | None) -> str:
+    return (text or "").replace("<|im_start|>", "<im_start>").replace("<|im_end|>", "<im_end>")
+
+
 def fragment(choice: Choice, text: str, closes: tuple[int, ...] | None) -> str:
     """What a turn adds: the end of the turn before it unless it merges, empty turns, itself, and the end of the conversation."""
     if choice.merged:
@@ -169,11 +173,14 @@ def repair(conversations: DataFrame, *, costs: Costs = Costs(), block_rows: int
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     border = ordered.groupBy("block").applyInArrow(edges, "block int, is_first boolean, is_last boolean, conv_id long, n long, matrix array<long>")
-    entries, exits, before = _borders(border.orderBy("block", "is_last").collect(), costs)  # two rows a block at most
-    sent = spark.sparkContext.broadcast((entries, exits, before))
-
-    def trace_block(part: pa.Table) -> pa.Table:
-        entries, exits, before = sent.value
+    settled = _borders(stored(border, "borders"), costs)
+
+    def trace_block(part: pa.Table, given: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=[f.split()[0] for f in TURNS.split(", ")])
+        entries = {r["block"]: r["entry"] for r in given.to_pylist() if r["enters"]}
+        before = {r["block"]: r["before"] for r in given.to_pylist() if r["enters"]}
+        exits = {r["block"]: [0 if s == r["leaves"] else FAR for s in range(4)] for r in given.to_pylist() if r["leaves"] is not None}
         part = part.sort_by("place")
         block = part.column("block")[0].as_py()
         ids, turns, roles, texts = (part.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))
@@ -192,11 +199,11 @@ def repair(conversations: DataFrame, *, costs: Costs = Costs(), block_rows: int
                 if c.target != known[k][0] or not known[k][1]:
                     done = "relabel" if done == "keep" else f"relabel+{done}"
                 cost = c.cost + (ending(c.target, costs)[0] if final else 0)
-                out.append((ids[i], skipped + k, turns[i], roles[i], ROLES[c.target - 1], done, len(c.inserted) + len(closes or ()), cost, fragment(c, texts[i] or "", closes)))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+                out.append((ids[i], skipped + k, turns[i], roles[i], ROLES[c.target - 1], done, len(c.inserted) + len(closes or ()), cost, fragment(c, harmless(texts[i]), closes)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f.split()[0] for f in TURNS.split(", ")])
 
-    return ordered.groupBy("block").applyInArrow(trace_block, TURNS)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+    return ordered.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(trace_block, TURNS)
 
 
 def _runs(ids: list, first_and_last: bool = False) -> Iterator[range]:
@@ -206,37 +213,51 @@ def _runs(ids: list, first_and_last: bool = False) -> Iterator[range]:
     yield from spans[:1] + spans[1:][-1:] if first_and_last else spans
 
 
-def _borders(rows: list, costs: Costs) -> tuple[dict[int, int], dict[int, list[int]], dict[int, int]]:
-    """For blocks whose first conversation began before: the state it enters in and the turns before; for blocks whose
-    last conversation goes on: the cost to go from each state, which lets it leave in one state only.
+def _borders(border: DataFrame, costs: Costs) -> DataFrame:
+    """(block, enters, entry, before, leaves) of stretches of conversations that cross a border of blocks.
+
+    enters: the stretch goes on from the block before, in the state `entry` and after `before` turns; leaves: the only state in
+    which it may leave if it goes on. A conversation's stretches pass in order, first from the last one for what is to come, then from the
+    first one for what was.
     """
-    final = np.array([ending(s, costs)[0] for s in range(4)])
-    chains: list[list] = []
-    for row in rows:
-        if chains and chains[-1][-1].is_last and row.is_first and chains[-1][-1].conv_id == row.conv_id and chains[-1][-1].block != row.block:
-            chains[-1].append(row)
-        else:
-            chains.append([row])
-    entries: dict[int, int] = {}
-    exits: dict[int, list[int]] = {}
-    before: dict[int, int] = {}
-    for chain in chains:
-        if len(chain) == 1:
-            continue
-        to_go = [final]
-        for row in reversed(chain[1:]):
-            to_go.append(np.minimum((np.array(row.matrix).reshape(4, 4) + to_go[-1][None, :]).min(axis=1), FAR))
-        to_go.reverse()  # to_go[k]: after chain[k]
-        state, turns = START, 0
-        for k, row in enumerate(chain):
-            if k:
-                entries[row.block], before[row.block] = state, turns
-            # this stretch leaves in one cheapest state, in which the next one enters
-            leaves = int(np.argmin(np.array(row.matrix).reshape(4, 4)[state] + to_go[k]))
-            if k < len(chain) - 1:
-                exits[row.block] = [0 if s == leaves else FAR for s in range(4)]
-            state, turns = leaves, turns + row.n
-    return entries, exits, before
+    chains = border.groupBy(F.col("conv_id").alias("chain")).agg(F.countDistinct("block").alias("blocks")).where("blocks > 1").select("chain")
+    rows = border.join(chains, F.col("conv_id").eqNullSafe(F.col("chain"))).select("conv_id", "block", "n", "matrix")
+
+    def backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, to_go = None, None
+        for batch in batches:
+            out = []
+            for name, matrix in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if to_go is None or name != known:
+                    known, to_go = name, np.array([ending(s, costs)[0] for s in range(4)])
+                out.append(to_go.tolist())
+                to_go = np.minimum((np.array(matrix).reshape(4, 4) + to_go[None, :]).min(axis=1), FAR)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "to_go"])
+
+    def forwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # a conversation's last stretch so far, which doesn't go on unless another follows
+        known, state, turns, begun = None, START, 0, False
+        names, types = ["block", "enters", "entry", "before", "leaves"], [pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32()]
+        for batch in batches:
+            out = []
+            for name, block, n, matrix, to_go in zip(*(c.to_pylist() for c in batch.columns)):
+                same = begun and name == known
+                if held is not None:
+                    out.append((*held[:4], held[4] if same else None))
+                if not same:
+                    known, state, turns, begun = name, START, 0, True
+                # this stretch leaves in one cheapest state, in which the next one enters
+                leaves = int(np.argmin(np.array(matrix).reshape(4, 4)[state] + np.array(to_go)))
+                held = (block, same, state, turns, leaves)
+                state, turns = leaves, turns + n
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held[:4], None), types)], names)
+
+    dealt = rows.repartition("conv_id")
+    back = dealt.sortWithinPartitions("conv_id", F.desc("block")).mapInArrow(backwards, "conv_id long, block int, n long, matrix array<long>, to_go array<long>")
+    ahead = back.repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    return ahead.mapInArrow(forwards, "block int, enters boolean, entry int, before long, leaves int")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
