@@ -13,7 +13,8 @@ partitions return their own top k, and a final top k per query merges these.
 
 Cases: a null vector or one with a null or non-finite component takes no part, nor does a null id; pairs
 whose sums could leave a long are scored in Python's integers, and a component or a score of the result
-that doesn't fit a long is an error; rows that repeat an id count once, with the smallest vector; vectors of fewer components are as if ended by zeros; fewer
+that doesn't fit a long is an error; rows that share an id are
+queries and candidates each for itself, also for one another; vectors of fewer components are as if ended by zeros; fewer
 candidates than k give as many rows; an empty table gives none. Ties go to the smaller id.
 """
 
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 
 from daybreak.llm.common import scratch, ship, stored, table
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
 HEAD, CHUNK = 4096, 1024
+#: Components of a partition, on average, and of a block of queries at most.
+PARTITION, BLOCK = 1 << 20, 1 << 21
+#: Queries that a chunk is held against at a time: what is alive of a chunk is bounded by this times CHUNK.
+TURN = 512
 #: Scores below any long count as this one until it is known whether the result needs them.
 LOWEST = 1 - (1 << 63)
 
@@ -46,14 +51,15 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id
         return F.when(F.abs(scaled) >= F.lit(float(1 << 63)), too_large).otherwise(F.floor(scaled).cast("long"))
 
     ints = F.transform(x, whole_number)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
 
 
 def norm_sorted(ints: DataFrame) -> DataFrame:
-    """The vectors in partitions by descending length, stored."""
+    """The vectors in partitions by descending length, with a number for each row, stored."""
     length2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     rows = ints.withColumn("length2", length2)
-    return stored(rows.repartitionByRange(F.desc("length2")).sortWithinPartitions(F.desc("length2"), "vec_id"), "vectors")
+    size = rows.agg(F.sum(F.size("v"))).first()[0] or 0
+    return stored(rows.repartitionByRange(size // PARTITION + 1, F.desc("length2"), "vec_id").sortWithinPartitions(F.desc("length2"), "vec_id").withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -88,8 +94,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 class Searcher:
     """Top k of a block of queries over chunks of vectors."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.ids, self.queries, self.turn, self.k = ids, queries, turn, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.rows, self.ids, self.queries, self.turn, self.k = rows, ids, queries, turn, k
         width = queries.shape[1]
         self.turned = queries @ turn
         self.lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
@@ -98,7 +104,7 @@ class Searcher:
         self.threshold = np.full(len(ids), -np.inf) if floor is None else floor.copy()
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
 
-    def chunk(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def chunk(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         lengths = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
         longest = lengths.max(initial=0.0)
         slack = 1e-9 * self.lengths * longest + 1e-6
@@ -106,12 +112,17 @@ class Searcher:
         if not len(active):
             return
         turned = vectors @ self.turn
+        left = [np.sqrt(np.maximum((turned[:, cut:] ** 2).sum(axis=1), 0)) for cut in self.cuts]
+        for at in range(0, len(active), TURN):
+            self._some(active[at : at + TURN], rows, ids, vectors, turned, lengths, left, slack)
+
+    def _some(self, active: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, lengths: np.ndarray, lefts: list[np.ndarray], slack: np.ndarray) -> None:
+        """A chunk against some of the queries."""
         least = (self.threshold - slack)[active]
         q, x = np.nonzero(self.lengths[active, None] * lengths[None, :] >= least[:, None])
         done = 0
         partial = np.zeros(len(q))
-        for cut, rest in zip(self.cuts, self.rest):
-            left = np.sqrt(np.maximum((turned[:, cut:] ** 2).sum(axis=1), 0))
+        for cut, rest, left in zip(self.cuts, self.rest, lefts):
             if done == 0:
                 sums = self.turned[active][:, :cut] @ turned[:, :cut].T
                 partial = sums[q, x]
@@ -120,7 +131,7 @@ class Searcher:
             keep = partial + rest[active[q]] * left[x] >= least[q]
             q, x, partial, done = q[keep], x[keep], partial[keep], cut
         q = active[q]
-        other = self.ids[q] != ids[x]
+        other = self.rows[q] != rows[x]
         q, x = q[other], x[other]
         score = self._scores(q, vectors, x, self.lengths[q] * lengths[x])
         keep = score >= self.threshold[q]
@@ -149,12 +160,12 @@ class Searcher:
         return score
 
     def found(self) -> pa.RecordBatch:
-        rows = [(int(i), vec, -score) for i, best in zip(self.ids, self.best) for score, vec in best]
-        columns = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        found = [(int(r), int(i), vec, -score) for r, i, best in zip(self.rows, self.ids, self.best) for score, vec in best]
+        columns = zip(*found) if found else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_row", "query_id", "vec_id", "score"])
 
 
-def top_inner_products(vectors: DataFrame, is_query, k: int = 10, query_block: int = 8192) -> DataFrame:
+def top_inner_products(vectors: DataFrame, is_query, k: int = 10, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of `vectors` (vec_id, v) where is_query holds, against all others."""
     spark = vectors.sparkSession
     ship(spark)
@@ -166,32 +177,32 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 10, query_block: i
     if not n_queries:
         return empty
     turn = rotation(data, width)
-    head = data.orderBy(F.desc("length2"), "vec_id").limit(HEAD).select("vec_id", "v").toArrow()
-    head_ids, head_vectors = head.column(0).to_numpy(), matrix(head.column(1), width)
-    blocks = -(-n_queries // query_block)
+    head = data.orderBy(F.desc("length2"), "vec_id").limit(HEAD).select("row", "vec_id", "v").toArrow()
+    head_rows, head_ids, head_vectors = head.column(0).to_numpy(), head.column(1).to_numpy(), matrix(head.column(2), width)
+    blocks = -(-n_queries // (query_block or max(1, BLOCK // width)))
     path = scratch(spark, "products")
     for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "v").toArrow()
+        part = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).select("row", "vec_id", "v").toArrow()
         if not part.num_rows:
             continue
-        ids, rows = part.column(0).to_numpy(), matrix(part.column(1), width)
-        start = Searcher(ids, rows, turn, k)
+        rows, ids, asked = part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2), width)
+        start = Searcher(rows, ids, asked, turn, k)
         for at in range(0, len(head_ids), CHUNK):
-            start.chunk(head_ids[at : at + CHUNK], head_vectors[at : at + CHUNK])
-        sent = spark.sparkContext.broadcast((ids, rows, turn, start.threshold))
+            start.chunk(head_rows[at : at + CHUNK], head_ids[at : at + CHUNK], head_vectors[at : at + CHUNK])
+        sent = spark.sparkContext.broadcast((rows, ids, asked, turn, start.threshold))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, rows, turn, floor = sent.value
-            searcher = Searcher(ids, rows, turn, k, floor)
+            rows, ids, asked, turn, floor = sent.value
+            searcher = Searcher(rows, ids, asked, turn, k, floor)
             for batch in batches:
-                names, found = batch.column(0).to_numpy(), matrix(batch.column(1), width)
+                numbers, names, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), width)
                 for at in range(0, len(names), CHUNK):
-                    searcher.chunk(names[at : at + CHUNK], found[at : at + CHUNK])
+                    searcher.chunk(numbers[at : at + CHUNK], names[at : at + CHUNK], found[at : at + CHUNK])
             yield searcher.found()
 
-        data.select("vec_id", "v").mapInArrow(search, FOUND).write.mode("append").parquet(path)
+        data.select("row", "vec_id", "v").mapInArrow(search, FOUND).write.mode("append").parquet(path)
         sent.destroy()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     best = spark.read.parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     too_small = F.raise_error(F.lit("a score doesn't fit a long")).cast("long")
     return best.select("query_id", "rank", "vec_id", F.when(F.col("score") <= LOWEST, too_small).otherwise(F.col("score")).alias("score"))
@@ -204,13 +215,13 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.n <> q.n
 ), r AS (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+  SELECT query_id, (row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

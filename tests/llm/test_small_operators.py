@@ -116,11 +116,12 @@ def test_top_products_equal_brute_force(spark):
     vectors += [(900, None), (901, [1.0, None] + [0.0] * 4), (1000, [float("nan")] * 6), (1001, [float("inf")] * 6), (None, [1.0] * 6), (1002, [])]
     frame = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<double>, v int")
     out = inner_product.top_inner_products(inner_product.integer_vectors(frame), F.col("vec_id") % 100 == 0, k=10, query_block=3)
-    ints = {i: np.array([int(np.floor(1024 * x)) for x in v] or [0] * 6) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ints = [(i, np.array([int(np.floor(1024 * x)) for x in v] or [0] * 6)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in ints if i % 100 == 0):
-        best = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for at, (q, own) in enumerate(ints):
+        if q % 100 == 0:
+            best = sorted((-int(own @ v), i) for k, (i, v) in enumerate(ints) if k != at)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert inner_product.top_inner_products(inner_product.integer_vectors(frame.limit(0)), F.lit(True)).count() == 0
 
