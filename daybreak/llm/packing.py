@@ -1,9 +1,11 @@
 """Packing: lexical retrieval packing of whole corpora into windows of a fixed number of tokens.
 
 Every document is tokenised whole and ends with `end_id`. Documents are dealt into shards of bounded
-token count in the order of three MinHash values of their token ids, weighted towards rare ids, and of
-their id, so that a shard holds lexically near documents and a hot signature fills several shards. A
-seed's neighbours are looked up in its own shard only. Each shard builds a
+token count in the order of a MinHash value of their token ids, weighted towards rare ids, of one of
+their runs of four ids, and of their id, so that a shard holds lexically near documents, copies
+foremost, and a hot signature fills several shards. Both values are scattered: as they come, long
+documents have the least ones and would fill shards of their own. A seed's neighbours are looked up in
+its own shard only. Each shard builds a
 BM25 inverted index over its documents, with document frequencies and the average length taken over
 all documents. A seed document opens a window; its unused neighbours, by descending BM25 score, fill
 it; the piece that doesn't fit is cut and its rest stays in the index. A document's full windows need
@@ -28,28 +30,43 @@ from pyspark.sql import functions as F
 from daybreak.llm import tokens
 from daybreak.llm.common import binary_rows, mix64, odd_multipliers, ship, stored, table
 
-#: MinHash values in a signature, of 21 bits each at most.
-VALUES = 3
+#: Bits of the signature that the MinHash value of runs takes; the 21 above them are of single ids.
+RUN_BITS = 42
 #: Tokens of a partition on average: near signatures gather long documents, which must fit an executor a few times over.
 PARTITION = 1 << 21
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def orders(vocabulary: int, end_id: int) -> np.ndarray:
-    """(VALUES, vocabulary): the rank of each id in weighted MinHash orders, which a later id leads the more often.
+def weighted_order(vocabulary: int, end_id: int) -> np.ndarray:
+    """The rank of each id in a weighted MinHash order, which a later id leads the more often.
 
     Byte-pair ids are numbered by merge, so late ids are rare in most texts. Every document has `end_id`: it comes last.
     """
     ids = np.arange(vocabulary, dtype=np.uint64)
-    out = np.empty((VALUES, vocabulary), np.int64)
-    for k, factor in enumerate(odd_multipliers(VALUES, 3)):
-        chance = ((mix64((ids + np.uint64(1)) * factor) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
-        key = -np.log(chance) / (ids + np.uint64(1)).astype(float)
-        key[end_id] = np.inf
-        out[k, np.argsort(key, kind="stable")] = np.arange(vocabulary)
+    chance = ((mix64((ids + np.uint64(1)) * odd_multipliers(1, 3)[0]) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
+    key = -np.log(chance) / (ids + np.uint64(1)).astype(float)
+    key[end_id] = np.inf
+    out = np.empty(vocabulary, np.uint64)
+    out[np.argsort(key, kind="stable")] = ids
     return out
 
 
+def signatures(ids: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """One number for each document: its scattered MinHash value of single ids over that of its runs of four ids.
+
+    Runs are told apart by 16 bits of each id; documents of fewer than four ids share one value of runs.
+    """
+    ends = np.cumsum(counts)
+    single = np.minimum.reduceat(rank[ids], ends - counts)
+    packed = np.append(ids, np.zeros(3, ids.dtype)).astype("<u2")
+    runs = np.ndarray(len(ids), "<u8", packed, strides=(2,)) * odd_multipliers(1, 5)[0]
+    for k in range(1, 4):  # runs that begin in a document's last three places leave it
+        runs[(ends - k)[counts >= k]] = np.iinfo(np.uint64).max
+    run = np.minimum.reduceat(runs, ends - counts)
+    top = mix64(single + np.uint64(1)) >> np.uint64(1 + RUN_BITS)
+    return (top << np.uint64(RUN_BITS) | mix64(run) >> np.uint64(64 - RUN_BITS)).astype(np.int64)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(signature, doc_id, ids) of every document."""
     return documents(encoded(docs, tokenizer, end_id, id_col, text_col))
@@ -62,30 +79,26 @@ def documents(rows: DataFrame) -> DataFrame:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(signature, doc_id, ids) of every document, and (term, n) rows of each task, in one pass.
 
-    ids are little-endian unsigned integers of 16 bits where the vocabulary allows it, of 32 otherwise. The signature holds the
-    MinHash values of their set in one number; documents share the first value with a chance equal to the weighted Jaccard
-    similarity of their ids. n counts the task's documents that hold the term; the terms -1 and -2 stand for its documents and ids.
+    ids are little-endian unsigned integers of 16 bits where the vocabulary allows it, of 32 otherwise. Documents share
+    the upper part of their signature with a chance equal to the weighted Jaccard similarity of their ids at least, the lower one with that of their runs. n counts the task's documents that hold the term; the terms -1 and -2 stand for its documents and ids.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.encoder(tokenizer)
-        ranks = orders(max(len(codec.ends), end_id + 1), end_id)
-        width = int(ranks.shape[1])
-        bits, narrow = min(21, width.bit_length()), id_type(width)
+        rank = weighted_order(max(len(codec.ends), end_id + 1), end_id)
+        width = len(rank)
+        narrow = id_type(width)
         found, docs, total = np.zeros(width, np.int64), 0, 0
         names = ["signature", "doc_id", "ids", "term", "n"]
         for batch in batches:
             for row, end, ids, counts in codec.column(batch.column(1), end_id):
-                signature, begin = np.zeros(len(counts), np.int64), np.cumsum(counts) - counts
-                for rank in ranks:
-                    signature = signature << bits | np.minimum(np.minimum.reduceat(rank[ids], begin), (1 << bits) - 1)
                 held = np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(32), counts) | ids
                 held.sort()
                 once = np.append(True, held[1:] != held[:-1])
                 found += np.bincount((held[once] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=width)
                 docs, total = docs + len(counts), total + len(ids)
                 nothing = pa.nulls(len(counts), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(signature), batch.column(0).slice(row, end - row), binary_rows(ids.astype(narrow), counts), nothing, nothing], names)
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(ids, counts, rank)), batch.column(0).slice(row, end - row), binary_rows(ids.astype(narrow), counts), nothing, nothing], names)
         term = np.flatnonzero(found)
         nothing = pa.nulls(len(term) + 2, pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(nothing), pa.binary()), pa.array(np.append(term, [-1, -2]), pa.int64()), pa.array(np.append(found[term], [docs, total]), pa.int64())], names)
