@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.llm import chat, decontaminate, inner_product, line_dedup, near_dedup, packing, prefix_trie, repeats, token_output, toxicity, warc
+from daybreak.llm import chat, decontaminate, inner_product, line_dedup, near_dedup, packing, prefix_trie, repeats, token_output, toxicity, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op5_exact_topk": inner_product.OP5_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op10_near_dedup": near_dedup.OP10_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op5_exact_topk": inner_product.OP5_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op10_near_dedup": near_dedup.OP10_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
