@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybreak.llm import chat, decontaminate, inner_product, line_dedup, near_dedup, packing, prefix_trie, repeats, token_output, toxicity, vector_codes, warc
+from daybreak.llm import chat, decontaminate, disclosure, inner_product, line_dedup, near_dedup, packing, prefix_trie, repeats, token_output, toxicity, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_disclosure": disclosure.op12_disclosure,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
