@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybreak.session import ship as ship_package, table  # noqa: F401
-
-_counter = itertools.count()
-
+from daybreak.tables import remove, scratch, shared_root, stored  # noqa: F401
 
 #: Bytes of a batch that goes to a Python worker, so that long texts don't make large ones.
 BATCH_BYTES = 8 << 20
@@ -30,40 +23,6 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir; a temporary one only where it is unset on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_daybreak_root", None)
-    if root is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="daybreak-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.sparkContext._daybreak_root = root = f"file://{root}"
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{next(_counter)}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written to the shared folder and read back, which cuts its lineage."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)  # what a writer or reader holds is bounded
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._daybreak_path = path
-    return out
-
-
-def remove(*frames: DataFrame) -> None:
-    """Deletes the files of stored frames that no later plan reads."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(df._daybreak_path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fresh(prefix: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, in any case of its letters."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -140,6 +99,11 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def place_keys(n: int) -> np.ndarray:
+    """A multiplier for each place of a word: unrelated ones, as powers of one number give words like abba... and baab... the same sum modulo 2^64."""
+    return odd_multipliers(max(n, 1), 41)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each document in order, and the number of words of each document.
 
@@ -162,7 +126,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold
     at = np.flatnonzero(first[inside])
     lengths = np.diff(np.append(at, len(letters)))
     place = np.arange(len(letters)) - np.repeat(at, lengths)
-    letters *= powers(int(lengths.max()))[place]
+    letters *= place_keys(int(lengths.max()))[place]
     hashes = mix64(np.add.reduceat(letters, at) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     counts = np.diff(np.searchsorted(starts, offsets, side="left"))
     return hashes, counts

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from daybreak.llm.common import mix64, powers, table_of
+from daybreak.llm.common import mix64, place_keys, table_of
 
 #: Bytes of words and ids that a worker keeps for its next batches; then it begins anew.
 CACHE_BYTES = 64 << 20
@@ -191,7 +191,7 @@ def _names(pieces: pa.Array) -> np.ndarray:
     if len(some):
         begins = (offsets - offsets[0])[some]
         place = np.arange(len(flat)) - np.repeat(begins, sizes[some])
-        sums = np.add.reduceat((flat + np.uint64(1)) * powers(int(sizes.max()))[place], begins)
+        sums = np.add.reduceat((flat + np.uint64(1)) * place_keys(int(sizes.max()))[place], begins)
         out[some] = mix64(sums + sizes[some].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return out
 
