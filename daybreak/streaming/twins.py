@@ -1,4 +1,7 @@
-"""Streaming twins of the stateful operators: a change ledger and a cooldown over file streams."""
+"""Streaming twins of the stateful operators: a change ledger and a cooldown with keyed state that expires.
+
+State lies in RocksDB, by key: a micro-batch reads and writes the keys it has rows or timers for, and nothing else.
+"""
 
 from __future__ import annotations
 
@@ -7,54 +10,134 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from daybreak.operators.dedupe import ledger_diff, ledger_state
+from daybreak.session import ship
 
 LEDGER = "source string, identity string, fingerprint string, pos long, id string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _prepared(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+class Ledger(StatefulProcessor):
+    """The last fingerprint of each (source, identity); the first row of a micro-batch that differs from it goes on."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "fingerprint string", ttlDurationMs=self.keep_ms)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:  # only the first row in order is held
+            best = frame.loc[[frame["pos"].idxmin()]]
+            first = best if first is None or best["pos"].iloc[0] < first["pos"].iloc[0] else first
+        if first is None:
+            return
+        new, known = first["fingerprint"].iloc[0], self.last.get() if self.last.exists() else None
+        self.last.update((new,))  # also renews the time it is kept
+        if known is None or known[0] != new:
+            yield first
 
-def run_ledger(stream: DataFrame, table_path: str, checkpoint: str) -> None:
-    """Appends each micro-batch's changes to the ledger at table_path, one folder a batch.
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.last.update((initialState["fingerprint"].iloc[0],))
 
-    A repeated batch overwrites its own folder and reads only the folders before it, so it is idempotent.
+
+def ledger(stream: DataFrame, *, keep_ms: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The rows (source, identity, fingerprint, pos, id) of a stream that change the ledger.
+
+    keep_ms: how long a key that isn't seen any more is remembered, for ever by default. known: (source, identity, fingerprint) of
+    a ledger that the stream carries on, one row a key; it is read when the stream first starts.
     """
-    spark = stream.sparkSession
+    _prepared(stream.sparkSession)
+    columns = [c.split()[0] for c in LEDGER.split(", ")]
+    initial = known.groupBy("source", "identity") if known is not None else None
+    return stream.select(*columns).groupBy("source", "identity").transformWithStateInPandas(Ledger(keep_ms), LEDGER, "append", "ProcessingTime" if keep_ms else "None", initialState=initial)
 
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        schema = f"{LEDGER}, seq long, batch long"
-        done = spark.createDataFrame([], schema)
-        if batch_id and _exists(spark, table_path):
-            done = spark.read.schema(schema).parquet(table_path).where(F.col("batch") < batch_id)
-        out = ledger_diff(batch, ledger_state(done)).withColumn("seq", F.lit(batch_id).cast("long"))
-        out.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_ledger(stream: DataFrame, table_path: str, checkpoint: str, *, keep_ms: int | None = None, known: DataFrame | None = None) -> None:
+    """Appends what the available rows change to the ledger at table_path; Spark's file sink counts each micro-batch once."""
+    spark = stream.sparkSession
+    changes = ledger(stream, keep_ms=keep_ms, known=known)
+    empty = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    if keep_ms:  # else empty batches follow one another without end, as time goes on
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        _append(changes, table_path, checkpoint)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", empty)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def _append(changes: DataFrame, table_path: str, checkpoint: str) -> None:
+    changes.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def cooldown(stream: DataFrame, minutes: int) -> DataFrame:
-    """(event_type, user_id, event_id) of delivered rows; the state of a key is the last second of its cooldown.
+class Cooldown(StatefulProcessor):
+    """Rows wait until the watermark has passed them and are then taken in event order, so late ones change nothing.
 
-    Rows of a micro-batch are taken in event order; the last second of a cooldown still suppresses.
+    The state of a key is the last second of its cooldown and the rows that wait. A timer drops it when the watermark has passed that
+    second and no row waits: whatever comes then is later and is delivered without it.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["sec", "event_id"])
-        sent = []
-        for sec, event in zip(rows["sec"], rows["event_id"]):
+    def __init__(self, minutes: int, names: list[str]):
+        self.minutes, self.names = minutes, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until long")
+        self.waiting = handle.getListState("waiting", "sec long, event_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["sec"].tolist(), frame["event_id"].tolist())))
+            earliest = min(int(frame["sec"].min()), earliest if earliest is not None else int(frame["sec"].min()))
+        if earliest is not None:
+            self.handle.registerTimer(1000 * earliest)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        until = self.until.get()[0] if self.until.exists() else None
+        before, sent = until, []
+        due = [x for x in waiting if x[0] <= passed]
+        for sec, event in due:
             if until is None or sec > until:
-                until = int(sec) + 60 * minutes
+                until = sec + 60 * self.minutes
                 sent.append(event)
-        state.update((until,))
-        yield pd.DataFrame({"event_type": [key[0]] * len(sent), "user_id": [key[1]] * len(sent), "event_id": sent}).astype({"event_type": "object", "user_id": "int64", "event_id": "int64"})
-
-    return stream.groupBy("event_type", "user_id").applyInPandasWithState(step, "event_type string, user_id long, event_id long", "until long", "append", GroupStateTimeout.NoTimeout)
+        later = waiting[len(due) :]
+        if due:
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        if later:
+            self.handle.registerTimer(1000 * later[0][0])
+        if until is not None and until <= passed and not later:
+            self.until.clear()
+        elif until is not None:
+            if until != before:
+                self.until.update((until,))
+            self.handle.registerTimer(1000 * until)
+        if sent:
+            yield pd.DataFrame({**{n: [k] * len(sent) for n, k in zip(self.names, key)}, "event_id": sent})
+
+
+def cooldown(stream: DataFrame, minutes: int, *, delay: str = "0 seconds", keys: tuple[str, ...] = ("event_type", "user_id")) -> DataFrame:
+    """(keys, event_id) of delivered rows of a stream (keys, sec, event_id): each is its key's first after the cooldown of the one delivered before, whose last second still suppresses.
+
+    A row is decided when the watermark, the latest second seen less `delay`, has passed it; rows that come even later are dropped.
+    """
+    _prepared(stream.sparkSession)
+    types = dict(stream.dtypes)
+    rows = stream.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", delay)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "event_id long"])
+    return rows.groupBy(*keys).transformWithStateInPandas(Cooldown(minutes, list(keys)), schema, "append", "EventTime")
 
 
 def late_counts(stream: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
