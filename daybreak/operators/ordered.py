@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybreak.tables import stored
+from daybreak.tables import remove, stored
 
 
 def laid_out(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -60,3 +60,27 @@ def places(rows: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     """The rows with their place in their group's order, from 0."""
     counted = running(laid_out(rows, keys, order), keys, {name: F.lit(1).cast("long")})
     return counted.withColumn(name, F.col(name) - 1).drop("part", "seat")
+
+
+def chains(starts: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, b, j): every place b of a group that jumps (keys, b, next) lead to from its starts (keys, b), and after how many of them.
+
+    jumps is a stored table, which goes. A round reaches four times as many jumps as the one before; it ends when no jump of its length is left.
+    """
+    same = {k: k for k in keys}
+    reached, reach = starts.withColumn("j", F.lit(0).cast("long")), 1
+    while not jumps.isEmpty():
+        twice = _jumped(jumps, jumps, same)
+        for step, table in ((reach, jumps), (2 * reach, twice)):
+            further = joined(reached, table, same | {"b": "b"}).select(*keys, F.col("next").alias("b"), (F.col("j") + step).alias("j"))
+            reached = reached.unionByName(further)
+        reached = stored(reached, "reached")
+        longer = stored(_jumped(twice, twice, same), "jumps")
+        remove(jumps)
+        jumps, reach = longer, 4 * reach
+    return reached
+
+
+def _jumped(first: DataFrame, second: DataFrame, same: Mapping[str, str]) -> DataFrame:
+    to = second.select(*same, F.col("b").alias("at"), F.col("next").alias("over"))
+    return joined(first, to, same | {"next": "at"}).select(*same, "b", F.col("over").alias("next"))

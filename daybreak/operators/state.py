@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybreak.functions.times import natural_key
-from daybreak.operators.scan import ordered_scan
+from daybreak.operators.ordered import chains, laid_out, next_value, running
+from daybreak.tables import stored
 
 
 def after_cursor(items: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -34,23 +33,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_where_null: tuple[
 
 
 def greedy_cooldown(rows: DataFrame, keys: list[str], at: str, event_id: str, minutes: int) -> DataFrame:
-    """Delivered rows: each is the first of its key after the cooldown of the one delivered before, whose last second still suppresses."""
-    place = len(keys)
-
-    def start(_: tuple) -> Callable[[tuple], bool]:
-        until: int | None = None
-
-        def step(row: tuple) -> bool:
-            nonlocal until
-            sent = until is None or row[place] > until
-            if sent:
-                until = row[place] + 60 * minutes
-            return sent
-
-        return step
-
-    found = ordered_scan(rows.select(*keys, at, event_id), keys, [at, event_id], "delivered boolean", start)
-    return found.where("delivered").select(*keys, event_id)
+    """Delivered rows: each is the first of its key after the cooldown of the one delivered before, whose last second still suppresses.
+
+    A row that no earlier one's cooldown reaches is delivered whatever came before; in one order of rows and ends of
+    cooldowns it is one at which all cooldowns begun have ended. From those rows jumps lead on, each to the
+    row that would follow a delivery, until it is such a row again.
+    """
+    place = F.struct(F.col(at).alias("at"), F.col(event_id).alias("id"))
+    given = rows.select(*keys, F.col(at).alias("v"), place.alias("row"))
+    none = F.lit(None).cast(given.schema["row"].dataType)
+    begins = given.select(*keys, "v", F.lit(1).cast("long").alias("step"), none.alias("b"), "row")
+    ends = given.select(*keys, (F.col("v") + 60 * minutes).alias("v"), F.lit(-1).cast("long").alias("step"), F.col("row").alias("b"), none.alias("row"))
+    laid = laid_out(begins.unionByName(ends).withColumn("last", F.col("step") < 0), keys, ["v", "last", "row", "b"])
+    opened = stored(running(laid, keys, {"open": F.col("step")}).withColumn("begin", F.when(F.col("row").isNotNull(), F.struct("row", (F.col("open") == 1).alias("free")))), "cooldowns")
+    jumps = next_value(opened, keys, "begin", "to").where("b is not null and not to.free").select(*keys, "b", F.col("to.row").alias("next"))
+    starts = opened.where("begin.free").select(*keys, F.col("row").alias("b"))
+    return chains(starts, stored(jumps, "jumps"), keys).select(*keys, "b").distinct().select(*keys, F.col("b.id").alias(event_id))
 
 
 APPROVAL = {("pending", "approve"): "approved", ("pending", "reject"): "rejected", ("approved", "complete"): "executed", ("approved", "fail"): "failed"}
