@@ -1,10 +1,11 @@
-"""One lazy plan per run: collect, drop what was seen or is suppressed, diff against the ledger, score, rank; state is committed after the output."""
+"""Runs: collect, drop what was seen or is suppressed, diff against the ledger, score, rank, brief; state, ledger and archive are committed as one after the output."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Mapping
 from functools import reduce
-from typing import NamedTuple
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,11 @@ from daybreak.operators.score import scored, top_per_section
 from daybreak.operators.state import after_cursor, health
 from daybreak.profiles import PRESETS, profile
 from daybreak.sources.exports import jsonl
-from daybreak.store import Store, write_snapshot
+from daybreak.render import briefing
+from daybreak.store import ARCHIVE, Appended, Snapshot, Store
+from daybreak.store import LEDGER as LEDGER_TABLE
+from daybreak.summary import summarise, with_notice
+from daybreak.tables import remove, stored
 
 ITEM = "id string, source string, kind string, title string, body string, url string, tier string, saved boolean, unresolved boolean, future boolean, pos long"
 #: Columns that a connector may give besides: the record's id at its provider and when it changed.
@@ -25,6 +30,18 @@ LEDGER = f"{ITEM}, {OPTIONAL}, identity string, fingerprint string, retrieved_at
 Supplier = Callable[[], DataFrame]
 
 
+class Connector(Protocol):
+    """A source: what `collect` in it returns has the columns of ITEM, and may have those of OPTIONAL."""
+
+    def __call__(self) -> DataFrame: ...
+
+
+class Delivery(Protocol):
+    """Takes the rows of a run; an error means that nothing was delivered."""
+
+    def __call__(self, rows: list[dict]) -> None: ...
+
+
 def collect(preset: str, suppliers: dict[str, Supplier], spark: SparkSession) -> DataFrame:
     """The preset's connectors in its order; connectors without a supplier are left out, an unknown preset is empty."""
     frames = [suppliers[name]().withColumn("preset_pos", F.lit(k)) for k, name in enumerate(PRESETS.get(preset, ())) if name in suppliers]
@@ -32,13 +49,13 @@ def collect(preset: str, suppliers: dict[str, Supplier], spark: SparkSession) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty)
 
 
-def unseen(items: DataFrame, store: Store, event: str, now: str) -> DataFrame:
+def unseen(items: DataFrame, store: Store, event: str, now: str, at: Snapshot | None = None) -> DataFrame:
     """Items beyond their source's cursor whose (source, id) isn't suppressed for the event type."""
-    cursors = store.read("connector_cursors").select(F.col("connector_id").alias("source"), "cursor", sort_seconds(F.col("last_success_at")).alias("last_success"))
+    cursors = store.read("connector_cursors", at).select(F.col("connector_id").alias("source"), "cursor", sort_seconds(F.col("last_success_at")).alias("last_success"))
     newer = after_cursor(items.withColumn("changed", F.col("changed_at")).withColumn("changed_at", sort_seconds(F.col("changed_at"))), cursors)
     newer = newer.withColumn("changed_at", F.col("changed")).drop("changed", "cursor", "last_success")
     live = (F.col("trigger_family") == event) & (F.col("dismissal_status") == "active") & ~F.coalesce("superseded_by_higher_authority", F.lit(False))
-    history = store.read("suppression_history").where(live & (F.col("cooldown_expires_at").isNull() | (F.try_to_timestamp("cooldown_expires_at") >= F.try_to_timestamp(F.lit(now)))))
+    history = store.read("suppression_history", at).where(live & (F.col("cooldown_expires_at").isNull() | (F.try_to_timestamp("cooldown_expires_at") >= F.try_to_timestamp(F.lit(now)))))
     return newer.withColumn("subject", subject_key(F.col("source"), F.col("id"))).join(history.select("subject").distinct(), "subject", "left_anti").drop("subject")
 
 
@@ -46,13 +63,9 @@ def named(items: DataFrame) -> DataFrame:
     return items.withColumns({"identity": identity(F.col("url"), F.lit(None).cast("string"), F.col("id")), "fingerprint": fingerprint(F.col("id"), F.col("title"), F.col("body"), F.col("url"), F.col("changed_at"))})
 
 
-def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of all earlier runs; what can't be parsed is skipped. An absent folder is empty."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], LEDGER)
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
-    return lines.select(F.from_json("value", LEDGER).alias("v")).select("v.*").where("id is not null and fingerprint is not null")
+def read_ledger(store: Store, at: Snapshot | None = None) -> DataFrame:
+    """The ledger's lines of all earlier runs; what can't be parsed is skipped."""
+    return store.read(LEDGER_TABLE, at).select(F.from_json("value", LEDGER).alias("v")).select("v.*").where("id is not null and fingerprint is not null")
 
 
 def changes(items: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -61,31 +74,29 @@ def changes(items: DataFrame, ledger: DataFrame) -> DataFrame:
     return ledger_diff(items.withColumn("order", F.struct("preset_pos", "pos")).drop("pos").withColumnRenamed("order", "pos"), state).withColumn("pos", F.col("pos.pos"))
 
 
-class Plan(NamedTuple):
-    items: DataFrame
-    rows: DataFrame
+def fresh_items(name: str, suppliers: dict[str, Supplier], store: Store, now: str, keep_ledger: bool = False, at: Snapshot | None = None) -> DataFrame:
+    """The items that a run of a profile or command may deliver."""
+    chosen = profile(name)
+    found = named(unseen(collect(chosen.preset, suppliers, store.spark), store, chosen.event, now, at))
+    return changes(found, read_ledger(store, at)) if keep_ledger else found
 
 
-def planned(name: str, suppliers: dict[str, Supplier], store: Store, now: str, ledger_folder: str | None = None) -> Plan:
-    """The items a run may deliver, and its (section, place, id, source, score, title, url, reasons)."""
-    chosen = profile(name)
-    fresh = named(unseen(collect(chosen.preset, suppliers, store.spark), store, chosen.event, now))
-    if ledger_folder is not None:
-        fresh = changes(fresh, read_ledger(store.spark, ledger_folder))
-    return Plan(fresh, top_per_section(scored(fresh)).select("section", "place", "id", "source", "score", "title", "url", F.array_join("reasons", ", ").alias("reasons")))
+def ranked(items: DataFrame) -> DataFrame:
+    """(section, place, id, source, score, title, url, reasons) of what is delivered of them."""
+    return top_per_section(scored(items)).select("section", "place", "id", "source", "score", "title", "url", F.array_join("reasons", ", ").alias("reasons"))
 
 
-def plan(profile_id: str, suppliers: dict[str, Supplier], store: Store, now: str, ledger_folder: str | None = None) -> DataFrame:
+def plan(profile_id: str, suppliers: dict[str, Supplier], store: Store, now: str, keep_ledger: bool = False) -> DataFrame:
     """The rows of a run."""
-    return planned(profile_id, suppliers, store, now, ledger_folder).rows
+    return ranked(fresh_items(profile_id, suppliers, store, now, keep_ledger))
 
 
-def cursors_after(items: DataFrame, store: Store, now: str, errors: dict[str, str] | None = None) -> DataFrame:
+def cursors_after(items: DataFrame, store: Store, now: str, errors: dict[str, str] | None = None, at: Snapshot | None = None) -> DataFrame:
     """Cursor rows after a run: each source's largest raw id in natural order; a source with an error keeps what it had."""
     best = items.where("raw_id is not null").groupBy(F.col("source").alias("connector_id")).agg(F.max_by("raw_id", natural_key(F.col("raw_id"))).alias("cursor"))
     seen = best.select("connector_id", "cursor", F.lit(True).alias("succeeded"), F.lit(None).cast("string").alias("error"))
     failed = store.spark.createDataFrame([(k, None, False, v) for k, v in (errors or {}).items()], "connector_id string, cursor string, succeeded boolean, error string")
-    old = store.read("connector_cursors")
+    old = store.read("connector_cursors", at)
     larger = seen.join(old.select("connector_id", F.col("cursor").alias("before")), "connector_id", "left")
     kept = F.when(F.col("before").isNotNull() & (natural_key(F.col("before")) > natural_key(F.col("cursor"))), F.col("before")).otherwise(F.col("cursor"))
     return health(old, larger.withColumn("cursor", kept).drop("before").unionByName(failed), now)
@@ -104,58 +115,93 @@ def run(
     suppliers: dict[str, Supplier],
     store: Store,
     now: str | None = None,
-    deliver: Callable[[list], None] = lambda rows: None,
+    deliver: Delivery = lambda rows: None,
     cooldown_minutes: int | None = None,
     *,
-    ledger_folder: str | None = None,
-    archive_folder: str | None = None,
+    brief: Callable[[str], None] | None = None,
+    summarizer: Callable[[str], str] | None = None,
+    keep_ledger: bool = False,
+    archive: bool = False,
     label: str | None = None,
     errors: dict[str, str] | None = None,
     told: Callable[[str], None] = lambda reason: None,
 ) -> str:
-    """Delivers the run of a profile or command and then commits its state together; returns the run's status.
+    """Delivers the run of a profile or command and then commits all its state as one; returns the run's status.
 
-    started, then completed, failed (nothing was delivered) or delivery_state_error (delivered, but the state wasn't written);
-    `told` gets the reason of a failure. Delivered rows rest for the cooldown under their event type, cursors move on, and what is new goes to
-    the ledger and, as a snapshot, to the archive.
+    The run is recorded as started first, so one that dies leaves a trace, and then becomes completed, failed (nothing was delivered) or
+    delivery_state_error (delivered, but the state wasn't written); `told` gets the reason of a failure. Items are
+    collected once, into the shared folder; what is delivered, archived, put into the ledger and used for cursors is the same. `deliver` gets
+    the rows, `brief` the text of the briefing with the notices of failed sources; with a summarizer the text has a summary of each category instead of
+    the profile's own form. Delivered rows rest for the cooldown under their event type.
     """
     chosen, now = profile(name), default_occurrence(now)
     base = {"event_type": chosen.event, "profile_id": chosen.id, "occurred_at": now, "output_mode": chosen.mode, "created_at": now}
+    base["run_id"] = hashlib.sha256("\x1f".join(base.values()).encode()).hexdigest()
+
+    def ended(status: str, reason: Exception | None = None) -> str:
+        if reason is not None:
+            told(f"{type(reason).__name__}: {reason}")
+        store.transact(lambda at: {"trigger_runs": _with_status(store, at, base, status)})
+        return status
+
+    ended("started")
+    items = None
     try:
-        made = planned(name, suppliers, store, now, ledger_folder)
-        rows = [r.asDict() for r in made.rows.orderBy("section", "place").collect()]  # three rows a section
+        items = stored(fresh_items(name, suppliers, store, now, keep_ledger), "items")
+        rows = [r.asDict() for r in ranked(items).orderBy("section", "place").collect()]  # three rows a section
         deliver(rows)
+        if brief is not None:
+            brief(_text(chosen.mode, items, rows, summarizer, errors or {}))
     except Exception as failure:
-        told(f"{type(failure).__name__}: {failure}")
-        store.commit({"trigger_runs": store.record("trigger_runs", [base | {"status": "failed"}])})
-        return "failed"
+        return ended("failed", failure)
     try:
-        _commit(chosen, made, rows, base, store, now, cooldown_minutes, ledger_folder, archive_folder and f"{archive_folder.rstrip('/')}/{archive_label(label, now)}", errors)
+        snapshot = f"{ARCHIVE}{archive_label(label, now)}" if archive else None
+        store.transact(lambda at: _outcome(chosen, items, rows, base, store, at, now, cooldown_minutes, keep_ledger, snapshot, errors))
     except Exception as failure:
-        told(f"{type(failure).__name__}: {failure}")
-        store.commit({"trigger_runs": store.record("trigger_runs", [base | {"status": "delivery_state_error"}])})
-        return "delivery_state_error"
+        return ended("delivery_state_error", failure)
+    finally:
+        remove(items)
     return "completed"
 
 
-def _commit(chosen, made: Plan, rows: list[dict], base: dict, store: Store, now: str, cooldown_minutes: int | None, ledger_folder: str | None, archive: str | None, errors: dict[str, str] | None) -> None:
-    minutes = chosen.cooldown_minutes if cooldown_minutes is None else cooldown_minutes
+def _text(mode: str, items: DataFrame, rows: list[Mapping], summarizer: Callable[[str], str] | None, errors: Mapping[str, str]) -> str:
+    if summarizer is not None:
+        parts = summarise(items, summarizer)
+        text = "\n\n".join(f"## {category}\n{made}" for category, made in parts.items())
+    else:
+        asked = approvals(items).first() if mode == "action_prep" else None
+        text = briefing(mode, rows, asked.subject if asked else None)
+    return with_notice(text, errors)
+
+
+def _with_status(store: Store, at: Snapshot, base: dict, status: str) -> DataFrame:
+    """The runs with this one's row at a status."""
+    others = store.read("trigger_runs", at).where(F.col("run_id") != base["run_id"])
+    fields = others.columns
+    return others.unionByName(store.spark.createDataFrame([tuple((base | {"status": status})[f] for f in fields)], others.schema))
+
+
+def _outcome(chosen, items: DataFrame, rows: list[dict], base: dict, store: Store, at: Snapshot, now: str, cooldown_minutes: int | None, keep_ledger: bool, archive: str | None, errors: dict[str, str] | None) -> dict[str, DataFrame | Appended]:
+    """Every table that a delivered run changes, built on a snapshot."""
+    minutes, run_id = chosen.cooldown_minutes if cooldown_minutes is None else cooldown_minutes, base["run_id"]
     keys = F.struct(F.date_format(F.try_to_timestamp(F.lit(now)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expiry"))
     expiry = store.spark.range(1).select(keys.alias("k")).first().k.expiry
-    tables = {"trigger_runs": store.record("trigger_runs", [base | {"status": "completed"}]), "deliveries": store.record("deliveries", [{"destination": chosen.mode, "delivered_at": now, "status": "delivered"}])}
+    tables: dict[str, DataFrame | Appended] = {"trigger_runs": _with_status(store, at, base, "completed")}
+    tables["deliveries"] = store.record("deliveries", [{"run_id": run_id, "destination": chosen.mode, "delivered_at": now, "status": "delivered"}], at)
     if rows:
         frame = store.spark.createDataFrame([(r["source"], r["id"]) for r in rows], "source string, id string")
         subjects = [r.subject for r in frame.select(subject_key(F.col("source"), F.col("id")).alias("subject")).distinct().collect()]  # of delivered rows
-        tables["suppression_history"] = store.record("suppression_history", [{"subject": s, "trigger_family": chosen.event, "reason": "already_delivered_in_same_trigger_family", "cooldown_expires_at": expiry, "dismissal_status": "active", "superseded_by_higher_authority": False} for s in subjects])
+        rest = {"run_id": run_id, "trigger_family": chosen.event, "reason": "already_delivered_in_same_trigger_family", "cooldown_expires_at": expiry, "dismissal_status": "active", "superseded_by_higher_authority": False}
+        tables["suppression_history"] = store.record("suppression_history", [rest | {"subject": s} for s in subjects], at)
     if chosen.mode == "action_prep":
-        asked = [r.asDict() for r in approvals(made.items).collect()]  # one row
-        tables["approval_action_log"] = store.record("approval_action_log", [r | {"approval_boundary_reached": True, "user_decision": "pending", "execution_result": "not_executed", "recorded_at": now} for r in asked])
-    tables["connector_cursors"] = cursors_after(made.items, store, now, errors)
+        asked = [r.asDict() for r in approvals(items).collect()]  # one row
+        log = {"run_id": run_id, "approval_boundary_reached": True, "user_decision": "pending", "execution_result": "not_executed", "recorded_at": now}
+        tables["approval_action_log"] = store.record("approval_action_log", [r | log for r in asked], at)
+    tables["connector_cursors"] = cursors_after(items, store, now, errors, at)
     if archive is not None:
-        write_snapshot(made.items, archive)
-    if ledger_folder is not None:
-        lines = made.items.withColumn("retrieved_at", F.lit(now)).select("source", jsonl(F.struct(*(f.split()[0] for f in LEDGER.split(", ")))).alias("value"))
-        first = lines.withColumnRenamed("source", "of").withColumn("of", F.coalesce("of", F.lit("none")))
-        first.write.mode("append").partitionBy("of").text(ledger_folder)
-    store.commit(tables)
-
+        tables[archive] = items
+    if keep_ledger:
+        new = changes(items, read_ledger(store, at)).withColumn("retrieved_at", F.lit(now))  # another run may have brought some meanwhile
+        line = jsonl(F.struct(*(f.split()[0] for f in LEDGER.split(", "))))
+        tables[LEDGER_TABLE] = Appended(new.select(line.alias("value"), F.coalesce("source", F.lit("none")).alias("of")))
+    return tables

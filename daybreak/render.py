@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
@@ -35,6 +36,20 @@ def item_line(row: Mapping) -> str:
     return f"- {head}" + (f" — {row['reasons']}" if row.get("reasons") else "")
 
 
+def briefing(mode: str, rows: list[Mapping], subject: str | None = None) -> str:
+    """The text of a run in its profile's form; (section, place, title, url, reasons) rows, and for an action its subject as JSON."""
+    ordered = sorted(rows, key=lambda r: (r["section"] not in OPTIONAL, r["place"]))
+    if mode == "action_prep":
+        wanted = json.loads(subject) if subject else {}
+        values = {k: v for k, v in {"item": wanted.get("buy"), "store": wanted.get("preferred_store"), "link": wanted.get("link")}.items() if v}
+        return action_prep(values) or "Nothing to order."
+    if mode == "nudge":
+        return feed_nudge(*ordered[:2]) if ordered else "Nothing new."
+    if mode == "warning":
+        return "\n".join(["# Warning", *(item_line(r) for r in ordered[:1])]) if ordered else "Nothing to warn of."
+    return digest(rows)
+
+
 def leave_now(row: Mapping | None) -> str | None:
     return None if row is None else f"Leave now for {row['title']}: departure {row['departure']}, starts {row['start']}."
 
@@ -66,8 +81,22 @@ def quality_review(body: str | None) -> str | None:
     return None if body is None else "# Trigger review\n" + "\n".join(f"- {x}" for x in body.split("\n"))
 
 
-def state_summary(rows: Iterable[Mapping]) -> str:
-    return "\n".join(f"- {r['part']} {r['name']}: {r['value']}" for r in rows)
+def state_summary(cursors: list[Mapping], actions: list[Mapping], feedback: list[Mapping]) -> str:
+    """Connectors with their cursors, actions with the details of their execution, and totals of feedback; `- none` where there are none."""
+
+    def details(text: str | None) -> str:
+        try:
+            found = json.loads(text) if text else {}
+        except ValueError:
+            return text
+        return ", ".join(f"{k}={v}" for k, v in sorted(found.items())) or "-" if isinstance(found, dict) else "-"
+
+    parts = {
+        "Connector cursors": [f"{r['connector_id']}: cursor={r['cursor'] or '-'}, last_success_at={r['last_success_at'] or '-'}, last_error={r['last_error'] or '-'}" for r in cursors],
+        "Approval actions": [f"{r['action_id']}: {r['action_kind']} / {r['user_decision']} / {r['execution_result']} / details={details(r['execution_details'])} / recorded_at={r['recorded_at']}" for r in actions],
+        "Feedback signal totals": [f"{r['category']} / {r['subject']} / {r['signal']}: {r['n']}" for r in feedback],
+    }
+    return "# State summary\n\n" + "\n\n".join("\n".join([f"## {title}", *(f"- {x}" for x in lines or ["none"])]) for title, lines in parts.items()) + "\n"
 
 
 def blocks(markdown: str) -> list[dict]:
@@ -92,16 +121,24 @@ def segments(text: str) -> list[dict]:
     return found
 
 
-def extractive_summary(rows: list[Mapping]) -> str:
-    """The stand-in for a language model: titles by category, each with its link."""
-    by: dict[str, list[str]] = {}
-    for r in rows:
-        by.setdefault(r.get("category") or "it", []).append(item_line(r))
-    return "\n\n".join(f"## {k}\n" + "\n".join(v) for k, v in by.items())
+def extractive_summary(asked: str) -> str:
+    """The stand-in for a language model: the item lines of a prompt, or the parts that a prompt asks to merge."""
+    return "\n".join(x for x in asked.split("\n") if x.startswith("- "))
+
+
+FORM = "Write a Markdown list; every line names one item with its link. Keep every link."
+
+
+def prompt(category: str, part: int, parts: int, lines: list[str]) -> str:
+    return f"Summarise part {part} of {parts} of the category {category}. {FORM}\n\n" + "\n".join(lines)
+
+
+def merge_prompt(category: str, texts: list[str]) -> str:
+    return f"Merge these {len(texts)} summaries of the category {category} into one without repeating an item. {FORM}\n\n" + "\n\n".join(texts)
 
 
-def prompt(category: str, chunk_no: int, chunks: int, rows: list[Mapping]) -> str:
-    return f"Summarise part {chunk_no} of {chunks} of the category {category}. Keep every link.\n\n" + "\n".join(item_line(r) for r in rows)
+def repair_prompt(asked: str, made: str, lost: list[str]) -> str:
+    return f"This summary has lost its links; write it again with these links: {' '.join(lost)}\n\nSummary:\n{made}\n\nIt answered:\n{asked}"
 
 
 def with_retries(run: Callable[[], str], delays: tuple[float, ...] = (300, 300), wait: Callable[[float], None] | None = None) -> tuple[str, list[dict]]:

@@ -1,9 +1,10 @@
-"""Prompts and summaries: what of the items a prompt gets, in which parts, and how the parts come together."""
+"""Prompts and summaries: what of the items a prompt gets, in which parts, and how the parts come together, level by level."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from daybreak.functions import category
 from daybreak.functions.text import link_urls, resolved_title, truncate
 from daybreak.operators.cluster import balanced_chunks, greedy_clusters, signature, text_weight, token_estimate
 from daybreak.operators.dedupe import heaviest_wins
-from daybreak.render import extractive_summary, item_line, prompt
+from daybreak.render import extractive_summary, merge_prompt, prompt, repair_prompt
+from daybreak.session import ship
+from daybreak.tables import remove, stored
 
 #: Items that a prompt gets at most.
 MOST_ITEMS = 50
@@ -41,31 +44,67 @@ def prompt_parts(items: DataFrame, size: int = MOST_ITEMS) -> DataFrame:
     return placed.join(balanced_chunks(placed, "category", "place", "tokens", size), ["category", "place"]).select("category", "chunk", "place", "pos", "title", "url", "body")
 
 
-def summarise(items: DataFrame, run: Callable[[str, list[Mapping]], str] | None = None, size: int = MOST_ITEMS) -> dict[str, str]:
-    """A summary of each category: one of each part, put together; a summary that has lost every link of its part is made once more, then replaced by the titles.
+#: Summaries that one prompt merges.
+FAN = 8
+NODE = "category string, node long, urls array<string>, text string, calls int"
 
-    run(prompt, rows) makes a summary; without it titles stand for one. A part's rows are as many as a prompt holds.
+
+def summarise(items: DataFrame, run: Callable[[str], str] = extractive_summary, size: int = MOST_ITEMS, fan: int = FAN) -> dict[str, str]:
+    """A summary of each category, in the order of categories."""
+    rows = summary_tree(items, run, size, fan).collect()  # one row a category
+    made = {r.category: r.text for r in rows}
+    return {c: made[c] for c in category.ORDER if c in made}
+
+
+def summary_tree(items: DataFrame, run: Callable[[str], str] = extractive_summary, size: int = MOST_ITEMS, fan: int = FAN) -> DataFrame:
+    """(category, node, urls, text, calls): one summary of each category, made level by level.
+
+    The lowest level has a node for each part of a category, the next ones merge up to `fan` nodes, until a category has one. A level is
+    one plan whose nodes call `run` in their tasks, and is written before the next one. A node that has lost every
+    link of its own is asked for once more, with the links; if they are still missing, its items' lines or the texts it
+    was to merge stand for it. calls counts the requests below a node, its own included.
     """
-    make = run or (lambda _, rows: extractive_summary(rows))
     parts = prompt_parts(items, size)
-    sizes = {r.category: r.n for r in parts.groupBy("category").agg(F.max("chunk").alias("n")).collect()}  # six categories
-    out = {}
-    for name in (c for c in category.ORDER if c in sizes):
-        texts = []
-        for chunk in range(1, sizes[name] + 1):
-            rows = [r.asDict() for r in parts.where((F.col("category") == name) & (F.col("chunk") == chunk)).orderBy("place").collect()]
-            texts.append(_checked(make, prompt(name, chunk, sizes[name], rows), rows))
-        out[name] = "\n\n".join(texts)
-    return out
-
-
-def _checked(make: Callable[[str, list[Mapping]], str], asked: str, rows: list[Mapping]) -> str:
-    wanted = [r["url"] for r in rows if r.get("url")]
-    for _ in range(2):
-        made = make(asked, rows)
-        if not wanted or any(u in made for u in wanted):
-            return made
-    return "\n".join(item_line(r) for r in rows)
+    line = F.struct("place", F.concat(F.lit("- "), F.when(F.col("url").isNotNull(), F.concat(F.lit("["), F.coalesce("title", F.lit("Untitled")), F.lit("]("), "url", F.lit(")"))).otherwise(F.coalesce("title", F.lit("Untitled")))).alias("line"), "url")
+    leaves = parts.groupBy("category", "chunk").agg(F.array_sort(F.collect_list(line)).alias("rows"))  # as many as a prompt holds
+    counts = parts.groupBy("category").agg(F.max("chunk").alias("parts"))
+    leaves = leaves.join(counts, "category").select("category", (F.col("chunk") - 1).cast("long").alias("node"), "parts", F.col("rows.line").alias("texts"), F.filter("rows.url", lambda u: u.isNotNull()).alias("urls"), F.lit(0).alias("calls"))
+    level = stored(_asked(leaves, run, False), "summaries")
+    while not level.where("node > 0").isEmpty():
+        several = F.struct("node", "text", "urls", "calls")
+        groups = level.groupBy("category", F.floor(F.col("node") / fan).cast("long").alias("up")).agg(F.array_sort(F.collect_list(several)).alias("rows"))
+        merged = groups.select("category", F.col("up").alias("node"), F.size("rows").alias("parts"), F.col("rows.text").alias("texts"), F.array_distinct(F.flatten("rows.urls")).alias("urls"), F.aggregate("rows.calls", F.lit(0), lambda a, x: a + x).alias("calls"))
+        above = stored(_asked(merged, run, True), "summaries")
+        remove(level)
+        level = above
+    return level
+
+
+def _asked(nodes: DataFrame, run: Callable[[str], str], merging: bool) -> DataFrame:
+    """NODE rows of (category, node, parts, texts, urls, calls), a request each at least; a node of one text to merge keeps it."""
+    ship(nodes.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                made, calls = row["texts"][0] if merging else "", row["calls"]
+                if not merging or len(row["texts"]) > 1:
+                    asked = merge_prompt(row["category"], row["texts"]) if merging else prompt(row["category"], row["node"] + 1, row["parts"], row["texts"])
+                    made, again = _checked(run, asked, row["urls"], row["texts"])
+                    calls += 1 + again
+                values = (row["category"], row["node"], row["urls"], made, calls)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int32()))], ["category", "node", "urls", "text", "calls"])
+
+    return nodes.repartition("category", "node").mapInArrow(ask, NODE)
+
+
+def _checked(run: Callable[[str], str], asked: str, wanted: list[str], fallback: list[str]) -> tuple[str, bool]:
+    """What was made, with a link of those wanted if there are any, and whether it was asked for twice."""
+    made = run(asked)
+    if not wanted or any(u in made for u in wanted):
+        return made, False
+    made = run(repair_prompt(asked, made, wanted))
+    return (made if any(u in made for u in wanted) else "\n".join(fallback)), True
 
 
 def missing_links(summaries: DataFrame) -> DataFrame:

@@ -185,15 +185,18 @@ def test_titles_and_subjects(spark):
 def test_summaries_keep_links(spark):
     rows = [(k, "s", "feed_item", f"OpenAI model {k}", "about gpt", f"https://a.example/{k}") for k in range(5)] + [(9, "s", "feed_item", "BMW", "a car", "https://b.example/9")]
     items = spark.createDataFrame(rows, "pos long, source string, kind string, title string, body string, url string")
-    asked = []
 
-    def run(prompt, rows):
-        asked.append(prompt)
-        return "no link" if "category car" in prompt else " ".join(r["url"] for r in rows)
+    def run(prompt):
+        if "category car" in prompt:
+            return "no link"
+        return "\n".join(x for x in prompt.split("\n") if x.startswith("- "))
 
     out = summary.summarise(items, run, size=3)
     assert list(out) == ["ai", "car"] and "[BMW](https://b.example/9)" in out["car"] and all(f"https://a.example/{k}" in out["ai"] for k in range(5))
-    assert len(asked) == 4
+    calls = {r.category: r.calls for r in summary.summary_tree(items, run, size=3).collect()}
+    assert calls == {"ai": 3, "car": 2}  # two parts and a merge; one part, asked for twice
+    deep = summary.summary_tree(items, run, size=1, fan=2).collect()
+    assert {r.category: r.calls for r in deep} == {"ai": 5 + 2 + 1 + 1, "car": 2} and all(f"https://a.example/{k}" in deep[0].text + deep[1].text for k in range(5))
     texts = spark.createDataFrame([(1, "[x](https://a.example/1)", ["https://a.example/1"]), (2, "x", ["https://a.example/1"]), (3, "x", [])], "id int, text string, expected array<string>")
     assert [r.id for r in summary.missing_links(texts).collect()] == [2]
     assert summary.with_notice("d", {"b": "2", "a": "1"}, True).startswith("> Some sources failed:\n- a: 1\n- b: 2\n")
@@ -205,7 +208,7 @@ def test_a_run_keeps_ledger_cursors_and_archive(spark, tmp_path):
     first = [("i1", "feed", "feed_item", "One", "b", "https://a.example/1", "primary", False, False, False, 1, "9", "2024-01-01T00:00:00Z")]
     second = [*first, ("i2", "feed", "feed_item", "Two", "b", "https://a.example/2", "primary", False, False, False, 2, "10", "2024-01-01T00:00:00Z")]
     third = [*second[:1], (*second[1][:3], "Two, changed", *second[1][4:12], "2024-01-05T00:00:00Z")]
-    more = {"ledger_folder": f"file://{tmp_path}/ledger", "archive_folder": f"file://{tmp_path}/archive", "cooldown_minutes": 0, "told": told.append}
+    more = {"keep_ledger": True, "archive": True, "cooldown_minutes": 0, "told": told.append}
     for day, rows, want in ((2, first, ["i1"]), (3, second, ["i2"]), (4, second, []), (6, third, ["i2"])):
         given = {"feed_registry": lambda rows=rows: spark.createDataFrame(rows, schema)}
         status = engine.run("feed-update", given, state, f"2024-01-0{day}T12:00:00Z", sent.append, errors={"other": "boom"}, **more)
@@ -213,8 +216,8 @@ def test_a_run_keeps_ledger_cursors_and_archive(spark, tmp_path):
         assert [r["id"] for r in sent[-1]] == want
     cursors = {r.connector_id: r for r in state.read("connector_cursors").collect()}
     assert cursors["feed"].cursor == "10" and cursors["other"].last_error == "boom" and cursors["other"].last_success_at is None
-    assert engine.read_ledger(spark, more["ledger_folder"]).count() == 3
-    assert spark.read.json(f"file://{tmp_path}/archive/2024-01-02").count() == 1
+    assert engine.read_ledger(state).count() == 3
+    assert state.read("archive/2024-01-02").count() == 1
     assert engine.run("feed-update", given, state, "2024-01-07T00:00:00Z", lambda rows: 1 / 0, **more) == "failed" and "ZeroDivisionError" in told[0]
 
 
