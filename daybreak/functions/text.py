@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"[ \t\n\r\f\x0B]+"
+#: Runs of every character that Unicode counts as white space, with the four separators of ASCII.
+BLANKS = r"[\s\v\pZ\x1c-\x1f\x85]+"
+#: A reference to a character: by number, or by a name whose semicolon may be missing.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def collapse(text: Column) -> Column:
@@ -19,12 +26,58 @@ def truncate(text: Column, most: int = 160) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+@cache
+def _names() -> tuple[str, str, int]:
+    """The names of HTML 5 and what they stand for, as JSON: all of them, and those that need no semicolon with the longest one's length."""
+    bare = {k: v for k, v in html5.items() if not k.endswith(";")}
+    return json.dumps(html5), json.dumps(bare), max(map(len, bare))
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference: those of Windows in place of C1 controls, none for other controls and noncharacters, U+FFFD outside of Unicode."""
+    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    place = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    control = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    outside = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    in_windows = F.element_at(F.array(*(F.lit(c) for c in windows.values())), (number - 0x7F).cast("int"))
+    return F.when(outside, "\ufffd").when(number.between(0x80, 0x9F), in_windows).when(control, "").otherwise(place)
+
+
+def _resolved(reference: Column) -> Column:
+    """What a reference stands for; one without a meaning stays, but for the name it may begin with."""
+    every, bare, longest = _names()
+    all_names, bare_names = (F.from_json(F.lit(x), "map<string,string>") for x in (every, bare))
+    name = F.substring(reference, 2, 64)
+    hexadecimal = F.lower(F.substring(reference, 3, 1)) == "x"
+    digits = F.regexp_replace(F.when(hexadecimal, F.substring(reference, 4, 1 << 20)).otherwise(F.substring(reference, 3, 1 << 20)), "^0+|;$", "")
+    number = F.when(F.length(digits) > 7, None).when(digits == "", 0).when(hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(F.try_to_number(digits, F.lit("9999999")).cast("long"))
+    begins = [F.when(F.length(name) > n, F.concat(F.try_element_at(bare_names, F.substring(name, 1, n)), F.substring(name, n + 1, 64))) for n in range(longest, 1, -1)]
+    return F.when(name.startswith("#"), _character(number)).otherwise(F.coalesce(F.try_element_at(all_names, name), *begins, reference))
+
+
+#: References that nearly all texts get along with; the ampersand's is replaced last, so what it leaves isn't resolved again.
+COMMON = ("lt", "gt", "quot", "#39", "apos", "nbsp", "copy", "reg", "middot", "mdash", "ndash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "amp")
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric character references resolved once, as HTML 5 has them."""
+    plain = text
+    for name in COMMON:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(chr(39) if name == "#39" else html5[f"{name};"]))
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 0), _resolved)
+    rests = F.split(text, REFERENCE)
+    whole = F.array_join(F.zip_with(rests, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.rlike(f"&(?!(?:{'|'.join(COMMON)});)"), whole).otherwise(plain)
+
+
 def strip_tags(html: Column) -> Column:
-    """Tags to spaces, the five basic entities resolved, white space collapsed."""
-    plain = F.regexp_replace(html, r"<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return collapse(plain)
+    """Tags to spaces, character references resolved, white space collapsed."""
+    return collapse(unescape(F.regexp_replace(html, r"<[^>]+>", " ")))
+
+
+def single_line(text: Column) -> Column:
+    """Text without tags in one line; null where nothing is left."""
+    return F.nullif(strip_tags(text), F.lit(""))
 
 
 def first_line(text: Column) -> Column:
@@ -32,7 +85,7 @@ def first_line(text: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return F.nullif(strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return single_line(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def slug_title(url: Column) -> Column:
@@ -79,8 +132,8 @@ def reset_date(message: Column) -> Column:
 
 def clean_title(title: Column, product: str) -> Column:
     """A title without white space around it and without the product's name at its end; blank ones are null."""
-    flat = F.regexp_replace(title, r"^\s+|\s+$", "")
-    cut = F.when(flat.endswith(f" - {product}"), F.regexp_replace(F.substring(flat, F.lit(1), F.length(flat) - len(product) - 3), r"\s+$", "")).otherwise(flat)
+    flat = F.regexp_replace(title, f"^{BLANKS}|{BLANKS}$", "")
+    cut = F.when(flat.endswith(f" - {product}"), F.regexp_replace(F.substring(flat, F.lit(1), F.length(flat) - len(product) - 3), f"{BLANKS}$", "")).otherwise(flat)
     return F.nullif(cut, F.lit(""))
 
 

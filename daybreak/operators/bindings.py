@@ -32,7 +32,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = r"""
 items AS (
   SELECT d.doc_id, 'doc:' || d.doc_id AS id, d.source, d.lang, CASE WHEN d.doc_id % 5 <> 0 THEN 'feed_item' ELSE 'document' END AS kind,
-    left(trim(regexp_replace(split_part(d.text, chr(10), 1), '[ \t\n\r\f\v]+', ' ', 'g')), 80) AS title, d.text AS body,
+    left(trim(regexp_replace(split_part(d.text, chr(10), 1), '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g')), 80) AS title, d.text AS body,
     CASE d.doc_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'trusted_secondary' ELSE 'discovery_only' END AS tier,
     coalesce(l.quality = 1 AND l.toxic = 0, false) AS saved, coalesce(l.toxic = 1, false) AS unresolved, d.doc_id % 7 = 0 AS future
   FROM documents d LEFT JOIN labels l USING (doc_id)

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from daybreak.tables import remove, stored
 
 
+def split_by_size(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of up to `most` rows, and those of larger groups, None where there is no such group."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > most).select(*keys)
+    if large.isEmpty():
+        return rows, None
+    return joined(rows, large, keys, "left_anti"), joined(rows, large, keys, "left_semi")
+
+
 def laid_out(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows in a stored table, in order, with their part and their seat, which ascends with the order."""
     columns = [*keys, *order]

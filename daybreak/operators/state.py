@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybreak.functions.times import natural_key
-from daybreak.operators.ordered import chains, laid_out, next_value, running
+from daybreak.operators.ordered import chains, laid_out, next_value, running, split_by_size
 from daybreak.tables import stored
 
 
@@ -32,10 +32,32 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_where_null: tuple[
     return joined.select(key, *(pick(c).alias(c) for c in columns))
 
 
+#: Rows of a key that are folded over in one row of a task.
+FOLDED = 4096
+
+
 def greedy_cooldown(rows: DataFrame, keys: list[str], at: str, event_id: str, minutes: int) -> DataFrame:
     """Delivered rows: each is the first of its key after the cooldown of the one delivered before, whose last second still suppresses.
 
-    A row that no earlier one's cooldown reaches is delivered whatever came before; in one order of rows and ends of
+    Keys of up to FOLDED rows are folded over in place, those of more go by jumps, which take as many tasks as they need.
+    """
+    given = rows.select(*keys, at, event_id)
+    small, large = split_by_size(given, keys, FOLDED)
+    seen = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(event_id).alias("id"))))
+    kind = given.schema[event_id].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast(f"array<{kind}>").alias("sent"))
+
+    def step(held: Column, row: Column) -> Column:
+        sent = held.until.isNull() | (row.at > held.until)
+        after = F.struct((row.at + 60 * minutes).alias("until"), F.concat(held.sent, F.array(row.id)).alias("sent"))
+        return F.when(sent, after).otherwise(held)
+
+    out = small.groupBy(*keys).agg(seen.alias("seen")).select(*keys, F.explode(F.aggregate("seen", start, step, lambda held: held.sent)).alias(event_id))
+    return out if large is None else out.unionByName(_cooldown_by_jumps(large, keys, at, event_id, minutes))
+
+
+def _cooldown_by_jumps(rows: DataFrame, keys: list[str], at: str, event_id: str, minutes: int) -> DataFrame:
+    """A row that no earlier one's cooldown reaches is delivered whatever came before; in one order of rows and ends of
     cooldowns it is one at which all cooldowns begun have ended. From those rows jumps lead on, each to the
     row that would follow a delivery, until it is such a row again.
     """

@@ -281,7 +281,7 @@ QUERIES = {
     for f in (page_titles, page_text, page_hosts, page_slugs, article_bodies, link_extract, page_enrich, domain_ranks, search_queries, redirect_unwrap, category_classify, category_groups, signature_tokens, text_weights, token_chunks, greedy_clusters, message_split, kv_parse, truncates, calendar_rows, mail_rows, first_unread, note_rows, conversation_rollup, message_order, session_items, history_import, history_order, post_rows, snapshot_posts, visit_rollup, preset_union, registry_payload_join, link_check, set_overlap, link_context, message_class, time_kernels, json_kernels, account_lookup)
 }
 
-_FLAT = r"trim(regexp_replace({}, '[ \t\n\r\f\v]+', ' ', 'g'))"
+_FLAT = r"trim(regexp_replace({}, '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g'))"
 _SHORT = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 1) || '…' ELSE {0} END"
 _DOMAIN = r"(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) = 'example.com' OR lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) LIKE '%.example.com')"
 

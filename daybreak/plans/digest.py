@@ -125,7 +125,7 @@ m AS (SELECT c.candidate_id, arg_min(i.id, c.d) AS item_id FROM c JOIN items i O
 SELECT DISTINCT c.candidate_id, coalesce(m.item_id, c.candidate_id) AS item_id FROM c LEFT JOIN m USING (candidate_id)""",
     "compact_projection": "WITH "
     + ITEMS_SQL
-    + r""", f AS (SELECT id, title, trim(regexp_replace(body, '[ \t\n\r\f\v]+', ' ', 'g')) AS b FROM items)
+    + r""", f AS (SELECT id, title, trim(regexp_replace(body, '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g')) AS b FROM items)
 SELECT id, title, CASE WHEN length(b) > 280 THEN substr(b, 1, 279) || '…' ELSE b END AS body FROM f""",
     "ids_by_source": "WITH " + ITEMS_SQL + " SELECT source, count(*) AS n, string_agg(id, ',' ORDER BY doc_id) AS ids FROM items GROUP BY source",
 }

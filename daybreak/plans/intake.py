@@ -170,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (conversation_export, response_export, typed_payloads, ledger_scan, visit_import, signal_posts, registry_only, registry_metadata, search_routes, prefix_links, prompt_compact, title_ladder, connector_health, source_notices, timestamp_texts)
 }
-_FLAT = r"trim(regexp_replace({}, '[ \t\n\r\f\v]+', ' ', 'g'))"
+_FLAT = r"trim(regexp_replace({}, '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g'))"
 _EDGE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 ORACLES = {
     "conversation_export": f"""

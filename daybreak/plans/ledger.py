@@ -286,11 +286,23 @@ QUERIES = {
     for f in (fingerprints, ledger_initial, ledger_changes, ledger_antijoin, identity_dedupe, heaviest_dedupe, passthrough_union, ledger_replay_window, replay_overwrite, cursor_filter, cursor_advance, natural_sort_key, active_subjects, suppression_filter, cooldown_greedy, cooldown_lag, cooldown_expiries, feedback_totals, audit_unpivot, staleness_audit, registry_state_transition, connector_upsert, approval_machine, suppression_machine, recent_actions, state_summary, registry_load)
 }
 ISO_SQL = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
-PAGES_SQL = r"""
+#: The character references that the tables hold, `&amp` last; a semicolon may be missing.
+REFERENCES = (("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&amp;?", "&"))
+
+
+def plain_sql(html: str) -> str:
+    """The text of HTML without its tags in one line."""
+    out = f"regexp_replace({html}, '<[^>]+>', ' ', 'g')"
+    for reference, char in REFERENCES:
+        out = f"regexp_replace({out}, '{reference}', '{char}', 'g')"
+    return rf"trim(regexp_replace({out}, '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g'))"
+
+
+PAGES_SQL = rf"""
 WITH pg AS (
   SELECT page_id, 'page:' || page_id AS id, url, lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), '')) AS source,
-    nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')), '') AS title,
-    trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS body
+    nullif({plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title,
+    {plain_sql("html")} AS body
   FROM pages
 )"""
 ORACLES = {

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 HIDDEN = {"script", "style", "noscript", "head", "title"}
-BLOCKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "tr"}
 
 
 class _Article(HTMLParser):
@@ -26,8 +25,6 @@ class _Article(HTMLParser):
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.depth = max(0, self.depth - 1)
-        elif tag in BLOCKS:
-            self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.depth:
@@ -35,14 +32,13 @@ class _Article(HTMLParser):
 
 
 def article_text(page: str | None, most: int = 1200) -> str | None:
-    """Visible text by lines, at most `most` characters with an ellipsis where something is cut."""
+    """Visible text, what stands between tags parted by spaces, at most `most` characters with an ellipsis where something is cut."""
     if page is None:
         return None
     parser = _Article()
     parser.feed(page)
     parser.close()
-    lines = (" ".join(x.split()) for x in html.unescape("".join(parser.parts)).split("\n"))
-    text = "\n".join(x for x in lines if x)
+    text = " ".join(html.unescape(" ".join(parser.parts)).split())
     return (text if len(text) <= most else text[: most - 1].rstrip() + "…") or None
 
 

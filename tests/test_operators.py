@@ -131,7 +131,8 @@ def test_news_json_skips_what_is_broken(spark):
 
 
 def test_article_text_hides_scripts_and_is_cut():
-    assert html.article_text("<head><title>T</title></head><p>One &amp;amp; two</p><script>x</script><p>Three</p>") == "One & two\nThree"
+    assert html.article_text("<head><title>T</title></head><p>One &amp;amp; two</p><script>x</script><p>Three</p>") == "One & two Three"
+    assert html.article_text("<p>one <b>two</b>three</p><p>four\u3000five</p>") == "one two three four five"
     assert len(html.article_text("<p>" + "a" * 2000 + "</p>")) == 1200
     assert html.article_text(None) is None and html.page_links(None, None) == []
 

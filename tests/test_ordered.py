@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from daybreak.operators import cluster, ordered
+from daybreak.operators import cluster, ordered, state
 
 
 def clusters(items):
@@ -32,9 +32,11 @@ def grouped_cases():
     return cases
 
 
-@pytest.mark.parametrize("bits", [12, 1])
-def test_clusters_are_those_of_the_row_loop(spark, monkeypatch, bits):
+@pytest.mark.parametrize(("bits", "scanned"), [(12, 1 << 15), (12, 60), (1, 0)])
+def test_clusters_are_those_of_the_row_loop(spark, monkeypatch, bits, scanned):
+    """In order, by steps, and some groups in either way."""
     monkeypatch.setattr(cluster, "SPAN_BITS", bits)
+    monkeypatch.setattr(cluster, "SCANNED", scanned)
     cases = grouped_cases()
     rows = [(None if g == 3 else f"g{g}", pos, t, "clash") for g, case in enumerate(cases) for pos, t in case]
     out = cluster.greedy_clusters(spark.createDataFrame(rows, "grp string, pos long, tokens array<string>, c string").repartition(7), "grp", "pos", "tokens")
@@ -59,7 +61,9 @@ def chunks(tokens, size):
     return out
 
 
-def test_chunks_are_those_of_the_row_loop(spark):
+@pytest.mark.parametrize("folded", [4096, 40, 0])
+def test_chunks_are_those_of_the_row_loop(spark, monkeypatch, folded):
+    monkeypatch.setattr(cluster, "FOLDED", folded)
     rng = random.Random(11)
     cases = [[rng.choice([1, 1, 2, 5, 40]) for _ in range(rng.randint(1, 60))] for _ in range(40)]
     cases += [[0] * 23, [None, 0, 7, 0, 0], [1000, *[1] * 40], [*[1] * 40, 1000], [3] * 700, [0, 0, 5, 0, 0, 0, 9, 0, 0, 1]]
@@ -73,6 +77,23 @@ def test_chunks_are_those_of_the_row_loop(spark):
         assert got[None if g == 2 else g] == chunks(case, 4), g
 
 
+@pytest.mark.parametrize("folded", [4096, 30, 0])
+def test_cooldowns_are_those_of_the_row_loop(spark, monkeypatch, folded):
+    monkeypatch.setattr(state, "FOLDED", folded)
+    rng = random.Random(4)
+    cases = [[rng.randint(0, 9000) for _ in range(rng.randint(1, 60))] for _ in range(40)] + [[60 * k for k in range(500)], [5] * 20, [0, 600, 601, 1200, 1201, 1202]]
+    rows = [(None if g == 1 else f"g{g}", t, 100 * g + k, "x") for g, case in enumerate(cases) for k, t in enumerate(case)]
+    got = state.greedy_cooldown(spark.createDataFrame(rows, "grp string, t long, id long, at string").repartition(5), ["grp"], "t", "id", 10)
+    want = []
+    for g, case in enumerate(cases):
+        until = None
+        for t, k in sorted((t, k) for k, t in enumerate(case)):
+            if until is None or t > until:
+                until = t + 600
+                want.append((None if g == 1 else f"g{g}", 100 * g + k))
+    assert sorted(((r.grp, r.id) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_frames(spark):
     assert cluster.greedy_clusters(spark.createDataFrame([], "grp string, pos long, tokens array<string>"), "grp", "pos", "tokens").count() == 0
     assert cluster.balanced_chunks(spark.createDataFrame([], "grp int, pos long, tokens int"), "grp", "pos", "tokens", 4).count() == 0
