@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Runs of every character that Unicode counts as white space, with the four separators of ASCII.
-BLANKS = r"[\s\v\pZ\x1c-\x1f\x85]+"
+BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 #: A reference to a character: by number, or by a name whose semicolon may be missing.
 REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
@@ -35,11 +35,11 @@ def _names() -> tuple[str, str, int]:
 
 def _character(number: Column) -> Column:
     """The character of a numeric reference: those of Windows in place of C1 controls, none for other controls and noncharacters, U+FFFD outside of Unicode."""
-    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    windows = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
     place = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     control = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
     outside = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
-    in_windows = F.element_at(F.array(*(F.lit(c) for c in windows.values())), (number - 0x7F).cast("int"))
+    in_windows = F.substring(F.lit(windows), (number - 0x7F).cast("int"), F.lit(1))
     return F.when(outside, "\ufffd").when(number.between(0x80, 0x9F), in_windows).when(control, "").otherwise(place)
 
 
@@ -56,18 +56,21 @@ def _resolved(reference: Column) -> Column:
 
 
 #: References that nearly all texts get along with; the ampersand's is replaced last, so what it leaves isn't resolved again.
-COMMON = ("lt", "gt", "quot", "#39", "apos", "nbsp", "copy", "reg", "middot", "mdash", "ndash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "amp")
+COMMON = ("lt", "gt", "quot", "#39", "nbsp", "copy", "middot", "amp")
 
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references resolved once, as HTML 5 has them."""
-    plain = text
-    for name in COMMON:
-        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(chr(39) if name == "#39" else html5[f"{name};"]))
-    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 0), _resolved)
-    rests = F.split(text, REFERENCE)
-    whole = F.array_join(F.zip_with(rests, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return F.when(text.rlike(f"&(?!(?:{'|'.join(COMMON)});)"), whole).otherwise(plain)
+
+    def resolved(given: Column) -> Column:
+        plain = given
+        for name in COMMON:
+            plain = F.replace(plain, F.lit(f"&{name};"), F.lit(chr(39) if name == "#39" else html5[f"{name};"]))
+        found = F.transform(F.regexp_extract_all(given, F.lit(REFERENCE), 0), _resolved)
+        whole = F.array_join(F.zip_with(F.split(given, REFERENCE), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return F.when(given.rlike(f"&(?!(?:{'|'.join(COMMON)});)"), whole).otherwise(plain)
+
+    return F.get(F.transform(F.array(text), resolved), 0)  # the text is made once, however often it is used
 
 
 def strip_tags(html: Column) -> Column:
