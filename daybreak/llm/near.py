@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybreak.llm.common import mix64, odd_multipliers, remove, row_views, stored
@@ -37,6 +37,8 @@ from daybreak.llm.graph import connected_components
 SHORT = 16
 #: Members of a split of a long run, about.
 SPLIT = 32
+#: Members of each size class that those outside their hub's component are compared with, the most central ones.
+PEERS = 4
 #: Postings of one key in a flush beyond which they are a long run's.
 LOCAL = 128
 #: Postings of a flush: as many buckets as there may be, a row holds a few kilobytes at most where rows are kept in Parquet.
@@ -277,12 +279,15 @@ class Candidates:
 
     def second(self, roots: DataFrame) -> DataFrame:
         """The other pairs of short runs, all other hubs of long runs, the hubs of their splits, and for members outside their
-        hub's component the most central of its members in each size class in reach."""
+        hub's component the PEERS most central of its members in each size class in reach."""
         of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
         met = self.members.groupBy("hub", "id").agg(F.max("size_class").alias("size_class"), F.max("weight").alias("weight"))  # a hub's members over all its runs
         outside = met.join(of("id"), "id", "left").join(of("hub"), "hub", "left").where(F.coalesce("id_root", "id") != F.coalesce("hub_root", "hub"))
         reach = F.explode(F.sequence(F.col("size_class") - SIZE_REACH, F.col("size_class") + SIZE_REACH))
-        peers = met.groupBy("hub", F.col("size_class").alias("peer_class")).agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"))
+        central = Window.partitionBy("hub", "size_class", "salt").orderBy(F.desc("weight"), "id")  # the best of each salt, then of these
+        first = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(central)).where(F.col("n") <= PEERS)
+        best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("id")).alias("other"))), asc=False), 1, PEERS)
+        peers = first.groupBy("hub", F.col("size_class").alias("peer_class")).agg(best.alias("tops")).select("hub", "peer_class", F.explode("tops").alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"))
         sized = outside.select("hub", "id", reach.alias("peer_class")).join(peers, ["hub", "peer_class"]).where("id <> peer")
         splits = self.members.groupBy("key", "salt").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("key", "salt", (-F.col("top.other")).alias("near"))
         near = self.members.join(splits, ["key", "salt"]).where("id <> near")
