@@ -279,17 +279,18 @@ class Candidates:
 
     def second(self, roots: DataFrame) -> DataFrame:
         """The other pairs of short runs, all other hubs of long runs, the hubs of their splits, and for members outside their
-        hub's component the PEERS most central of its members in each size class in reach."""
+        hub's component the PEERS most central of its members in each size class in reach, if they are in one of its runs together: two ids that
+        share no run have no more in common than the coordinates that aren't posted, fewer than the threshold."""
         of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-        met = self.members.groupBy("hub", "id").agg(F.max("size_class").alias("size_class"), F.max("weight").alias("weight"))  # a hub's members over all its runs
+        met = self.members.groupBy("hub", "id").agg(F.max("size_class").alias("size_class"), F.max("weight").alias("weight"), F.collect_set("key").alias("keys"))  # a hub's members over all its runs, each in no more than it has keys
         outside = met.join(of("id"), "id", "left").join(of("hub"), "hub", "left").withColumn("id_root", F.coalesce("id_root", "id")).where(F.col("id_root") != F.coalesce("hub_root", "hub"))
         reach = F.explode(F.sequence(F.col("size_class") - SIZE_REACH, F.col("size_class") + SIZE_REACH))
         central = Window.partitionBy("hub", "size_class", "salt").orderBy(F.desc("weight"), "id")  # the best of each salt, then of these
         first = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(central)).where(F.col("n") <= PEERS)
-        best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("id")).alias("other"))), asc=False), 1, PEERS)
-        peers = first.groupBy("hub", F.col("size_class").alias("peer_class")).agg(best.alias("tops")).select("hub", "peer_class", F.explode("tops").alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("id")).alias("other"), "keys")), asc=False), 1, PEERS)
+        peers = first.groupBy("hub", F.col("size_class").alias("peer_class")).agg(best.alias("tops")).select("hub", "peer_class", F.explode("tops").alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"), F.col("top.keys").alias("peer_keys"))
         peers = peers.join(of("peer"), "peer", "left").withColumn("peer_root", F.coalesce("peer_root", "peer"))
-        sized = outside.select("hub", "id", "id_root", reach.alias("peer_class")).join(peers, ["hub", "peer_class"]).where("id_root <> peer_root")
+        sized = outside.select("hub", "id", "id_root", "keys", reach.alias("peer_class")).join(peers, ["hub", "peer_class"]).where("id_root <> peer_root and arrays_overlap(keys, peer_keys)")
         splits = self.members.groupBy("key", "salt").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("key", "salt", (-F.col("top.other")).alias("near"))
         near = self.members.join(splits, ["key", "salt"]).where("id <> near")
         hubs = self.members.where("id <> hub")
