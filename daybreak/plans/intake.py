@@ -10,7 +10,7 @@ from daybreak.operators import state
 from daybreak.operators.bindings import EVENTS_SQL, ITEMS_SQL, document_items, event_rows, page_items
 from daybreak.plans.ledger import ISO_SQL, PAGES_SQL
 from daybreak.session import table
-from daybreak.sources import exports
+from daybreak.sources import arrays, exports
 from daybreak.sources import items as sources
 from daybreak.summary import compact_items, notice
 
@@ -54,6 +54,21 @@ def response_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.response_items(index, files).select("id", F.sha2("body", 256).alias("digest"), "response_count")
 
 
+_AWKWARD = '"}],[{\\'
+
+
+def array_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array of each source's documents, given in pieces between closing braces as a file's reader gives it; texts end with brackets, a quote and a backslash."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("file"), F.to_json(F.struct("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(_AWKWARD)).alias("text"))).alias("record"))
+    ends = d.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    part = lambda doc: F.floor(doc / 4096)
+    cut = F.split(F.concat(F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), "record"), "[}]")
+    inner = d.join(ends, "file").select("file", part(F.col("doc_id")).alias("part"), "doc_id", F.posexplode(F.slice(cut, 1, F.size(cut) - 1)).alias("spot", "value"))
+    closing = ends.select("file", part(F.col("last") + 1).alias("part"), (F.col("last") + 1).alias("doc_id"), F.lit(0).alias("spot"), F.lit("]").alias("value"))
+    found = arrays.elements(inner.unionByName(closing).select("file", "part", F.struct("doc_id", "spot").alias("seat"), "value"))
+    return found.select(F.col("file").alias("source"), F.col("record").alias("place"), F.from_json("payload", "doc_id long, text string").alias("d")).select("source", "place", "d.doc_id", F.sha2("d.text", 256).alias("digest"))
+
+
 def typed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = document_items(spark, sf_dir)
     intent = F.when(F.col("doc_id") % 2 == 0, F.struct("saved"))
@@ -168,7 +183,7 @@ def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (conversation_export, response_export, typed_payloads, ledger_scan, visit_import, signal_posts, registry_only, registry_metadata, search_routes, prefix_links, prompt_compact, title_ladder, connector_health, source_notices, timestamp_texts)
+    for f in (conversation_export, response_export, array_elements, typed_payloads, ledger_scan, visit_import, signal_posts, registry_only, registry_metadata, search_routes, prefix_links, prompt_compact, title_ladder, connector_health, source_notices, timestamp_texts)
 }
 _FLAT = r"trim(regexp_replace({}, '[\s\v\pZ\x1c-\x1f\x85]+', ' ', 'g'))"
 _EDGE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -181,6 +196,8 @@ SELECT 'c' || conv_id AS id, sha256(body) AS digest, coalesce(n, 0)::INTEGER AS
 WITH r AS (SELECT conv_id, turn, lower(role) AS role, {_EDGE.format("CASE WHEN turn % 4 = 3 THEN '' ELSE coalesce(text, '') END")} AS t FROM conversations WHERE conv_id % 3 <> 2),
 b AS (SELECT conv_id, string_agg(coalesce(nullif(role, ''), 'unknown') || ': ' || t, chr(10) || chr(10) ORDER BY turn, role, t) FILTER (t <> '') AS body, count(*)::INTEGER AS n FROM r GROUP BY conv_id)
 SELECT 'r' || conv_id AS id, sha256(body) AS digest, coalesce(n, 0)::INTEGER AS response_count FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN b USING (conv_id)""",
+    "array_elements": f"""
+SELECT coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) - 1 AS place, doc_id, sha256(coalesce(text, '') || '{_AWKWARD}') AS digest FROM documents""",
     "typed_payloads": "WITH "
     + ITEMS_SQL
     + """ SELECT id, source, 1 AS people, 0 AS topics, CASE WHEN doc_id % 2 = 0 THEN saved END AS saved, CASE WHEN doc_id % 2 = 0 THEN false END AS unread

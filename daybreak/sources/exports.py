@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
+import uuid
 from functools import reduce
 
 import yaml
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from daybreak.functions.text import clean_title
 from daybreak.functions.times import boundary_seconds, browser_seconds, iso, sort_seconds
 from daybreak.operators.dedupe import last_value_first_place
+from daybreak.sources import archives, arrays
+from daybreak.tables import remove
 
 _EDGES = r"^\s+|\s+$"
 
@@ -78,7 +79,7 @@ def conversation_export(rows: DataFrame) -> DataFrame:
 
 
 #: Where an export's files are looked for below its folder, before any other place.
-EXPORT_PLACES = ("", "conversations", "extracted", "extracted/conversations")
+EXPORT_PLACES = ("", "extracted", "extracted/conversations", "conversations")
 
 
 def find_export_file(spark: SparkSession, folder: str, name: str) -> str | None:
@@ -98,13 +99,40 @@ def find_export_file(spark: SparkSession, folder: str, name: str) -> str | None:
     return min(found, default=None)
 
 
+def _document(spark: SparkSession, path: str) -> object:
+    """A small JSON file: a manifest or a user file."""
+    rows = spark.read.text(path, wholetext=True).head(1)
+    return json.loads(rows[0][0]) if rows else None
+
+
+def _named(document: object, key: str) -> str | None:
+    """The text under a key, if the document is an object and the text isn't empty."""
+    value = document.get(key) if isinstance(document, dict) else None
+    return value if isinstance(value, str) and value else None
+
+
+def account(spark: SparkSession, folder: str) -> str | None:
+    """The account that an export's manifest names, else the email of its user file; a manifest that isn't JSON names none."""
+    path = find_export_file(spark, folder, "manifest.json")
+    if path is not None:
+        try:
+            told = _named(_document(spark, path), "account")
+        except json.JSONDecodeError:
+            told = None
+        if told is not None:
+            return told
+    path = find_export_file(spark, folder, "user.json")
+    return _named(_document(spark, path), "email") if path is not None else None
+
+
 def read_conversations(spark: SparkSession, folder: str, name: str = "conversations.json") -> DataFrame:
-    """The items of an export's conversations file, a JSON array."""
+    """The items of an export's conversations file, a JSON array of any size, with their address and account."""
     path = find_export_file(spark, folder, name)
     if path is None:
         raise FileNotFoundError(f"{name} is not below {folder}")
-    whole = spark.read.text(path, wholetext=True)
-    return conversation_export(whole.select(F.explode(F.from_json("value", "array<string>")).alias("payload")))
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("ChatGPT conversation"))
+    items = conversation_export(arrays.read_array(spark, path).select("payload")).withColumn("title", title)
+    return items.withColumns({"url": F.concat(F.lit("https://chatgpt.com/c/"), "id"), "account": F.lit(account(spark, folder)).cast("string")})
 
 
 def response_items(index: DataFrame, responses: DataFrame) -> DataFrame:
@@ -296,40 +324,57 @@ def latest_export(files: DataFrame) -> DataFrame:
     return files.where(marked & name.endswith(".zip")).orderBy(F.desc("modificationTime"), F.desc(F.regexp_extract("path", r"([^/]+)$", 1))).limit(1)
 
 
-def archive_members(data: bytes, name: str) -> bytes | None:
-    """The first member of that name in a zip archive or in an archive inside it."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        members = sorted(archive.namelist())
-        for member in members:
-            if member.rsplit("/", 1)[-1] == name:
-                return archive.read(member)
-        for member in members:
-            if member.lower().endswith(".zip") and (found := archive_members(archive.read(member), name)) is not None:
-                return found
-    return None
+#: Where an export's files are put below the folder it is prepared in.
+EXTRACTED = "extracted/conversations"
+
+
+def array_size(spark: SparkSession, path: str) -> int:
+    """How many elements a file's JSON array has."""
+    found = arrays.read_array(spark, path)
+    n = found.count()
+    remove(found)
+    return n
 
 
 def prepare_export(spark: SparkSession, folder: str, out: str, name: str = "conversations.json") -> dict:
-    """Unpacks the newest export below a folder to `out`; an empty export never replaces one that has conversations. Returns the manifest."""
-    newest = latest_export(spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder)).select("path", "content").collect()  # one row
-    if not newest:
+    """Unpacks the newest export below a folder to `out`, with its user file and its own manifest. Returns the manifest it writes.
+
+    Whatever was in `out` is replaced as a whole, but an empty export never replaces one that has conversations: it is noted in
+    the manifest, of which all else stays. Members are copied by a task and counted by many.
+    """
+    newest = latest_export(spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder).select("path", "modificationTime")).first()
+    if newest is None:
         raise FileNotFoundError(f"no export archive in {folder}")
-    found = archive_members(bytes(newest[0].content), name)
-    if found is None:
-        raise FileNotFoundError(f"{name} is not in {newest[0].path}")
-    rows = json.loads(found)
-    if not isinstance(rows, list):
-        raise ValueError("an export's conversations are a list")
-    jvm = spark.sparkContext._jvm
-    root, target = jvm.org.apache.hadoop.fs.Path(out), jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/conversations/{name}")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    existing = 0
-    if fs.exists(target):
-        existing = spark.read.text(target.toString(), wholetext=True).select(F.size(F.from_json("value", "array<string>"))).first()[0]
-    status = "skipped_empty_export" if not rows and existing > 0 else "prepared"
-    manifest = {"acquisition_mode": "official_export", "import_status": status, "conversation_count": existing if status != "prepared" else len(rows), "latest_export_conversation_count": len(rows), "source_path": newest[0].path}
-    for path, data in ([] if status != "prepared" else [(target, found)]) + [(jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/manifest.json"), json.dumps(manifest).encode())]:
-        stream = fs.create(path, True)
-        stream.write(bytearray(data))
+    out = out.rstrip("/")
+    staged = f"{out}.staged-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def write_manifest(root: str, manifest: dict) -> None:
+        stream = fs.create(path(f"{root}/manifest.json"), True)
+        stream.write(bytearray(json.dumps(manifest, ensure_ascii=False, indent=2).encode()))
         stream.close()
-    return manifest
+
+    try:
+        found = archives.unpacked(spark, newest.path, [name, "user.json", "export_manifest.json"], f"{staged}/{EXTRACTED}")
+        if name not in found:
+            raise FileNotFoundError(f"{name} is not in {newest.path}")
+        count = array_size(spark, found[name])
+        before = f"{out}/{EXTRACTED}/{name}"
+        existing = array_size(spark, before) if fs.exists(path(before)) else 0
+        latest = {"latest_export_conversation_count": count}
+        if not count and existing:
+            kept = (_document(spark, f"{out}/manifest.json") if fs.exists(path(f"{out}/manifest.json")) else None) or {}
+            kept |= latest | {"latest_export_source_path": newest.path, "import_status": "skipped_empty_export"}
+            write_manifest(out, kept)
+            return kept | {"conversation_count": existing, "source_path": newest.path}
+        account = _named(_document(spark, found["user.json"]), "email") if "user.json" in found else None
+        manifest = {"provider": "chatgpt", "acquisition_mode": "official_export", "import_status": "prepared", "conversation_count": count, "account": account, "source_path": newest.path}
+        manifest["export_manifest"] = _document(spark, found["export_manifest.json"]) if "export_manifest.json" in found else None
+        write_manifest(staged, manifest)
+        fs.delete(path(out), True)
+        if not fs.rename(path(staged), path(out)):
+            raise OSError(f"{staged} can't be moved to {out}")
+        return manifest
+    finally:
+        fs.delete(path(staged), True)
