@@ -101,10 +101,15 @@ def location_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user's events with pauses of at most an hour, as session windows."""
-    e = event_rows(spark, sf_dir).withColumn("ts", F.timestamp_seconds("sec"))
-    s = e.groupBy("user_id", F.session_window("ts", "3601 seconds")).agg(F.count("*").alias("n"), F.min("sec").alias("first"), F.max("sec").alias("last"))
-    return s.select("user_id", "first", "last", "n")
+    """Sessions of a user's events with pauses of at most an hour, as session windows; an event without a time is a session of its own.
+
+    Seconds are whole. A window that begins where another ends joins it, so the gap lies between two seconds.
+    """
+    e = event_rows(spark, sf_dir)
+    timed = e.where("sec is not null").withColumn("ts", F.timestamp_seconds("sec"))
+    s = timed.groupBy("user_id", F.session_window("ts", "3600500 milliseconds")).agg(F.count("*").alias("n"), F.min("sec").alias("first"), F.max("sec").alias("last"))
+    alone = e.where("sec is null").select("user_id", F.col("sec").alias("first"), F.col("sec").alias("last"), F.lit(1).cast("long").alias("n"))
+    return s.select("user_id", "first", "last", "n").unionByName(alone)
 
 
 QUERIES = {f.__name__: f for f in (haversine_steps, avg_speed, walking_segment, stationary_cluster, location_staleness, recent_points, local_hour_reason, reason_display, leave_now, gap_window, gap_windows, audit_items, location_items, stream_sessions)}
