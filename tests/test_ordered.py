@@ -122,3 +122,10 @@ def test_sums_places_and_next_values_cross_parts(spark):
         for k, r in enumerate(sorted(own, key=lambda r: r.pos)):
             total += r.pos
             assert (r.upto, seats[r.pos], nexts[r.pos]) == (total, k, next((m for m in marks if m >= r.pos), None))
+
+
+def test_next_values_take_no_frame_that_shrinks(spark):
+    """Spark computes a frame up to the group's end anew for each row, a part's rows squared."""
+    laid = spark.range(10).select(F.lit("g").alias("grp"), "id", F.col("id").alias("seat"), F.lit(0).alias("part"))
+    plan = ordered.next_value(laid, ["grp"], "id", "next")._jdf.queryExecution().analyzed().toString().lower()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
