@@ -12,7 +12,7 @@ with their newline.
 Lines are told apart by a 64-bit hash of their bytes, so that a task posts exact copies once
 and texts travel only for lines that met in a band. At similarity 0.8 a link meets in no band with a
 measured chance of two to four in a thousand, at 0.85 of up to two in ten thousand; it is lost unless
-other links connect its lines. Lists of more than 16 lines are settled by stars (see `near`).
+other links connect its lines. Lists of more than 16 lines are settled by stars, and by pairs of what these don't join (see `near`).
 
 Cases: a null text stays null and has no lines; an empty text has none that could go; rows are told apart
 by id and text, so rows that share an id lose their own lines only, and exact repeats of a row
@@ -276,7 +276,11 @@ def similar_lines(postings: DataFrame, texts: DataFrame, bits: int, percent: int
         joined = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return joined.mapInArrow(near.similar(lambda column: line_sets(column, shingle_chars), percent), "a long, b long")
 
-    roots = near.linked(candidates, confirm)
+    def marks(ids: DataFrame) -> DataFrame:
+        of = near.marked(lambda column: line_sets(column, shingle_chars), 1024)
+        return bodies.join(ids, "id").select("id", "line").mapInArrow(of, "id long, size long, mark binary")
+
+    roots = near.linked(candidates, confirm, near.Rest(marks, percent))
     candidates.drop()
     remove(bodies)
     return roots

@@ -10,14 +10,14 @@ them is in, is added to their count before it is held against the threshold, so
 A key with many postings in one flush (`LOCAL`) doesn't reach its bucket: its members go on as those of a long run, and
 a marker tells the bucket. So what one task holds of a key is bounded by `LOCAL` for each flush.
 
-A long run is settled by stars: of the run around its most central member (that with the most company over all long
+A long run is settled by stars first: of the run around its most central member (that with the most company over all long
 runs), and of splits of about `SPLIT` members around the most central one of each. First one star a member and the
 stars of the short runs are confirmed and united; then what still joins different components of the short runs' other
-pairs, the other runs' stars the splits' stars and,
-for members that their hub doesn't link, the stars around the most central member of each size that could be linked (where
-texts are parts of others). A group of n near copies costs about n confirmations, then. Two ids that
-meet in long runs only and that no hub links are not compared with one another; ids that share what their hubs lack meet
-in short runs, where every pair counts.
+pairs, the other runs' stars and the splits' stars. A group of n near copies costs about n confirmations, then.
+What of a long run is in different components still is compared pair by pair (`Rest`), on marks that leave out no link, and
+what the marks let through is confirmed: where it is much, first one pair for each two components, then all pairs of those that it didn't join.
+So every two ids that meet in a run are joined or refuted. That step is quadratic in a run's ids outside its hub's component,
+times its ids; it is cut into tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ from daybreak.llm.graph import connected_components
 SHORT = 16
 #: Members of a split of a long run, about.
 SPLIT = 32
-#: Members of each size class that those outside their hub's component are compared with, the most central ones.
-PEERS = 4
+#: Ids of a tile of a long run, of which all pairs are compared at once.
+TILE = 1024
+#: Possible links for each id of two tiles up to which all are confirmed at once.
+FEW = 4
 #: Postings of one key in a flush beyond which they are a long run's.
 LOCAL = 128
 #: Postings of a flush: as many buckets as there may be, a row holds a few kilobytes at most where rows are kept in Parquet.
@@ -277,24 +279,19 @@ class Candidates:
         best = self.members.where("id <> hub").groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("other"))).alias("top"))
         return self.pairs.where(F.col("kind") == STAR).select("a", "b").unionByName(_ordered((-F.col("top.other")), F.col("id"), best)).distinct()
 
-    def second(self, roots: DataFrame) -> DataFrame:
-        """The other pairs of short runs, all other hubs of long runs, the hubs of their splits, and for members outside their
-        hub's component the PEERS most central of its members in each size class in reach, if they are in one of its runs together: two ids that
-        share no run have no more in common than the coordinates that aren't posted, fewer than the threshold."""
-        of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-        met = self.members.groupBy("hub", "id").agg(F.max("size_class").alias("size_class"), F.max("weight").alias("weight"), F.collect_set("key").alias("keys"))  # a hub's members over all its runs, each in no more than it has keys
-        outside = met.join(of("id"), "id", "left").join(of("hub"), "hub", "left").withColumn("id_root", F.coalesce("id_root", "id")).where(F.col("id_root") != F.coalesce("hub_root", "hub"))
-        reach = F.explode(F.sequence(F.col("size_class") - SIZE_REACH, F.col("size_class") + SIZE_REACH))
-        central = Window.partitionBy("hub", "size_class", "salt").orderBy(F.desc("weight"), "id")  # the best of each salt, then of these
-        first = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(central)).where(F.col("n") <= PEERS)
-        best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("id")).alias("other"), "keys")), asc=False), 1, PEERS)
-        peers = first.groupBy("hub", F.col("size_class").alias("peer_class")).agg(best.alias("tops")).select("hub", "peer_class", F.explode("tops").alias("top")).select("hub", "peer_class", (-F.col("top.other")).alias("peer"), F.col("top.keys").alias("peer_keys"))
-        peers = peers.join(of("peer"), "peer", "left").withColumn("peer_root", F.coalesce("peer_root", "peer"))
-        sized = outside.select("hub", "id", "id_root", "keys", reach.alias("peer_class")).join(peers, ["hub", "peer_class"]).where("id_root <> peer_root and arrays_overlap(keys, peer_keys)")
+    def second(self) -> DataFrame:
+        """The other pairs of short runs, all other hubs of long runs and the hubs of their splits."""
         splits = self.members.groupBy("key", "salt").agg(F.max(F.struct("weight", (-F.col("id")).alias("other"))).alias("top")).select("key", "salt", (-F.col("top.other")).alias("near"))
         near = self.members.join(splits, ["key", "salt"]).where("id <> near")
         hubs = self.members.where("id <> hub")
-        return self.pairs.where(F.col("kind") == REST).select("a", "b").unionByName(_ordered(F.col("hub"), F.col("id"), hubs)).unionByName(_ordered(F.col("near"), F.col("id"), near)).unionByName(_ordered(F.col("peer"), F.col("id"), sized)).distinct()
+        return self.pairs.where(F.col("kind") == REST).select("a", "b").unionByName(_ordered(F.col("hub"), F.col("id"), hubs)).unionByName(_ordered(F.col("near"), F.col("id"), near)).distinct()
+
+    def separate(self, roots: DataFrame) -> DataFrame:
+        """(hub, id, root, hub_root, n) of the long runs of a hub that hold more than one component, each id once."""
+        of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+        met = self.members.select("hub", "id").distinct().join(of("id"), "id", "left").select("hub", "id", F.coalesce("id_root", "id").alias("root"))
+        mixed = met.groupBy("hub").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("root"))).alias("hub_root"))
+        return met.join(mixed.where("low <> high").select("hub", "n", "hub_root"), "hub")
 
     def drop(self) -> None:
         remove(self.members, self.pairs)
@@ -353,18 +350,142 @@ def similar(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray
     return kept
 
 
-def linked(candidates: Candidates, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of the ids that aren't the smallest of their component of confirmed links; confirm keeps the true links of (a, b) rows."""
+def marked(set_slices: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]], bits: int, coordinates: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (id, text) rows (id, size, mark): 16 bits of each coordinate, and of each of `bits` places whether an odd number of the set's hashes falls there."""
 
-    edges = stored(confirm(candidates.first()), "first-edges")
-    roots = connected_components(edges)
-    remove(edges)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, hashes, counts in set_slices(batch.column(1)):
+                ends = np.cumsum(counts)
+                for at in range(0, len(counts), 256):
+                    own = counts[at : at + 256]
+                    part = hashes[ends[at] - counts[at] : ends[at + len(own) - 1]]
+                    place = (np.repeat(np.arange(len(own)), own) * bits + (part & np.uint64(bits - 1)).astype(np.int64))
+                    odd = np.packbits((np.bincount(place, minlength=len(own) * bits) & 1).astype(bool)).reshape(len(own), bits // 8)
+                    if coordinates:
+                        odd = np.concatenate([coordinates(part, own).astype("<u2").view(np.uint8), odd], axis=1)
+                    names = batch.column(0).slice(row + at, len(own))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(own, pa.int64()), pa.array([r.tobytes() for r in odd], pa.binary())], ["id", "size", "mark"])
+
+    return of
+
+
+def _tile(cell: pa.StructScalar, coordinates: int) -> tuple[np.ndarray, ...]:
+    rows = cell.values
+    ids, roots, sizes = (rows.field(k).to_numpy() for k in range(3))
+    marks = np.stack([np.frombuffer(m.as_buffer(), np.uint8) for m in rows.field(3)])
+    shared, odd = np.ascontiguousarray(marks[:, : 2 * coordinates]).view("<u2"), np.ascontiguousarray(marks[:, 2 * coordinates :]).view(np.uint64)
+    return ids, roots, sizes, shared, odd
+
+
+def possible(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], same: bool, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of two tiles that may be links between different components, and by how much their sets may differ still.
+
+    Sets of a similarity of `percent` differ in at most (100 - percent) / (100 + percent) of the sum of their sizes, and in at
+    least as many elements as there are places of which their marks say different things; so no link is left out by them.
+    """
+    _, roots_a, sizes_a, shared_a, odd_a = one
+    _, roots_b, sizes_b, shared_b, odd_b = two
+    most = (100 - percent) * (sizes_a[:, None] + sizes_b) // (100 + percent)
+    maybe = (roots_a[:, None] != roots_b) & (np.abs(sizes_a[:, None] - sizes_b) <= most)
+    if same:
+        maybe = np.triu(maybe, 1)
+    if shared_a.shape[1] and maybe.any():
+        agree = np.zeros(maybe.shape, np.uint8)
+        for k in range(shared_a.shape[1]):
+            agree += shared_a[:, k, None] == shared_b[:, k]
+        maybe &= agree >= matches
+    left, right = np.nonzero(maybe)
+    slack = most[left, right]
+    for begin, end in ((0, 4), (4, odd_a.shape[1])):
+        kept = []
+        for at in range(0, len(left), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            slack[part] -= np.bitwise_count(odd_a[left[part], begin:end] ^ odd_b[right[part], begin:end]).sum(axis=1, dtype=np.int64)
+            kept.append(at + np.flatnonzero(slack[part] >= 0))
+        keep = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        left, right, slack = left[keep], right[keep], slack[keep]
+    return left, right, slack
+
+
+class Rest:
+    """Pairs of long runs that no star has settled: all that are in one run and in different components are held against each other's marks, by tiles."""
+
+    def __init__(self, marks: Callable[[DataFrame], DataFrame], percent: int, coordinates: int = 0, matches: int = 0):
+        self.marks, self.percent, self.coordinates, self.matches = marks, percent, coordinates, matches
+
+    def pairs(self, separate: DataFrame, first: bool) -> DataFrame | None:
+        """(a, b, more) of possible links; first: where two tiles have many, one for each two components, more where there are others.
+
+        Runs of up to TILE ids are a tile. Larger ones are cut by size class and by whether an id is in the hub's component already, whose
+        ids need no comparison with one another; a pair of tiles is a row, wherever it is dealt to.
+        """
+        held = stored(separate, "separate")
+        if held.isEmpty():
+            remove(held)
+            return None
+        full = stored(held.join(self.marks(held.select("id").distinct()), "id"), "marked")
+        remove(held)
+        big = F.col("n") > TILE
+        cells = full.withColumn("cell", F.when(big, F.floor(F.log(F.greatest("size", F.lit(1))) / np.log(SIZE_STEP))).otherwise(0).cast("int")).withColumn("main", big & (F.col("root") == F.col("hub_root")))
+        numbers = cells.groupBy("hub", "cell", "main").agg(F.count("*").alias("n_cell"))
+        salted = cells.join(numbers, ["hub", "cell", "main"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_cell") / TILE)))
+        tiles = stored(salted.groupBy("hub", "cell", "main", "salt").agg(F.collect_list(F.struct("id", "root", "size", "mark")).alias("rows")).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+        remove(full)
+        head = lambda x: tiles.select("hub", F.col("tile").alias(x), F.col("cell").alias(f"{x}_cell"), F.col("main").alias(f"{x}_main"))
+        met = head("one").join(head("two"), "hub").where(f"one <= two and abs(one_cell - two_cell) <= {SIZE_REACH} and not (one_main and two_main)").select("one", "two")
+        body = lambda x: tiles.select(F.col("tile").alias(x), F.col("rows").alias(f"{x}_rows"))
+        percent, coordinates, matches = self.percent, self.coordinates, self.matches
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
+                    one = _tile(batch.column(2)[k], coordinates)
+                    two = one if same else _tile(batch.column(3)[k], coordinates)
+                    left, right, slack = possible(one, two, same, percent, matches)
+                    more = np.zeros(len(left), bool)
+                    if first and len(left) > FEW * (len(one[0]) + len(two[0])):
+                        low, high = np.minimum(one[1][left], two[1][right]), np.maximum(one[1][left], two[1][right])
+                        order = np.lexsort((-slack, high, low))
+                        low, high = low[order], high[order]
+                        head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+                        more = np.diff(np.append(head, len(order))) > 1
+                        left, right = left[order[head]], right[order[head]]
+                    a, b = one[0][left], two[0][right]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+
+        found = met.join(body("one"), "one").join(body("two"), "two").select("one", "two", "one_rows", "two_rows").mapInArrow(compare, "a long, b long, more boolean")
+        out = stored(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest-pairs")
+        remove(tiles)
+        return out
+
+
+def _united(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots after further confirmed links."""
     of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-    ends = candidates.second(roots).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
-    edges = stored(confirm(ends.select("a", "b")), "second-edges")
     named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     above = connected_components(named)
     out = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("higher")), "root", "left").select("id", F.coalesce("higher", "root").alias("root"))
     alone = above.join(roots.select("id"), "id", "left_anti")
     return stored(out.unionByName(alone), "roots")
+
+
+def linked(candidates: Candidates, confirm: Callable[[DataFrame], DataFrame], rest: Rest) -> DataFrame:
+    """(id, root) of the ids that aren't the smallest of their component of confirmed links; confirm keeps the true links of (a, b) rows."""
+
+    edges = stored(confirm(candidates.first()), "first-edges")
+    roots = connected_components(edges)
+    remove(edges)
+    of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+    ends = candidates.second().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+    out = _united(roots, stored(confirm(ends.select("a", "b")), "second-edges"))
+    for first in (True, False):  # one link for each two components, then whatever is still possible between those that it didn't join
+        pairs = rest.pairs(candidates.separate(out), first)
+        if pairs is None:
+            break
+        out = _united(out, stored(confirm(pairs.select("a", "b")), "rest-edges"))
+        if pairs.where("more").isEmpty():
+            break
+    return out

@@ -103,7 +103,11 @@ def near_duplicates(
         joined = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return joined.mapInArrow(near.similar(lambda column: shingle_sets(column, shingle_words), percent), "a long, b long")
 
-    roots = near.linked(candidates, confirm)
+    def marks(ids: DataFrame) -> DataFrame:
+        of = near.marked(lambda column: shingle_sets(column, shingle_words), 2048, lambda hashes, counts: near.folded(near.minhash(hashes, counts, coordinates * rows), rows))
+        return bodies.withColumnRenamed("cls", "id").join(ids, "id").select("id", "text").mapInArrow(of, "id long, size long, mark binary")
+
+    roots = near.linked(candidates, confirm, near.Rest(marks, percent, coordinates, matches))
     candidates.drop()
     remove(bodies)
     named = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
