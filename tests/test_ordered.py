@@ -129,3 +129,16 @@ def test_next_values_take_no_frame_that_shrinks(spark):
     laid = spark.range(10).select(F.lit("g").alias("grp"), "id", F.col("id").alias("seat"), F.lit(0).alias("part"))
     plan = ordered.next_value(laid, ["grp"], "id", "next")._jdf.queryExecution().analyzed().toString().lower()
     assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+
+
+def test_groups_of_many_tokens_are_clustered_by_steps(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SCANNED_TOKENS", 100)
+    taken = []
+    by_steps = cluster.clusters_by_steps
+    monkeypatch.setattr(cluster, "clusters_by_steps", lambda items, *names: taken.extend(r.grp for r in items.select("grp").distinct().collect()) or by_steps(items, *names))
+    cases = [[(k, [f"t{j}" for j in range(k, k + 3)]) for k in range(60)], [(k, [f"u{k}", f"u{k % 5}"]) for k in range(20)]]
+    df = spark.createDataFrame([(f"g{g}", pos, t) for g, case in enumerate(cases) for pos, t in case], "grp string, pos long, tokens array<string>")
+    got = cluster.greedy_clusters(df, "grp", "pos", "tokens").collect()
+    assert taken == ["g0"]
+    for g, case in enumerate(cases):
+        assert sorted((r.pos, r.cluster) for r in got if r.grp == f"g{g}") == sorted(clusters(case))
